@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, token_sstable
+from . import ngram_join, packing, quality_rules, token_sstable
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
