@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, quality_rules, token_sstable
+from . import decontaminate, ngram_join, packing, quality_rules, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -16,12 +16,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records against a replica that was damaged by rule: md5(url) 00 changed, 01 lost."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", "html")
+    mark = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 2)
+    damaged = F.when(mark == "00", F.concat("html", F.lit("?"))).otherwise(F.col("html"))
+    primary, replica = (df.select("record_id", warc_fixity.record(F.col("record_id"), F.col("url"), F.col("html")).alias("bytes")) for df in (pages, pages.where(mark != "01").withColumn("html", damaged)))
+    return warc_fixity.audit(primary, replica).withColumnRenamed("record_id", "page_id")
+
+
+def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = token_sstable.read(token_sstable.write(docs, tokenizer_path(), end_id=0))
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
 
@@ -42,5 +59,21 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+OP1_SQL = """
+WITH r AS (
+  SELECT page_id, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS body,
+         strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+           || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
+           || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+           || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10))
+         + strlen(coalesce(html, '')) + 4 AS n_bytes
+  FROM pages)
+SELECT page_id, CAST(coalesce(sum(n_bytes) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(n_bytes AS BIGINT) AS n_bytes,
+       CASE mark WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'ok' END AS status
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_merkle_audit": OP1_SQL}
