@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality_rules, token_sstable, url_rules, warc_fixity
+from . import decontaminate, html_extract, ngram_join, packing, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rule_ensemble.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = token_sstable.read(token_sstable.write(docs, tokenizer_path(), end_id=0))
@@ -48,6 +53,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
 
 
+def op9_html_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, tokenizer_path(), end_id=2, size=1024)
