@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, ngram_join, packing, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
+from . import decontaminate, html_extract, ngram_join, packing, pii_tagger, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -40,6 +40,12 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = pii_tagger.tagged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(f"n_{kind}") for kind in pii_tagger.KINDS]
+    return tagged.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
