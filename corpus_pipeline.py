@@ -1,3 +1,88 @@
-STAGES = []
+"""A cleaning pipeline over ``documents``: each stage applies one of the corpus operators to all that its predecessor kept."""
+
+from __future__ import annotations
+
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqtrough.llm import decontaminate, ngram_join, packing, pii_tagger, quality_rules
+from seqtrough.llm.common import recorded, removed, shared_dir, table
+from seqtrough.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at a Jaccard similarity of 0.8 join: the smallest identifier.
+
+    Of rows that repeat that identifier one stays, the one whose text sorts first. Texts without words are
+    in no group; rows without an identifier all stay.
+    """
+    joined = ngram_join.join(docs.select("doc_id", "text"), n=5, num=80, den=100)
+    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text")
+    single = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return single.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, and n_chars of the new text."""
+    return pii_tagger.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    cut = packing.pieces(docs.select("doc_id", "text"), tokenizer_path(), end_id=2, size=1024)
+    return packing.place(cut.select("doc_id", "piece", "start", F.col("length").cast("long"), F.crc32("ids").alias("ids_crc32"), "task", "rank"))
+
+
+#: Folders of the stage before, which its written result no longer needs.
+_scratch: list[str] = []
+
+
+def _stage(f):
+    """The stage ``f``, after the last stage's scratch tables are deleted."""
+
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, _scratch)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _scratch[:] = made
+        return out
+
+    return stage
+
+
+STAGES = [
+    ("quality rules", _stage(quality)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("benchmark decontamination", _stage(decontamination)),
+    ("personal data", _stage(personal_data)),
+    ("best-fit packing", _stage(packed)),
+]
+
+#: The join's components, SimHash, the tagger and the tokenizer are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    at = shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import tempfile
@@ -33,7 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    for listener in _RECORDS:
+        listener.append(made)
+    return made
+
+
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """A list that gets every folder that ``shared_dir`` names meanwhile."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of the shared store, whichever file system it is."""
+    for uri in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, at: str | None = None) -> DataFrame:
