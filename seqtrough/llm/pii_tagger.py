@@ -424,15 +424,16 @@ def _mapped(docs: DataFrame, columns: dict[str, str], rows, text: str) -> DataFr
     tagger = trained()
     at = docs.columns.index(text)
     others = [k for k, c in enumerate(docs.columns) if c not in columns]
+    names = [docs.columns[k] for k in others]
     kinds = dict(docs.dtypes)
 
     def mapped(batches):
         for batch in slices(batches):
             new = list(zip(*rows(strings(batch.column(at)), tagger))) or [()] * len(columns)
             arrays = [pa.array(x, pa.string() if t == "string" else pa.int64()) for x, t in zip(new, columns.values())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), *arrays], [*(docs.columns[k] for k in others), *columns])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), *arrays], [*names, *columns])
 
-    told_by = [f"`{docs.columns[k]}` {kinds[docs.columns[k]]}" for k in others] + [f"{c} {t}" for c, t in columns.items()]
+    told_by = [f"`{n}` {kinds[n]}" for n in names] + [f"{c} {t}" for c, t in columns.items()]
     return docs.mapInArrow(mapped, ", ".join(told_by))
 
 
