@@ -124,17 +124,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """Ids of each piece of text, found by the tokenizer's own merge model when first asked for."""
+class _Memo(dict):
+    """What ``make`` gives for a key, kept in two generations of at most ``most`` keys: those not used in one generation go."""
 
-    def __init__(self, model):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = self[piece] = np.array([x.id for x in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class _OddSpace(Exception):
+    """A space that no word follows."""
 
 
 class Encoder:
@@ -145,7 +154,7 @@ class Encoder:
     go through the library's merge model. Other kinds of tokenizer encode each text as it is.
     """
 
-    MEMO = 600_000
+    CHUNKS, PIECES = 300_000, 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -164,16 +173,27 @@ class Encoder:
             and not any(" " in x for x in self.added)
         )
         self.cut = regex.compile(PIECES)
-        self.pieces = _Pieces(self.tokenizer.model)
-        self.memo: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces = _Memo(self._piece, self.PIECES)
+        self.memo = _Memo(self._spaced, self.CHUNKS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, by the tokenizer's own merge model."""
+        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return np.array([x.id for x in self.model.tokenize(spelled)], "<u4").tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         if any(x in chunk for x in self.added):
             return self.whole(chunk)
-        return b"".join([self.pieces[x] for x in self.cut.findall(chunk)])
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(chunk)))
+
+    def _spaced(self, word: str) -> bytes:
+        if not word or word[0].isspace():  # never kept, so that a text with runs of spaces always comes here
+            raise _OddSpace
+        return self._chunk(" " + word)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -182,21 +202,11 @@ class Encoder:
         if not self.by_chunk:
             return self.whole(text)
         first, *rest = text.split(" ")
-        memo = self.memo
         try:
-            return self._chunk(first) + b"".join(map(memo.__getitem__, rest))
-        except KeyError:
-            pass
-        if len(memo) > self.MEMO:
-            memo.clear()
-            self.pieces.clear()
-        for x in rest:
-            if x not in memo:
-                if not x or x[0].isspace():  # never kept, so that a text with runs of spaces always comes here
-                    first, *rest = WORD_SPACE.split(text)
-                    return self._chunk(first) + b"".join([self._chunk(" " + y) for y in rest])
-                memo[x] = self._chunk(" " + x)
-        return self._chunk(first) + b"".join(map(memo.__getitem__, rest))
+            return self._chunk(first) + b"".join(map(self.memo.__getitem__, rest))
+        except _OddSpace:
+            first, *rest = WORD_SPACE.split(text)
+            return self._chunk(first) + b"".join([self._chunk(" " + y) for y in rest])
 
 
 @lru_cache(maxsize=2)

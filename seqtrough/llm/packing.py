@@ -202,7 +202,7 @@ class _Search:
         return self.best
 
 
-def plan(counts: dict[int, int], size: int = 1024, nodes: int = 20_000) -> Plan:
+def plan(counts: dict[int, int], size: int = 1024, nodes: int = 1_500) -> Plan:
     """Which lengths share a sequence, and how often; lengths of ``size`` are none of its business."""
     counts = {n: c for n, c in counts.items() if c and n < size}
     return _Search(counts, size, nodes).run() if counts else []
@@ -224,7 +224,7 @@ def segments(plan: Plan) -> tuple[np.ndarray, ...]:
     return (a[:, 0] << 44) + a[:, 1], a[:, 2] - a[:, 1], a[:, 3], np.int64(base)
 
 
-def place(parts: DataFrame, size: int = 1024, nodes: int = 20_000) -> DataFrame:
+def place(parts: DataFrame, size: int = 1024, nodes: int = 1_500) -> DataFrame:
     """``parts`` (length, task, rank and any other columns) with sequence_id and offset in place of task and rank."""
     counted = stored(parts.groupBy("length", "task").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -249,6 +249,6 @@ def place(parts: DataFrame, size: int = 1024, nodes: int = 20_000) -> DataFrame:
     return ranked.mapInArrow(seats, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, nodes: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, nodes: int = 1_500) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     return place(pieces(docs, tokenizer, end_id, size), size, nodes)
