@@ -43,7 +43,7 @@ OFTEN = 8
 HOT = 20_000
 #: N-grams of one block that a task joins at once; larger blocks are cut into parts of half of it.
 HELD = 3_000_000
-#: Candidate classes that may be broadcast; beyond it texts are joined with them by a shuffle.
+#: Rows of narrow tables that may be broadcast; beyond it joins with them shuffle.
 BROADCAST_ROWS = 400_000
 
 
@@ -120,30 +120,46 @@ def _prefixes(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], num: int,
             cold = ~among(values)
             yield pa.RecordBatch.from_arrays([pa.array(values[cold]), pa.array(nodes[cold])], ["gram", "node"])
 
+    def slim(batches):
+        """What a class needs for its prefix besides the shared n-grams: how many others it has, the very frequent, those by hash."""
+        for batch in slices(batches):
+            lists = batch.column(2)
+            rows = []
+            for k, node, n in zip(range(batch.num_rows), batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = lists[k].values.to_numpy()
+                low = (mine >= 0) & (mine < 1 << LOW)
+                known = among(mine)
+                rows.append((node, n, int((low & ~known).sum()), mine[low & known], mine[~low]))
+            columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "low", "often", "others"])
+
     def chosen(batches):
         for batch in slices(batches):
             nodes, keys, sizes = [], [], []
-            for node, n, held, shared in zip(*(x.to_pylist() for x in batch.columns)):
-                mine = np.array(held, np.int64)
-                shared = shared or []
-                known = {x["gram"]: x["df"] for x in shared}
-                rank = {g: (0, known[g], g) if g in known else None for g in held}
-                for g in mine[among(mine)].tolist():
-                    rank[g] = (1, int(often[np.searchsorted(grams, g)]), g)
-                for g in held:
-                    if not 0 <= g < 1 << LOW:  # not counted over the corpus: by hash, after the others
-                        rank[g] = (2, g < 0, g) if rank[g] else (2, g < 0, None)
-                left = prefix(n, num, den) - sum(x is None for x in rank.values())
-                for r in sorted((x for x in rank.values() if x and (x[0] < 2 or x[2] is not None)))[: max(0, left)]:
+            for node, n, low, frequent, others, shared in zip(*(x.to_pylist() for x in batch.columns)):
+                ranked = [(0, x["df"], x["gram"]) for x in shared or [] if 0 <= x["gram"] < 1 << LOW]
+                left = prefix(n, num, den) - (low - len(ranked))  # the n-grams that it alone has come first
+                if left <= 0:
+                    continue
+                ranked += [(1, int(often[np.searchsorted(grams, g)]), g) for g in frequent]
+                met = {x["gram"] for x in shared or []} | set(np.array(others, np.int64)[among(np.array(others, np.int64))].tolist())
+                ranked += [(2, g < 0, g) for g in others if g in met]  # not counted over the corpus: by hash, after the others
+                for _, _, g in sorted(ranked)[:left]:
                     nodes.append(node)
-                    keys.append(r[2])
+                    keys.append(g)
                     sizes.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["gram", "node", "n"])
 
     counts = classes.select("node", "grams").mapInArrow(counted, "gram long, node long")
     df = F.count("*").over(_by("gram"))
     shared = counts.withColumn("df", df).where("df > 1").groupBy("node").agg(F.collect_list(F.struct("gram", "df")).alias("shared"))
-    return classes.select("node", "n", "grams").join(shared, "node", "left").mapInArrow(chosen, "gram long, node long, n long")
+    rest = classes.select("node", "n", "grams").mapInArrow(slim, "node long, n long, low long, often array<long>, others array<long>")
+    return rest.join(shared, "node", "left").mapInArrow(chosen, "gram long, node long, n long")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has few enough rows; else the join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _by(*columns: str):
@@ -263,8 +279,6 @@ def _passed(grams: list[int], last: int) -> int:
 
 def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): links of the classes ``wanted`` (doc_id, set, node, block)."""
-    few = wanted.count() <= BROADCAST_ROWS
-
     def sets(batches):
         for batch in slices(batches):
             keep, grams = [], []
@@ -288,11 +302,11 @@ def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> D
                 held.append(np.frombuffer(grams, np.uint64))
         yield from _linked(ids, held, sides, num, den)
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_small(wanted), "doc_id")
     members = stored(texts.select("text", "set", "node", "block").mapInArrow(sets, "node long, block long, n long, grams binary"))
     parts = members.groupBy("block").agg(F.ceil(F.sum("n") / HELD * 2).cast("int").alias("parts"), F.max("n").alias("n")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    large = parts.where("parts > 1").select("block", "parts")
-    sized = members.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = stored(parts.where("parts > 1").select("block", "parts"))
+    sized = members.join(_small(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"), F.when(j == own, F.lit(-1)).otherwise((own > j).cast("int")).alias("side"))))
     dealt = sized.withColumn("cell", cells).select(F.concat_ws(":", "block", "cell.i", "cell.j").alias("key"), "node", F.col("cell.side").alias("side"), "grams")
@@ -310,7 +324,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     summaries = stored(_summaries(docs, n, num, den))
     full = summaries.where("n > 0")
     classes = stored(full.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("doc_id")))
-    nodes = stored(full.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "grams"))
+    nodes = stored(full.join(_small(classes.select(F.col("node").alias("row"))), "row").select(F.col("row").alias("node"), "n", "grams"))
     prefixes = stored(_prefixes(nodes, _hot(summaries), num, den))
     blocks = _blocks(prefixes, num, den)
     wanted = stored(classes.select("doc_id", "set", "node").join(blocks.withColumnRenamed("label", "block"), "node"))
