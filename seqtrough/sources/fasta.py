@@ -52,7 +52,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], splittable: bool = Fa
     the first column, after a line feed.
     """
     if not splittable:
-        texts = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
         return parse(texts, default_header)
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("rec"), "value")
     body = F.when(F.instr("value", "\n") > 0, F.substring("value", F.instr("value", "\n") + 1, F.length("value"))).otherwise(F.lit(""))
