@@ -234,7 +234,8 @@ def _batch(rows) -> pa.RecordBatch:
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids of the documents that ``keys`` (doc_id) names, by Bloom filter and binary search in each key's shard."""
-    m = manifest.select("path", "first_id", "last_id")
+    least = F.lit(-(1 << 63))  # a shard may begin with rows without an identifier
+    m = manifest.select("path", F.coalesce("first_id", least).alias("first_id"), F.coalesce("last_id", least).alias("last_id"))
     at = keys.select(F.col("doc_id").cast("long")).distinct().join(m, F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
     sorted_keys = at.select("path", "doc_id").repartition("path", F.pmod("doc_id", F.lit(64))).sortWithinPartitions("path", "doc_id")
 
