@@ -445,7 +445,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rng = np.random.default_rng(8)
-    text = lambda n: " ".join(rng.choice([*["the", "of", "and"] * 30, *(f"word{k}" for k in range(900))], n))
+    text = lambda n: " ".join(rng.choice([*["the", "of", "and"] * 30, *("word" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(676))], n))
     item, base = text(30), text(200)
     near = base.split()
     near[100] = "other"
