@@ -7,6 +7,7 @@ import json
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -114,6 +115,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 #: Fixed value: how a byte-level tokenizer of this family cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = ".,;:!?"
 WORD_SPACE = re.compile(r" (?=\S)")
 
 
@@ -154,7 +156,7 @@ class Encoder:
     go through the library's merge model. Other kinds of tokenizer encode each text as it is.
     """
 
-    CHUNKS, PIECES = 300_000, 250_000
+    CHUNKS, PIECES = 800_000, 100_000  # keys of a generation of each memo, about 150 bytes a key
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -174,6 +176,7 @@ class Encoder:
         )
         self.cut = regex.compile(PIECES)
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.alone = not any(x.rstrip(MARKS).isalpha() for x in self.added)  # no added token is a plain word
         self.pieces = _Memo(self._piece, self.PIECES)
         self.memo = _Memo(self._spaced, self.CHUNKS)
 
@@ -183,7 +186,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece, by the tokenizer's own merge model."""
         spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return np.array([x.id for x in self.model.tokenize(spelled)], "<u4").tobytes()
+        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if any(x in chunk for x in self.added):
@@ -191,6 +194,12 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(chunk)))
 
     def _spaced(self, word: str) -> bytes:
+        """Ids of a word after a space. Letters alone are one piece, and a mark after them is another."""
+        if self.alone:
+            if word.isalpha():
+                return self._piece(" " + word)
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.memo[word[:-1]] + self.pieces[word[-1]]
         if not word or word[0].isspace():  # never kept, so that a text with runs of spaces always comes here
             raise _OddSpace
         return self._chunk(" " + word)
