@@ -16,7 +16,11 @@ they come. An empty table gives no rows. Columns besides ``doc_id`` and ``text``
 from __future__ import annotations
 
 import math
+import random
+from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -100,109 +104,149 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
 
 
 class _Search:
-    """Bin completion over a histogram of lengths."""
+    """Bin completion over a histogram of lengths.
 
-    WIDTH = 3  # fillings tried at a branch
-    TRIES = 400  # sums looked at for one filling
+    The whole pass takes a branch's fillings as they are found and leaves out none that could beat the incumbent. The narrow
+    pass tries at each branch the WIDTH of fewest pieces among the first LOOK, and so reaches far decisions soon. Each has
+    ``nodes``, and LOOK fillings for each node, and ends as the lower bound is met.
+    """
+
+    LOOK = 64
+    WIDTH = 3
+    PASSES = ((1, True), (LOOK, False))  # fillings to choose from at first, whether all others follow
 
     def __init__(self, counts: dict[int, int], size: int, nodes: int):
         self.size, self.nodes = size, nodes
-        self.counts = np.zeros(size + 1, np.int64)
+        self.counts = [0] * (size + 1)
         for n, c in counts.items():
             self.counts[n] = c
-        self.total = int((self.counts * np.arange(size + 1)).sum())
+        self.total = sum(n * c for n, c in counts.items())
         self.least = lower_bound(counts, size)
         self.best = best_fit(counts, size)
         self.most = sum(t for _, t in self.best)
+        draw = random.Random(0)
+        self.marks = [draw.getrandbits(128) for _ in range(size + 1)]
+        self.seen: dict[int, int] = {}  # sequences before, by what is left (sum of its marks)
+
+    def fillings(self, room: int, c: list[int], most: int) -> Iterator[tuple[int, ...]]:
+        """Undominated fillings of ``room`` from ``c``, least waste first, up to ``most``: none leaves space for another piece, or for a longer one in place of one of its own."""
+        have = [n for n in range(1, room + 1) if c[n]]
+        full = (1 << room + 1) - 1
+        sums = [1]  # bits: what the first so many lengths of ``have`` add up to; all else adds nothing once all bits are set
+        for n in have:
+            bits, left, step = sums[-1], min(c[n], room // n), 1
+            while left:
+                step = min(step, left)
+                bits |= bits << n * step & full
+                left -= step
+                step *= 2
+            sums.append(bits)
+            if bits == full:
+                break
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room``, least waste first: none leaves space for another piece, or for a longer one in place of one of its own."""
-        c = self.counts
-        have = np.flatnonzero(c[: room + 1])
-        if not len(have):
-            return [()]
-        out: dict[tuple[int, ...], int] = {}
-        tries = self.TRIES
-        least = int(have[0])
-
-        def free(n: int, used: tuple[int, ...]) -> bool:
-            return c[n] > used.count(n)
-
-        def grow(used: tuple[int, ...], left: int, top: int) -> bool:
-            """True once fillings enough without waste are known."""
-            nonlocal tries
-            tries -= 1
-            if left >= 0 and (left < least or tries <= 0):
-                out[used] = left
-                return sum(w == 0 for w in out.values()) >= self.WIDTH or tries <= 0
-            if left <= top and left <= room and free(left, used):
-                out[(*used, left)] = 0
-                if sum(w == 0 for w in out.values()) >= self.WIDTH:
-                    return True
-            grown = False
-            for n in have[: np.searchsorted(have, min(left, top), "right")][::-1]:
-                n = int(n)
-                if n != left and free(n, used):
-                    grown = True
-                    if grow((*used, n), left - n, n):
-                        return True
-            if not grown:
-                out.setdefault(used, left)
-            return False
-
-        grow((), room, room)
+        def reached(k: int, x: int) -> int:
+            return sums[min(k, len(sums) - 1)] >> x & 1
+
+        def exact(k: int, left: int) -> Iterator[tuple[int, ...]]:
+            """Fillings of just ``left`` from the first ``k`` lengths, longest pieces first."""
+            if not left:
+                yield ()
+                return
+            for j in range(min(k, bisect_right(have, left)) - 1, -1, -1):
+                if not reached(j + 1, left):
+                    return
+                n = have[j]
+                for times in range(min(c[n], left // n), 0, -1):
+                    if reached(j, left - times * n):
+                        for rest in exact(j, left - times * n):
+                            yield (n,) * times + rest
 
         def dominated(f: tuple[int, ...], waste: int) -> bool:
-            for x in {0, *f}:
-                longer = have[np.searchsorted(have, x, "right") : np.searchsorted(have, x + waste, "right")]
-                if any(free(int(n), f) for n in longer):
-                    return True
-            return False
-
-        ranked = sorted(out.items(), key=lambda x: (x[1], len(x[0])))
-        kept = [f for f, w in ranked if w == 0 or not dominated(f, w)]
-        return (kept or [f for f, _ in ranked])[: self.WIDTH]
+            return any(c[n] > f.count(n) for x in {0, *f} for n in have[bisect_right(have, x) : bisect_right(have, x + waste)])
+
+        for waste in range(min(room, most) + 1):
+            if reached(len(have), room - waste):
+                for f in exact(len(have), room - waste):
+                    self.looks -= 1
+                    if self.looks < 0:
+                        return
+                    if not waste or not dominated(f, waste):
+                        yield f
+
+    def choices(self, longest: int, most: int, look: int, whole: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings of the longest piece's sequence, each as often as the counts permit, then each less often."""
+        room, c = self.size - longest, list(self.counts)
+        c[longest] -= 1
+
+        def often(f: tuple[int, ...]) -> int:
+            return min((c[n] + (n == longest)) // f.count(n) for n in set(f))
+
+        more = False
+        found = self.fillings(room, c, most)
+        first = sorted(islice(found, look), key=lambda f: (room - sum(f), len(f)))
+        for rest in chain(first, found) if whole else first[: self.WIDTH]:
+            f = (longest, *rest)
+            more = more or often(f) > 1
+            yield f, often(f)
+        for rest in self.fillings(room, c, most) if more and whole else ():
+            f = (longest, *rest)
+            for times in range(often(f) - 1, 0, -1):
+                yield f, times
 
     def run(self) -> Plan:
-        """Depth first; a node is left as soon as its waste rules out a better plan than the incumbent."""
+        for look, whole in self.PASSES:
+            self._pass(look, whole)
+        return self.best
+
+    def _pass(self, look: int, whole: bool) -> None:
+        """Depth first; a node is left as soon as its waste rules out a better plan than the incumbent, or if what is left was met before."""
         plan: Plan = []
-        stack: list[tuple[int, list]] = []  # waste before, fillings still to try
+        counts, left = list(self.counts), self.nodes
+        self.seen.clear()
+        self.looks = self.nodes * self.LOOK
+        key = sum(c * m for c, m in zip(self.counts, self.marks))
         waste = used = 0
-        while self.most > self.least and self.nodes > 0:
-            self.nodes -= 1
-            top = np.flatnonzero(self.counts)
-            allowed = (self.most - 1) * self.size - self.total
-            if not len(top) and used < self.most:
-                self.best, self.most = list(plan), used
-            if len(top) and waste <= allowed:
-                longest = int(top[-1])
-                self.counts[longest] -= 1
-                choices = self.fillings(self.size - longest)
-                self.counts[longest] += 1
-                stack.append((waste, [(longest, *f) for f in reversed(choices)]))
-            elif stack:
-                while stack and len(plan) >= len(stack):  # undo to the last node with a choice left
-                    lengths, times = plan.pop()
-                    for n in lengths:
-                        self.counts[n] += times
-                    used -= times
-                    if stack[-1][1]:
+        longest = [max(n for n, c in enumerate(self.counts) if c)]
+        stack = [self.choices(longest[0], (self.most - 1) * self.size - self.total, look, whole)]
+        while stack and self.most > self.least and left > 0:
+            chosen = next(stack[-1], None)
+            if chosen:
+                left -= 1
+                lengths, times = chosen
+                sign = 1
+                plan.append(chosen)
+            else:
+                stack.pop()
+                longest.pop()
+            while True:
+                if not chosen:  # undo
+                    if not plan:
                         break
-                    stack.pop()
-            if not stack or not stack[-1][1]:
-                break
-            waste, choices = stack[-1]
-            lengths = choices.pop()
-            times = min(int(self.counts[n]) // lengths.count(n) for n in set(lengths))
-            for n in lengths:
-                self.counts[n] -= times
-            plan.append((lengths, times))
-            used += times
-            waste += times * (self.size - sum(lengths))
-        return self.best
-
-
-def plan(counts: dict[int, int], size: int = 1024, nodes: int = 1_500) -> Plan:
+                    lengths, times = plan.pop()
+                    sign = -1
+                for n in lengths:
+                    self.counts[n] -= sign * times
+                    key -= sign * times * self.marks[n]
+                used += sign * times
+                waste += sign * times * (self.size - sum(lengths))
+                if sign < 0:
+                    break
+                top = longest[-1]
+                while top and not self.counts[top]:
+                    top -= 1
+                if not top and used < self.most:
+                    self.best, self.most = list(plan), used
+                spare = (self.most - 1) * self.size - self.total - waste
+                if top and spare >= 0 and self.seen.get(key, used + 1) > used:
+                    self.seen[key] = used
+                    longest.append(top)
+                    stack.append(self.choices(top, spare, look, whole))
+                    break
+                chosen = None
+        self.counts = counts
+
+
+def plan(counts: dict[int, int], size: int = 1024, nodes: int = 20_000) -> Plan:
     """Which lengths share a sequence, and how often; lengths of ``size`` are none of its business."""
     counts = {n: c for n, c in counts.items() if c and n < size}
     return _Search(counts, size, nodes).run() if counts else []
@@ -224,7 +268,7 @@ def segments(plan: Plan) -> tuple[np.ndarray, ...]:
     return (a[:, 0] << 44) + a[:, 1], a[:, 2] - a[:, 1], a[:, 3], np.int64(base)
 
 
-def place(parts: DataFrame, size: int = 1024, nodes: int = 1_500) -> DataFrame:
+def place(parts: DataFrame, size: int = 1024, nodes: int = 20_000) -> DataFrame:
     """``parts`` (length, task, rank and any other columns) with sequence_id and offset in place of task and rank."""
     counted = stored(parts.groupBy("length", "task").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -249,6 +293,6 @@ def place(parts: DataFrame, size: int = 1024, nodes: int = 1_500) -> DataFrame:
     return ranked.mapInArrow(seats, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, nodes: int = 1_500) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, nodes: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     return place(pieces(docs, tokenizer, end_id, size), size, nodes)

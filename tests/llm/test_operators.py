@@ -417,6 +417,13 @@ def test_plans_are_whole_and_near_optimal():
     assert packing.plan({}) == [] and sum(t for _, t in packing.plan({6: 1, 5: 2, 4: 1, 3: 2, 2: 1}, 10)) == 3
 
 
+def test_plan_looks_past_the_third_filling():
+    lengths = [1, 4, 6, 7, 12, 12, 26, 27, 28, 28, 31, 35, 36, 41, 70, 70, 73, 75, 85, 102, 107]  # six full sequences of 146, cut up
+    plan = packing.plan(dict(Counter(lengths)), 146)
+    assert sum(t for _, t in plan) == 6 == packing.lower_bound(dict(Counter(lengths)), 146)
+    assert Counter(n for f, t in plan for n in f * t) == Counter(lengths)
+
+
 def test_pack(spark):
     texts = ODD + ["same words here"] * 5
     e = common.encoder(tokenizer_path())
