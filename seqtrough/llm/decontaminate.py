@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts and items become lower-cased runs of letters, digits and underscores; features are five-word
-shingles, weighted by how few items have them. For each item length, every window of that many words
+shingles, weighted by how few items of the whole benchmark have them. For each item length, every window of that many words
 that could still reach the threshold gets a 64-bit SimHash. A multi-index of 16-bit blocks finds all
 items of that length within RADIUS bits: among four blocks at least one differs in at most RADIUS // 4
 bits, and the index lists each item under all such values. Weighted Jaccard similarity of the shingles
@@ -9,7 +9,8 @@ then decides exactly.
 
 A window reaches the threshold only if that share of its shingle weight belongs to items at all, so
 other windows need no hash; nothing is lost by that. Items stand on every task; they are taken in blocks
-of ITEMS, and each block meets all documents, so the memory does not grow with the benchmark.
+of ITEMS, and each block meets all documents, so of the benchmark only the weights of shingles that
+several items have are held throughout; all others weigh the same.
 
 Defined results. Null and empty texts and items match nothing. Items shorter than five words are one
 shingle of all their words. Repeated documents and items are each reported. ``clean`` passes all columns
@@ -58,15 +59,23 @@ def _ones(a: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items by shingle, by length and by blocks of their fingerprints."""
+    """Items by shingle, by length and by blocks of their fingerprints.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``among``: of the whole benchmark, the number of items, the shingles that several have, and how many have each;
+    without it ``items`` are all there is.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], among: tuple[int, np.ndarray, np.ndarray] | None = None):
         hashed = [(i, words_of(t or "")) for i, t in items]
         self.items = [(i, w, shingle_hashes(w, WORDS)) for i, w in hashed if len(w)]
         having: dict[int, int] = Counter(x for _, _, s in self.items for x in set(s.tolist()))
-        self.known = np.array(sorted(having), np.uint64)
-        self.rare = 1.0 + np.log(len(self.items) + 1.0)  # of a shingle that no item has
-        self.weights = np.array([1.0 + np.log((len(self.items) + 1.0) / having[x]) for x in self.known.tolist()])
+        own = np.array(sorted(having), np.uint64)
+        total, shared, counts = among or (len(self.items), own, np.array([having[x] for x in own.tolist()]))
+        self.known = np.union1d(own, shared)
+        self.mine = np.isin(self.known, own)
+        self.rare = 1.0 + np.log(total + 1.0)  # of a shingle that one item has or none
+        self.weights = np.full(len(self.known), self.rare)
+        self.weights[np.searchsorted(self.known, shared)] = 1.0 + np.log((total + 1.0) / counts)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.lengths = sorted({len(w) for _, w, _ in self.items})
@@ -81,7 +90,7 @@ class Index:
         self.held = np.broadcast_to(np.arange(len(self.items), dtype=np.int32), keys.shape).ravel()[order]
 
     def weight(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of shingles, and which of them some item has."""
+        """Weights of shingles, and which of them some item here has."""
         hit = self.seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]
         out = np.full(len(s), self.rare)
         if hit.any():
@@ -89,6 +98,7 @@ class Index:
             true = self.known[at] == s[hit]
             hit[hit] = true
             out[hit] = self.weights[at[true]]
+            hit[hit] = self.mine[at[true]]
         return out, hit
 
     def _bag(self, s: np.ndarray) -> dict[int, float]:
@@ -160,16 +170,35 @@ def similarity(a: dict[int, float], b: dict[int, float]) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
+def _among(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, the sorted shingles that several items have, and how many have each."""
+
+    def shingles(batches):
+        for batch in slices(batches):
+            words = [w for w in map(words_of, strings(batch.column(0))) if len(w)]
+            grams = [np.unique(shingle_hashes(w, WORDS)).view(np.int64) for w in words]
+            first = np.concatenate([np.arange(len(g)) == 0 for g in grams] or [np.zeros(0, bool)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*grams, np.empty(0, np.int64)])), pa.array(first)], ["gram", "first"])
+
+    counted = items.select("text").mapInArrow(shingles, "gram long, first long").groupBy("gram").agg(F.count("*").alias("n"), F.sum("first").alias("items")).persist()
+    total = counted.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("n")).first().n
+    rows = counted.where("n > 1").select("gram", "n").collect()
+    counted.unpersist()
+    grams, counts = np.array([x.gram for x in rows], np.int64).view(np.uint64), np.array([x.n for x in rows], np.int64)
+    order = np.argsort(grams)
+    return total, grams[order], counts[order]
+
+
 def _indexes(items: DataFrame):
-    """An index for each block of items; a block is what the driver holds at a time."""
-    held = []
+    """An index for each block of items; a block, and the shingles that several items have, are what the driver holds at a time."""
+    held, among = [], _among(items)
     for r in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         held.append((r[0], r[1]))
         if len(held) == ITEMS:
-            yield Index(held)
+            yield Index(held, among)
             held = []
     if held:
-        yield Index(held)
+        yield Index(held, among)
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -279,6 +279,17 @@ def test_decontamination_like_brute_force(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_weights_are_of_the_whole_benchmark(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    common_words = prose(rng, 15)
+    items = spark.createDataFrame([(k, f"{prose(rng, 25)} {common_words}") for k in range(7)] + [(7, ""), (8, None)], "item_id long, text string")
+    texts = [f"{prose(rng, 9)} {' '.join(t.split()[:36])} zz {' '.join(t.split()[37:])} {prose(rng, 5)}" for t in (r.text for r in items.where("item_id < 7").collect())]
+    table = docs(spark, *texts, " ".join(texts))
+    whole = sorted(decontaminate.matches(table, items).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS", 2)
+    assert whole and sorted(decontaminate.matches(table, items).collect()) == whole
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
