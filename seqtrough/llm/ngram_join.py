@@ -278,7 +278,13 @@ def _passed(grams: list[int], last: int) -> int:
 
 
 def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links of the classes ``wanted`` (doc_id, set, node, block)."""
+    """(a, b): links of the classes ``wanted`` (doc_id, set, node, block); those without a doc_id get a text by their set."""
+
+    def hashed(batches):
+        for batch in slices(batches):
+            own = [xxhash.xxh3_128_digest(ngram_set(text, n).tobytes()) for text in strings(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["text", "set"])
+
     def sets(batches):
         for batch in slices(batches):
             keep, grams = [], []
@@ -303,7 +309,9 @@ def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> D
         yield from _linked(ids, held, sides, num, den)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(_small(wanted), "doc_id")
-    members = stored(texts.select("text", "set", "node", "block").mapInArrow(sets, "node long, block long, n long, grams binary"))
+    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(hashed, "text string, set binary").dropDuplicates(["set"])
+    unnamed = nameless.join(_small(wanted.where("doc_id IS NULL").drop("doc_id")), "set")
+    members = stored(texts.select("text", "set", "node", "block").unionByName(unnamed.select("text", "set", "node", "block")).mapInArrow(sets, "node long, block long, n long, grams binary"))
     parts = members.groupBy("block").agg(F.ceil(F.sum("n") / HELD * 2).cast("int").alias("parts"), F.max("n").alias("n")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
     large = stored(parts.where("parts > 1").select("block", "parts"))
     sized = members.join(_small(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -323,13 +331,13 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text): links from ``num / den`` up."""
     summaries = stored(_summaries(docs, n, num, den))
     full = summaries.where("n > 0")
-    classes = stored(full.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("doc_id")))
+    classes = stored(full.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
     nodes = stored(full.join(_small(classes.select(F.col("node").alias("row"))), "row").select(F.col("row").alias("node"), "n", "grams"))
     prefixes = stored(_prefixes(nodes, _hot(summaries), num, den))
     blocks = _blocks(prefixes, num, den)
     wanted = stored(classes.select("doc_id", "set", "node").join(blocks.withColumnRenamed("label", "block"), "node"))
     found = stored(components(_joined(docs, wanted, n, num, den)))
-    named = classes.select("set", "node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = classes.select("set", "node", F.col("doc_id").alias("least")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = stored(named.join(names, "label").select("set", "component_id"))
     linked = full.select("doc_id", "set", "n").join(by_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -337,6 +337,13 @@ def test_ngram_join_odd_tables(spark):
     assert got == [(False, 4, 0, 4), (False, 4, 3, 4), (False, 4, 3, 4), (True, 0, 0, None), (True, 0, 3, 4)]
 
 
+def test_ngram_join_links_near_copies_without_identifiers(spark):
+    words = prose(np.random.default_rng(12), 200).split()
+    a, b, c = (" ".join(words[: 200 - k]) for k in (0, 20, 40))  # b links a and c, which do not link themselves
+    table = spark.createDataFrame([(None, a), (5, a), (None, b), (None, b), (7, c)], DOC).coalesce(1)
+    assert {r.component_id for r in ngram_join.join(table, n=4, num=85, den=100).collect()} == {5}
+
+
 def test_trie_links_span_components():
     rng = np.random.default_rng(12)
     for sides in (False, True):
