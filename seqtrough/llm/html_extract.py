@@ -1,10 +1,17 @@
 """Main text of web pages by text-to-tag ratios over the standard library's parser events.
 
-The page is fed to the parser in pieces. Its events build lines, a line for each block of text, each with
-its tags and the containers it stands in. A line's ratio of text to tags is smoothed over its neighbours
-with a Gaussian; lines above a threshold form the content clusters. The article is the container that the
-clusters point to, and every line of it is kept, short ones too; lines in menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments never count.
+The page is fed to the parser in pieces. Its events build lines, one for each block of text, each with its
+tags and the block elements it stands in. A line's ratio of text to tags is smoothed over its neighbours
+with a Gaussian; lines at or above a threshold, half the deviation of the smoothed ratios, form clusters.
+
+The clusters choose the regions: in the tree of block elements each clustered line counts for its text, each
+other line against by the text that its tags lack to reach the threshold (up to LACK for a tag), and the element
+of the greatest sum is a region, the innermost of equals. So link lists, menus and small print beside the clusters
+push it inwards, whatever the elements are called; elements beside it that have a cluster of their own are regions too.
+All lines of a region are its text, short ones too, but for those in elements which HTML or their own
+names call menus, headers, footers, sidebars, notices, adverts, forms or reader comments: those never count for
+a region, as the ratio cannot tell a reader's comment from the article. If by names alone nothing
+would be left, names are ignored.
 
 Defined results. Null, empty and textless pages have an empty text. Unclosed and stray tags are taken as
 browsers do: a closing tag ends what it matches, if anything. Repeated rows are extracted each; columns
@@ -15,6 +22,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +30,15 @@ from pyspark.sql import DataFrame
 
 from .common import slices, strings
 
-#: Fixed values of HTML: elements without an end tag, elements that begin and end a block.
+#: Fixed values of HTML: elements without an end tag, elements that begin and end a block, elements without readable text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never hold the article's text.
-NEVER = frozenset(
-    "head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video map menu dialog".split()
-)
+SILENT = frozenset("head script style noscript template button select textarea iframe object svg canvas audio video map".split())
+#: Elements and roles that HTML itself sets apart from the article.
+ASIDE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of class and id names of what is not the article.
 NAMES = frozenset(
@@ -39,24 +46,34 @@ NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar rail aside footer foot masthead topbar toolbar "
     "comment comments respond replies disqus share sharing social related recommended newsletter subscribe signup login search widget".split()
 )
-#: Containers that may be the article.
-CONTAINERS = frozenset("article main section div body td blockquote".split())
 SPACES = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 PIECE = 1 << 16
 SIGMA = 2.0
+#: Characters that a line outside of clusters lacks for each tag, at most: one huge line raises the threshold for all others.
+LACK = 25.0
+#: Share of the first region's sum that a further region needs.
+SHARE = 0.1
+#: How a block is set apart: not at all, by its name, by its element or role, as without readable text.
+PLAIN, NAMED, APART, MUTE = range(4)
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    block: int  # the innermost block element, -1 for the page
+    apart: int  # the strongest way in which the elements around are set apart
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, containers) for each block outside of what never is the article."""
+    """Collects a line for each block of text, and the tree of block elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # of containers, by number
-        self.open: list[tuple[str, bool, int]] = []  # name, whether it shuts its text out, container's number or -1
-        self.shut = 0
-        self.within: tuple[int, ...] = ()
+        self.lines: list[Line] = []
+        self.parents: list[int] = []  # of block elements, by number as they open
+        self.open: list[tuple[str, int, int]] = []  # name, number or -1, the strongest way around
+        self.articles = 0  # open article and main elements
         self.text: list[str] = []
         self.tags = 0
 
@@ -64,19 +81,19 @@ class Lines(HTMLParser):
         if self.text:
             line = SPACES.sub(" ", "".join(self.text)).strip()
             if line:
-                self.lines.append((line, self.tags, self.within))
+                block = next((n for _, n, _ in reversed(self.open) if n >= 0), -1)
+                self.lines.append(Line(line, self.tags, block, self.open[-1][2] if self.open else PLAIN))
                 self.tags = 0
             self.text = []
 
-    def _shuts(self, tag: str, attrs: list) -> bool:
-        if tag in NEVER or tag == "header" and not any(k in ("article", "main") for k in (self.kinds[c] for c in self.within)):
-            return True
-        for name, value in attrs:
-            if value and (name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES & set(WORDS.findall(value.lower())) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true"):
-                return True
-            if name == "hidden":
-                return True
-        return False
+    def _apart(self, tag: str, attrs: list) -> int:
+        if tag in SILENT or any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs):
+            return MUTE
+        if tag in ASIDE or tag == "header" and not self.articles or any(name == "role" and value and value.lower() in ROLES for name, value in attrs):
+            return APART
+        if tag not in ("html", "body", "article", "main") and any(name in ("class", "id") and value and NAMES & set(WORDS.findall(value.lower())) for name, value in attrs):
+            return NAMED
+        return PLAIN
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -86,27 +103,24 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in ("article", "main") and self.shut:  # a menu that was never closed ends here
-            for k, (name, shuts, _) in enumerate(self.open):
-                if shuts and name in ("nav", "header", "ul", "head"):
+        if tag in ("article", "main"):  # a menu that was never closed ends here
+            for k, (name, _, apart) in enumerate(self.open):
+                if apart >= APART and name in ("nav", "header", "ul", "head"):
                     self._close(k)
                     break
-        if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
-            self._close(len(self.open) - 1)
-        shuts = self._shuts(tag, attrs)
+        if tag in BLOCKS:  # a block ends a paragraph that is open, an item the item before it
+            last = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][1] >= 0), -1)
+            if last >= 0 and self.open[last][0] in ("p", tag if tag == "li" else "p"):
+                self._close(last)
         number = -1
-        if tag in CONTAINERS:
-            number = len(self.kinds)
-            self.kinds.append(tag)
-            self.within += (number,)
-        self.open.append((tag, shuts, number))
-        self.shut += shuts
+        if tag in BLOCKS:
+            number = len(self.parents)
+            self.parents.append(next((n for _, n, _ in reversed(self.open) if n >= 0), -1))
+        self.open.append((tag, number, max(self.open[-1][2] if self.open else PLAIN, self._apart(tag, attrs))))
+        self.articles += tag in ("article", "main")
 
     def _close(self, k: int) -> None:
-        for _, shuts, number in self.open[k:]:
-            self.shut -= shuts
-            if number >= 0:
-                self.within = self.within[: self.within.index(number)]
+        self.articles -= sum(name in ("article", "main") for name, _, _ in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -124,42 +138,83 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.shut:
+        if not self.open or self.open[-1][2] < MUTE:
             self.text.append(data)
 
 
-def clusters(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
-    """Which lines belong to content clusters: the smoothed ratio is at least half a deviation."""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
-    reach = int(3 * SIGMA)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    smooth = np.convolve(np.pad(ratio, reach, "edge"), kernel / kernel.sum(), "valid")
-    return smooth >= min(smooth.std() / 2 + 1e-9, smooth.max()) if len(smooth) else np.zeros(0, bool)
-
-
-def main_text(html: str) -> str:
+def parsed(html: str) -> Lines:
     parser = Lines()
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
     parser.close()
     parser.flush()
+    return parser
+
+
+def smoothed(lines: list[Line]) -> np.ndarray:
+    """Text-to-tag ratios of the lines under a Gaussian; the ends are repeated outwards."""
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    reach = int(3 * SIGMA)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+    return np.convolve(np.pad(ratio, reach, "edge"), kernel / kernel.sum(), "valid")
+
+
+def clusters(lines: list[Line]) -> tuple[np.ndarray, float]:
+    """Which lines belong to content clusters, and the threshold of the smoothed ratio."""
+    smooth = smoothed(lines)
+    least = float(min(smooth.std() / 2 + 1e-9, smooth.max()))
+    return smooth >= least, least
+
+
+def regions(lines: list[Line], parents: list[int], inside: np.ndarray, least: float, apart: int) -> set[int]:
+    """The block elements that are the text; -1 is the page.
+
+    The first has the greatest sum, the innermost of equals, among blocks that hold blocks. Blocks beside it with SHARE of its sum and a
+    clustered line that reaches the threshold by itself follow in order of their sums, none within another.
+    """
+    weight, inner, strong = [0.0] * (len(parents) + 1), [False] * (len(parents) + 1), [False] * (len(parents) + 1)  # the last is the page
+    for x, clustered in zip(lines, inside):
+        weight[x.block] += (len(x.text) if x.apart < apart else 0) if clustered else min(0.0, len(x.text) - min(least, LACK) * max(1, x.tags))
+        strong[x.block] |= bool(clustered) and x.apart < apart and len(x.text) >= least * max(1, x.tags)
+    for k in range(len(parents) - 1, -1, -1):  # children have greater numbers than their parents
+        weight[parents[k]] += weight[k]
+        strong[parents[k]] |= strong[k]
+        inner[parents[k]] = True
+    order = sorted(range(-1, len(parents)), key=lambda k: (-weight[k], -k))
+    first = next(k for k in order if inner[k] or k < 0)
+    chosen, around = {first}, set(_upwards(first, parents))
+    for k in order:
+        if weight[k] > max(0.0, SHARE * weight[first]) and strong[k] and k not in around and chosen.isdisjoint(_upwards(k, parents)):
+            chosen.add(k)
+            around.update(_upwards(k, parents))
+    return chosen
+
+
+def _upwards(k: int, parents: list[int]) -> list[int]:
+    """``k``, the blocks around it, and the page."""
+    out = [k]
+    while k >= 0:
+        k = parents[k]
+        out.append(k)
+    return out
+
+
+def within(lines: list[Line], parents: list[int], chosen: set[int], apart: int) -> list[str]:
+    """Text of the lines in the blocks ``chosen`` that are not set apart."""
+    held = [False] * len(parents) + [-1 in chosen]  # the last is the page
+    for k, parent in enumerate(parents):
+        held[k] = k in chosen or held[parent]
+    return [x.text for x in lines if x.apart < apart and held[x.block]]
+
+
+def main_text(html: str) -> str:
+    parser = parsed(html)
     lines = parser.lines
     if not lines:
         return ""
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, within), inside in zip(lines, clusters(lines)):
-        if inside:
-            total += len(text)
-            for c in within:
-                weight[c] = weight.get(c, 0) + len(text)
-    articles = [c for c, kind in enumerate(parser.kinds) if kind in ("article", "main")]
-    if articles:  # the outermost one with the most content
-        top = max(articles, key=lambda c: (weight.get(c, 0), -c))
-        return "\n".join(text for text, _, within in lines if top in within)
-    covering = [c for c, w in weight.items() if w >= 0.8 * total]
-    top = max(covering, default=-1)  # the innermost: containers are numbered as they open
-    return "\n".join(text for text, _, within in lines if top < 0 or top in within)
+    inside, least = clusters(lines)
+    apart = NAMED if any(x.apart < NAMED for x in lines) else APART
+    return "\n".join(within(lines, parser.parents, regions(lines, parser.parents, inside, least, apart), apart))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

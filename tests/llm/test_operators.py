@@ -404,11 +404,49 @@ def test_main_text(html, text):
     assert html_extract.main_text(html or "") == text
 
 
+LINKS = "".join(f"<div><a href='/{k}'>link {k}</a></div>" for k in range(12))
+LONG = [f"{w} " + "words of a long paragraph that goes on and on " * 4 for w in ("one", "two", "three", "four")]
+
+
+def test_clusters_choose_the_region_whatever_its_name(monkeypatch):
+    page = f"<div><div>{LINKS}</div><div><div>{LONG[0]}</div><div>short</div><div>{LONG[1]}</div></div><div><div>{LONG[2]}</div></div><div>{LINKS}</div></div>"
+    inner = f"<article><div>{LINKS}</div><div><h2>T</h2><p>{LONG[0]}</p><p>{LONG[1]}</p></div><div>{LINKS}</div></article>"
+    menu = f"<div><div>{LINKS}</div><div><div>{LONG[0]}</div><div>{LONG[1]}</div></div></div>"
+    body = [x.strip() for x in LONG]
+    assert html_extract.main_text(menu) == "\n".join(body[:2])
+    assert html_extract.main_text(inner) == "\n".join(["T", *body[:2]])
+    assert html_extract.main_text(page) == "\n".join([body[0], "short", *body[1:3]])  # two sections: neither is lost
+    found = html_extract.clusters
+    monkeypatch.setattr(html_extract, "clusters", lambda lines: (np.full(len(lines), True), found(lines)[1]))
+    assert all("link 0" in html_extract.main_text(x) for x in (menu, inner, page))
+
+
+def test_smoothed_ratio_like_brute_force():
+    lines = html_extract.parsed(f"<p>{LONG[0]}</p><ul><li>a<li>b</ul><div>c <b>d</b></div>{LINKS}<p>{LONG[1]}").lines
+    assert [x.tags for x in lines[:4]] == [1, 4, 1, 4]
+    ratio = [len(x.text) / max(1, x.tags) for x in lines]
+    for k, got in enumerate(html_extract.smoothed(lines)):
+        near = [(np.exp(-(d * d) / 8), ratio[min(max(k + d, 0), len(lines) - 1)]) for d in range(-6, 7)]
+        assert abs(got - sum(w * x for w, x in near) / sum(w for w, _ in near)) < 1e-9
+    inside, least = html_extract.clusters(lines)
+    smooth = html_extract.smoothed(lines)
+    assert abs(least - smooth.std() / 2) < 1e-6 and inside.tolist() == [x >= least for x in smooth]
+
+
+def test_one_huge_line_does_not_push_the_others_out():
+    page = f"<body><nav>{LINKS}</nav><article><h1>T</h1><p>{'x ' * 40_000}</p>" + "".join(f"<p>line {k}</p>" for k in range(60)) + "</article><footer>f</footer></body>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[0] == "T" and got[2:] == [f"line {k}" for k in range(60)] and len(got[1]) == 79_999
+    assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
+
+
 def test_extract_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", None, 6)], "page_id long, url string, html string, text int")
     got = html_extract.extract(df)
     assert got.columns == ["page_id", "url", "text"] and sorted(map(tuple, got.collect())) == [(1, "u", ""), (1, "u", "a")]
     assert html_extract.extract(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>a</p>", 5)] * 3, "page_id long, url string, html string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(clash).collect()] == [(1, "u", "a", 5)] * 3
 
 
 # --- 10 -----------------------------------------------------------------------------------------
