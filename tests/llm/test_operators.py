@@ -423,7 +423,7 @@ def test_clusters_choose_the_region_whatever_its_name(monkeypatch):
 
 def test_smoothed_ratio_like_brute_force():
     lines = html_extract.parsed(f"<p>{LONG[0]}</p><ul><li>a<li>b</ul><div>c <b>d</b></div>{LINKS}<p>{LONG[1]}").lines
-    assert [x.tags for x in lines[:4]] == [1, 4, 1, 4]
+    assert [(x.text, x.tags) for x in lines[1:4]] == [("a", 3), ("b", 2), ("c d", 4)]
     ratio = [len(x.text) / max(1, x.tags) for x in lines]
     for k, got in enumerate(html_extract.smoothed(lines)):
         near = [(np.exp(-(d * d) / 8), ratio[min(max(k + d, 0), len(lines) - 1)]) for d in range(-6, 7)]
