@@ -42,8 +42,8 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = pii_tagger.tagged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.col(f"n_{kind}") for kind in pii_tagger.KINDS]
-    return tagged.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    counts = [F.col(f"n_{kind}") for kind in pii_tagger.BASE]
+    return tagged.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
