@@ -4,7 +4,8 @@ Documents become pieces (only those longer than a sequence are cut). How pieces
 their lengths alone, and there are at most ``size`` lengths however many documents there are: the plan
 is made from that bounded histogram. Bin completion takes the longest remaining length, enumerates the
 undominated fillings of the rest of its sequence, prunes by the waste that the incumbent still allows,
-and applies each filling as often as the counts permit. The incumbent is best-fit decreasing's plan.
+and applies each filling as often as the counts permit. The first incumbents are best-fit decreasing's plan and
+the plan of completing each sequence by its heaviest filling; where one meets the lower bound there is nothing to search.
 
 A piece finds its place by its rank among the pieces of its length: a task numbers its own pieces, and
 the numbers before it come from counts by task and length. No text or id is shuffled.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import random
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -103,6 +104,51 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return [(lengths, times) for kept in open_.values() for lengths, times in kept if times]
 
 
+def completed(counts: dict[int, int], size: int) -> Plan:
+    """Bin completion without going back: the longest piece's sequence gets the filling that wastes least.
+
+    Of those it takes the one of the greatest sum of squares, which no filling with a longer piece in place of its own ones dominates,
+    as often as the counts permit. A step uses up all of some length but for less than a filling takes, so there are
+    few for each length, however many pieces there are.
+    """
+    left, out = dict(counts), []
+    while left:
+        longest = max(left)
+        left[longest] -= 1
+        filling = Counter([longest, *_heaviest(left, size - longest)])
+        left[longest] += 1
+        times = min(left[n] // k for n, k in filling.items())
+        out.append((tuple(filling.elements()), times))
+        for n, k in filling.items():
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+    return out
+
+
+def _heaviest(counts: dict[int, int], room: int) -> list[int]:
+    """The pieces of greatest total up to ``room`` and of the greatest sum of squares among those: a knapsack over exact totals."""
+    best = np.full(room + 1, -1, np.int64)
+    best[0] = 0
+    steps = []
+    for n in sorted((n for n, c in counts.items() if c and n <= room), reverse=True):
+        most, k = min(counts[n], room // n), 1
+        while most:
+            k = min(k, most)
+            tried = np.where(best[: room + 1 - k * n] >= 0, best[: room + 1 - k * n] + k * n * n, -1)
+            better = np.concatenate([np.zeros(k * n, bool), tried > best[k * n :]])
+            best[k * n :] = np.maximum(best[k * n :], tried)
+            steps.append((n, k, better))
+            most -= k
+            k *= 2
+    total, out = int(np.flatnonzero(best >= 0)[-1]), []
+    for n, k, better in reversed(steps):
+        if better[total]:
+            out += [n] * k
+            total -= n * k
+    return out
+
+
 class _Search:
     """Bin completion over a histogram of lengths.
 
@@ -122,8 +168,10 @@ class _Search:
             self.counts[n] = c
         self.total = sum(n * c for n, c in counts.items())
         self.least = lower_bound(counts, size)
-        self.best = best_fit(counts, size)
-        self.most = sum(t for _, t in self.best)
+        plans = [best_fit(counts, size)]
+        if sum(t for _, t in plans[0]) > self.least:
+            plans.append(completed(counts, size))
+        self.most, self.best = min(((sum(t for _, t in x), x) for x in plans), key=lambda x: x[0])
         draw = random.Random(0)
         self.marks = [draw.getrandbits(128) for _ in range(size + 1)]
         self.seen: dict[int, int] = {}  # sequences before, by what is left (sum of its marks)
