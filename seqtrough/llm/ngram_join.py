@@ -278,23 +278,16 @@ def _passed(grams: list[int], last: int) -> int:
 
 
 def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links of the classes ``wanted`` (doc_id, set, node, block); those without a doc_id get a text by their set."""
+    """(a, b): links of the classes ``wanted`` (doc_id, set, node, block).
 
-    def hashed(batches):
-        for batch in slices(batches):
-            own = [xxhash.xxh3_128_digest(ngram_set(text, n).tobytes()) for text in strings(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["text", "set"])
+    Identifiers only choose the rows that are read again; a row's class is told by its set's hash, so rows that share
+    an identifier, or have none, each meet their own class.
+    """
 
     def sets(batches):
         for batch in slices(batches):
-            keep, grams = [], []
-            for k, (text, own) in enumerate(zip(strings(batch.column(0)), batch.column(1).to_pylist())):
-                g = ngram_set(text, n)
-                if xxhash.xxh3_128_digest(g.tobytes()) == own:
-                    keep.append(k)
-                    grams.append(g)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(3), pa.array(map(len, grams), pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["node", "block", "n", "grams"])
+            grams = [ngram_set(text, n).tobytes() for text in strings(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, grams), pa.binary()), pa.array([len(g) // 8 for g in grams], pa.int64()), pa.array(grams, pa.binary())], ["set", "n", "grams"])
 
     def join(batches):
         group, ids, held, sides = None, [], [], []
@@ -303,22 +296,24 @@ def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> D
                 if key != group:
                     yield from _linked(ids, held, sides, num, den)
                     group, ids, held, sides = key, [], [], []
+                if ids and ids[-1] == node:
+                    continue  # a class that several rows told
                 ids.append(node)
                 sides.append(side)
                 held.append(np.frombuffer(grams, np.uint64))
         yield from _linked(ids, held, sides, num, den)
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_small(wanted), "doc_id")
-    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(hashed, "text string, set binary").dropDuplicates(["set"])
-    unnamed = nameless.join(_small(wanted.where("doc_id IS NULL").drop("doc_id")), "set")
-    members = stored(texts.select("text", "set", "node", "block").unionByName(unnamed.select("text", "set", "node", "block")).mapInArrow(sets, "node long, block long, n long, grams binary"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    named = rows.join(_small(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_semi")
+    single = named.unionByName(rows.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"]).select("text")
+    members = stored(single.mapInArrow(sets, "set binary, n long, grams binary").join(_small(wanted.select("set", "node", "block")), "set").drop("set"))
     parts = members.groupBy("block").agg(F.ceil(F.sum("n") / HELD * 2).cast("int").alias("parts"), F.max("n").alias("n")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
     large = stored(parts.where("parts > 1").select("block", "parts"))
     sized = members.join(_small(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"), F.when(j == own, F.lit(-1)).otherwise((own > j).cast("int")).alias("side"))))
     dealt = sized.withColumn("cell", cells).select(F.concat_ws(":", "block", "cell.i", "cell.j").alias("key"), "node", F.col("cell.side").alias("side"), "grams")
-    return stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long"))
+    return stored(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "a long, b long"))
 
 
 def _linked(ids, held, sides, num, den):

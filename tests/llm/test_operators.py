@@ -43,7 +43,9 @@ def test_memo_keeps_two_generations():
     assert [memo[k] for k in "abcab"] == list("ABCAB") and len(memo) <= 2 and len(memo.old) <= 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [10_000, 3])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(graph, "HEAVY", heavy)
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + k, 201 + k) for k in range(30)] + [(300, 400 + k) for k in range(20)]
     label = {}
@@ -258,7 +260,7 @@ def test_tagged_and_masked(spark):
     for r, t in zip(got[:4], texts):
         assert (r.base_spans, r.n_email) in [(pii_tagger.told(pii_tagger.base_spans(x or "")), 0) for x in (t, texts[-1])]
     assert all(set(filter(None, r.base_spans.split(","))) <= set(r.spans.split(",")) and r.n_added == len(list(filter(None, r.spans.split(",")))) - len(list(filter(None, r.base_spans.split(",")))) for r in got)
-    assert f"|secret:13:{13 + len(secret)}" in at and "|secret:15009:15029" in at and "email:5:11|email:5:11" in at
+    assert f"|secret:13:{13 + len(secret)}" in at and "|secret:15009:15029" in at and "email:5:13|email:5:13" in at
     masked = {r.text for r in pii_tagger.masked(df).collect()}
     assert {"mail <EMAIL> now", "card <CARD>, ip <IP>", texts[len(ODD) + 2], 'the token = "<SECRET>" here', ""} <= masked
     assert pii_tagger.masked(df).columns == df.columns and pii_tagger.tagged(df.limit(0)).count() == 0
@@ -386,6 +388,22 @@ def test_ngram_join_links_near_copies_without_identifiers(spark):
     assert {r.component_id for r in ngram_join.join(table, n=4, num=85, den=100).collect()} == {5}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ngram_join_with_repeated_and_missing_identifiers(spark, seed):
+    rng = np.random.default_rng(20 + seed)
+    texts = [t for t in corpus(rng) if t]
+    ids = [None if x < 2 else int(x) for x in rng.integers(0, 12, len(texts))]  # many rows to an identifier
+    want = linked(texts, 4, 85, 100)
+    least = {}
+    for (k, _, c), i in zip(want, ids):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    empty = lambda k: want[k][1] == 0
+    expected = Counter((i, want[k][1], i if empty(k) else least.get(want[k][2])) for k, i in enumerate(ids))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, *texts, ids=ids).repartition(3)).collect())
+    assert got == expected
+
+
 def test_trie_links_span_components():
     rng = np.random.default_rng(12)
     for sides in (False, True):
