@@ -8,35 +8,47 @@ bits, and the index lists each item under all such values. Weighted Jaccard simi
 then decides exactly.
 
 A window reaches the threshold only if that share of its shingle weight belongs to items at all, so
-other windows need no hash; nothing is lost by that. Items stand on every task; they are taken in blocks
-of ITEMS, and each block meets all documents, so of the benchmark only the weights of shingles that
-several items have are held throughout; all others weigh the same.
+other windows need no hash; nothing is lost by that. As no shingle weighs more than one that no item has, the share of known
+shingles by number is at least that by weight.
+
+* Up to ITEMS items: their index is broadcast, and one pass over the documents finds all.
+* More items: a filter of all items' shingles (at most FILTER bits) is broadcast. One pass over the documents finds the stretches
+  around known shingles. Stretches meet blocks of about ITEMS items by the shingles that they share, weights come from joins with the
+  shingles' counts, and each block's index looks through its stretches, dealt out if they are many. The results are the same.
 
 Defined results. Null and empty texts and items match nothing. Items shorter than five words are one
-shingle of all their words. Repeated documents and items are each reported. ``clean`` passes all columns
-through, whatever their names.
+shingle of all their words. A text shorter than an item is one window. Repeated documents and items are each reported. ``clean``
+passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, slices, strings, word_hashes
+from .common import shingle_hashes, slices, stored, strings, word_hashes
 
 WORDS = 5
 SHARE = 0.8
 #: Bits by which a window's SimHash may differ; at a similarity of 0.8 about ten differ.
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
-#: Items that a pass over the documents holds.
+#: Items of an index. More are dealt into blocks of about as many.
 ITEMS = 1000
+#: Bits of the filter of all items' shingles at most: 32 MB.
+FILTER = 1 << 28
+#: Stretches that a block's index looks through in one group.
+STRETCHES = 2000
 WORD = re.compile(r"\w+")
 
 
@@ -58,30 +70,22 @@ def _ones(a: np.ndarray) -> np.ndarray:
     return np.unpackbits(a[:, None].view(np.uint8), axis=1).sum(axis=1)
 
 
+class Item(NamedTuple):
+    id: int | None
+    n_words: int
+    grams: np.ndarray
+    weights: np.ndarray
+
+
 class Index:
-    """Items by shingle, by length and by blocks of their fingerprints.
-
-    ``among``: of the whole benchmark, the number of items, the shingles that several have, and how many have each;
-    without it ``items`` are all there is.
-    """
-
-    def __init__(self, items: list[tuple[int, str]], among: tuple[int, np.ndarray, np.ndarray] | None = None):
-        hashed = [(i, words_of(t or "")) for i, t in items]
-        self.items = [(i, w, shingle_hashes(w, WORDS)) for i, w in hashed if len(w)]
-        having: dict[int, int] = Counter(x for _, _, s in self.items for x in set(s.tolist()))
-        own = np.array(sorted(having), np.uint64)
-        total, shared, counts = among or (len(self.items), own, np.array([having[x] for x in own.tolist()]))
-        self.known = np.union1d(own, shared)
-        self.mine = np.isin(self.known, own)
-        self.rare = 1.0 + np.log(total + 1.0)  # of a shingle that one item has or none
-        self.weights = np.full(len(self.known), self.rare)
-        self.weights[np.searchsorted(self.known, shared)] = 1.0 + np.log((total + 1.0) / counts)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.lengths = sorted({len(w) for _, w, _ in self.items})
-        self.bags = [self._bag(s) for _, _, s in self.items]
-        self.prints = np.array([_print((_signs(s) * self.weight(s)[0][:, None]).sum(axis=0)[None])[0] for _, _, s in self.items], np.uint64)
-        self.size = np.array([len(w) for _, w, _ in self.items])
+    """Items by length and by blocks of their fingerprints."""
+
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.bags = [bag(x.grams, x.weights) for x in items]
+        self.prints = np.array([_print((_signs(x.grams) * x.weights[:, None]).sum(axis=0)[None])[0] for x in items], np.uint64)
+        self.size = np.array([x.n_words for x in items])
+        self.lengths = sorted(set(self.size.tolist()))
         near = [0, *(sum(1 << b for b in c) for n in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), n))]
         keys = [((self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF))[None] ^ np.array(near, np.uint64)[:, None] | np.uint64(b << BLOCK_BITS) for b in range(BLOCKS)]
         keys = np.concatenate(keys).astype(np.int32)
@@ -89,25 +93,6 @@ class Index:
         self.keys = keys.ravel()[order]
         self.held = np.broadcast_to(np.arange(len(self.items), dtype=np.int32), keys.shape).ravel()[order]
 
-    def weight(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of shingles, and which of them some item here has."""
-        hit = self.seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        out = np.full(len(s), self.rare)
-        if hit.any():
-            at = np.minimum(np.searchsorted(self.known, s[hit]), len(self.known) - 1)
-            true = self.known[at] == s[hit]
-            hit[hit] = true
-            out[hit] = self.weights[at[true]]
-            hit[hit] = self.mine[at[true]]
-        return out, hit
-
-    def _bag(self, s: np.ndarray) -> dict[int, float]:
-        w, _ = self.weight(s)
-        out: dict[int, float] = defaultdict(float)
-        for x, y in zip(s.tolist(), w.tolist()):
-            out[x] += y
-        return out
-
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within RADIUS bits, each once."""
         pairs = []
@@ -123,45 +108,106 @@ class Index:
         close = _ones(prints[window] ^ self.prints[item]) <= RADIUS
         return window[close], item[close]
 
-    def matches(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(item id, first word, words, similarity) of the best window of each item that the text has."""
-        words = words_of(text)
-        best: dict[int, tuple[float, int]] = {}
-        for k in sorted({min(WORDS, n) for n in self.lengths}):
-            if len(words) < k:
-                continue
-            s = shingle_hashes(words, k)
-            weight, hit = self.weight(s)
-            if not hit.any():
-                continue
-            # Stretches of the text within reach of a hit.
-            reach = max(self.lengths)
-            at = np.flatnonzero(hit)
-            breaks = np.flatnonzero(np.diff(at) > 2 * reach) + 1
-            for part in np.split(at, breaks):
-                lo, hi = max(0, part[0] - reach), min(len(s), part[-1] + reach + 1)
-                self._stretch(s[lo:hi], weight[lo:hi], hit[lo:hi], lo, k, best)
-        return sorted((self.items[i][0], start, int(self.size[i]), round(v, 6)) for i, (v, start) in best.items())
-
-    def _stretch(self, s, weight, hit, lo: int, k: int, best) -> None:
+    def look(self, x: "Stretch", weight: np.ndarray, hit: np.ndarray, best: dict[int, tuple[float, int]]) -> None:
+        """Take into ``best`` (item: similarity, first word) the windows of a stretch; ``hit``: which of its shingles items have."""
+        s, sums = x.grams, None
         of_items = np.concatenate([[0.0], np.cumsum(weight * hit)])
         of_all = np.concatenate([[0.0], np.cumsum(weight)])
-        sums = None
+        longer = False
         for length in self.lengths:
-            n = length - k + 1
-            if min(WORDS, length) != k or n > len(s):
+            if min(WORDS, length) != x.k:
+                continue
+            n = min(length - x.k + 1, x.total)  # a text shorter than the item is one window
+            if n > len(s) or longer:
                 continue
+            longer = n < length - x.k + 1  # all longer items have that window too
             starts = np.flatnonzero((of_items[n:] - of_items[:-n]) >= SHARE * (of_all[n:] - of_all[:-n]) - 1e-9)
             if not len(starts):
                 continue
             if sums is None:
                 sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(s) * weight[:, None], axis=0)])
             window, item = self.near(_print(np.round(sums[starts + n] - sums[starts], 6)))
-            fit = self.size[item] == length
-            for x, i in zip(starts[window[fit]].tolist(), item[fit].tolist()):
-                v = similarity(self._bag(s[x : x + n]), self.bags[i])
+            fit = (self.size[item] >= length) if longer else (self.size[item] == length)
+            for at, i in zip(starts[window[fit]].tolist(), item[fit].tolist()):
+                v = similarity(bag(s[at : at + n], weight[at : at + n]), self.bags[i])
                 if v >= SHARE - 1e-9 and v > best.get(i, (0.0, 0))[0]:
-                    best[i] = (v, lo + x)
+                    best[i] = (v, x.first + at)
+
+    def told(self, best: dict[int, tuple[float, int]]) -> list[tuple]:
+        """(item id, first word, words, similarity)."""
+        return sorted(((self.items[i].id, start, int(self.size[i]), round(v, 6)) for i, (v, start) in best.items()), key=lambda r: (r[0] is not None, r))
+
+
+def bag(grams: np.ndarray, weights: np.ndarray) -> dict[int, float]:
+    out: dict[int, float] = defaultdict(float)
+    for x, y in zip(grams.tolist(), weights.tolist()):
+        out[x] += y
+    return out
+
+
+class Stretch(NamedTuple):
+    """Shingles of ``k`` words from the word ``first`` on, of a text that has ``total`` of them."""
+
+    first: int
+    k: int
+    total: int
+    grams: np.ndarray
+
+
+def stretches(text: str, lengths: list[int], known) -> list[tuple[Stretch, np.ndarray]]:
+    """The stretches of a text within reach of shingles that ``known`` tells, and which those are."""
+    words, out = words_of(text), []
+    for k in sorted({min(WORDS, n) for n in lengths}):
+        if len(words) < k:
+            continue
+        s = shingle_hashes(words, k)
+        hit = known(s)
+        if not hit.any():
+            continue
+        reach, at = max(lengths), np.flatnonzero(hit)
+        for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+            lo, hi = max(0, part[0] - reach), min(len(s), part[-1] + reach + 1)
+            out.append((Stretch(int(lo), k, len(s), s[lo:hi]), hit[lo:hi]))
+    return out
+
+
+class Whole:
+    """All items in one index, with the weights of all shingles."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        worded = [(i, w, shingle_hashes(w, WORDS)) for i, w in ((i, words_of(t or "")) for i, t in items) if len(w)]
+        having = Counter(x for _, _, s in worded for x in set(s.tolist()))
+        self.known = np.array(sorted(having), np.uint64)
+        self.total = len(worded)
+        self.of = weights_of(np.array([having[x] for x in self.known.tolist()]), self.total)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.index = Index([Item(i, len(w), s, self.weights(s)) for i, w, s in worded])
+
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        hit = self.seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        if hit.any():
+            at = np.minimum(np.searchsorted(self.known, s[hit]), len(self.known) - 1)
+            hit[hit] = self.known[at] == s[hit]
+        return hit
+
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        hit = self.hits(s)
+        out = np.full(len(s), weights_of(np.zeros(1), self.total)[0])
+        out[hit] = self.of[np.searchsorted(self.known, s[hit])]
+        return out
+
+    def matches(self, text: str) -> list[tuple]:
+        """(item id, first word, words, similarity) of the best window of each item that the text has."""
+        best: dict[int, tuple[float, int]] = {}
+        for x, hit in stretches(text, self.index.lengths, self.hits):
+            self.index.look(x, self.weights(x.grams), hit, best)
+        return self.index.told(best)
+
+
+def weights_of(having: np.ndarray, total: int) -> np.ndarray:
+    """Weight of shingles by how many of ``total`` items have them; one that none has weighs as one that a single item has."""
+    return 1.0 + np.log((total + 1.0) / np.maximum(having, 1))
 
 
 def similarity(a: dict[int, float], b: dict[int, float]) -> float:
@@ -170,70 +216,134 @@ def similarity(a: dict[int, float], b: dict[int, float]) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def _among(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of items with words, the sorted shingles that several items have, and how many have each."""
+FOUND = "doc_id long, item_id long, start long, n_words long, similarity double"
 
-    def shingles(batches):
-        for batch in slices(batches):
-            words = [w for w in map(words_of, strings(batch.column(0))) if len(w)]
-            grams = [np.unique(shingle_hashes(w, WORDS)).view(np.int64) for w in words]
-            first = np.concatenate([np.arange(len(g)) == 0 for g in grams] or [np.zeros(0, bool)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*grams, np.empty(0, np.int64)])), pa.array(first)], ["gram", "first"])
-
-    counted = items.select("text").mapInArrow(shingles, "gram long, first long").groupBy("gram").agg(F.count("*").alias("n"), F.sum("first").alias("items")).persist()
-    total = counted.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("n")).first().n
-    rows = counted.where("n > 1").select("gram", "n").collect()
-    counted.unpersist()
-    grams, counts = np.array([x.gram for x in rows], np.int64).view(np.uint64), np.array([x.n for x in rows], np.int64)
-    order = np.argsort(grams)
-    return total, grams[order], counts[order]
-
-
-def _indexes(items: DataFrame):
-    """An index for each block of items; a block, and the shingles that several items have, are what the driver holds at a time."""
-    held, among = [], _among(items)
-    for r in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == ITEMS:
-            yield Index(held, among)
-            held = []
-    if held:
-        yield Index(held, among)
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 5, kinds)], [x.split()[0] for x in FOUND.split(", ")])
+
+
+def _whole(items: DataFrame, session_items: int):
+    """The broadcast index of all items, or None if there are more than ``session_items``."""
+    if items.limit(session_items + 1).count() > session_items:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Whole([tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").collect()]))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity: the best window of each item in each document that has it."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, start long, n_words long, similarity double"
-    out = spark.createDataFrame([], schema)
-    for index in _indexes(items):
-        if not index.items:
-            continue
-        held = spark.sparkContext.broadcast(index)
+    """doc_id, item_id, start, n_words, similarity: the best window of each item in each document row that has it."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    held = _whole(items, ITEMS)
+    if held is None:
+        return _by_blocks(rows, items).select(*(x.split()[0] for x in FOUND.split(", ")))
 
-        def scan(batches, held=held):
-            for batch in slices(batches):
-                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), strings(batch.column(1))) for m in held.value.matches(t)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["doc_id", "item_id", "start", "n_words", "similarity"])
+    def scan(batches):
+        for batch in slices(batches):
+            yield _found([(i, *m) for i, t in zip(batch.column(0).to_pylist(), strings(batch.column(1))) for m in held.value.matches(t)])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema))
-    return out
+    return rows.mapInArrow(scan, FOUND)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that have an item; rows and columns else as they are."""
-    spark = docs.sparkSession
+    held = _whole(items, ITEMS)
+    if held is None:
+        # Whether a text has an item depends on the text alone, so texts are the key.
+        key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+        unlike = next(f"_key{k}" for k in range(len(docs.columns) + 1) if f"_key{k}" not in docs.columns)
+        dirty = _by_blocks(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), items).select(F.col("text_key").alias(unlike)).distinct()
+        return docs.withColumn(unlike, key).join(dirty, unlike, "left_anti").drop(unlike)
     at = docs.columns.index("text")
-    for index in _indexes(items):
-        if not index.items:
-            continue
-        held = spark.sparkContext.broadcast(index)
 
-        def keep(batches, held=held):
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not held.value.matches(t) for t in strings(batch.column(at))], pa.bool_()))
+    def keep(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not held.value.matches(t) for t in strings(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _shingled(items: DataFrame) -> DataFrame:
+    """(item, item_id, n_words, k, grams) of the items that have words."""
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    def shingles(batches):
+        first = TaskContext.get().partitionId() << 33
+        for batch in slices(batches):
+            worded = [(i, w) for i, w in zip(batch.column(0).to_pylist(), map(words_of, strings(batch.column(1)))) if len(w)]
+            columns = ([first + r for r in range(len(worded))], [i for i, _ in worded], [len(w) for _, w in worded], [shingle_hashes(w, WORDS).view(np.int64) for _, w in worded])
+            first += len(worded)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["item", "item_id", "n_words", "grams"])
+
+    return stored(items.select(F.col("item_id").cast("long"), "text").mapInArrow(shingles, "item long, item_id long, n_words long, grams array<long>"))
+
+
+def _by_blocks(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``matches`` for any number of items, with text_key, the text's hash."""
+    spark = rows.sparkSession
+    shingled = _shingled(items)
+    total = shingled.count()
+    if not total:
+        return spark.createDataFrame([], f"{FOUND}, text_key string")
+    blocks = -(-total // ITEMS)
+    lengths = [r[0] for r in shingled.select("n_words").distinct().collect()]  # a row for each length of an item
+    grams = shingled.select("item", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.explode(F.array_distinct("grams")).alias("gram"))
+    having = stored(grams.groupBy("gram").agg(F.count("*").alias("having")))
+    bits = min(FILTER, 1 << max(16, int(16 * having.count()).bit_length()))
+    place = F.pmod("gram", F.lit(bits))
+    words = having.select(F.shiftright(place, 16).alias("page"), place.bitwiseAND(F.lit(0xFFFF).cast("long")).alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("set")).collect()
+    filled = np.zeros(bits, bool)
+    for r in words:
+        filled[(r.page << 16) + np.array(r.set, np.int64)] = True
+    held = spark.sparkContext.broadcast(np.packbits(filled, bitorder="little"))
+
+    def scan(batches):
+        packed = held.value
+
+        def known(s: np.ndarray) -> np.ndarray:
+            at = (s.view(np.int64) % bits).astype(np.int64)
+            return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in slices(batches):
+            out = []
+            for i, t in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
+                number += 1
+                parts = stretches(t, lengths, known)
+                key = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if parts else ""
+                out += [(number, i, key, x.first, x.k, x.total, x.grams.view(np.int64)) for x, _ in parts]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 7, kinds)], ["number", "doc_id", "text_key", "first", "k", "total", "grams"])
+
+    near = stored(rows.mapInArrow(scan, "number long, doc_id long, text_key string, first long, k int, total long, grams array<long>").withColumn("stretch", F.monotonically_increasing_id()))
+    placed = near.select("stretch", F.posexplode("grams").alias("place", "gram")).join(having, "gram")
+    told = stored(placed.groupBy("stretch").agg(F.collect_list(F.struct("place", "having")).alias("known")))  # a stretch is of one text
+    of_blocks = grams.select("gram", "block").distinct()
+    met = placed.select("stretch", "gram").join(of_blocks, "gram").select("stretch", "block").distinct()
+    dealt = stored(near.join(told, "stretch").join(met, "stretch"))
+    groups = dealt.groupBy("block").agg(F.ceil(F.count("*") / STRETCHES).cast("int").alias("groups"))
+    part = F.pmod(F.xxhash64("number"), F.col("groups")).cast("int")  # a text's stretches stay together
+    left = dealt.join(groups, "block").withColumn("part", part)
+    weighed = shingled.join(shingled.select("item", F.explode("grams").alias("gram")).join(having, "gram").groupBy("item").agg(F.collect_list(F.struct("gram", "having")).alias("bag")), "item")
+    right = weighed.select("item_id", "n_words", "bag", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")).join(groups, "block")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+
+    def look(found, held):
+        def array(of, name):
+            return np.array([x[name] for x in of], np.int64)
+
+        index = Index([Item(None if i != i else int(i), int(n), array(b, "gram").view(np.uint64), weights_of(array(b, "having"), total)) for i, n, b in zip(held["item_id"], held["n_words"], held["bag"])])
+        out = []
+        for _, text in found.sort_values(["number", "k", "first"]).groupby("number", sort=False):
+            best: dict[int, tuple[float, int]] = {}
+            for first, k, size, s, known in zip(text["first"], text["k"], text["total"], text["grams"], text["known"]):
+                hit = np.zeros(len(s), bool)
+                hit[array(known, "place")] = True
+                weight = np.full(len(s), weights_of(np.zeros(1), total)[0])
+                weight[array(known, "place")] = weights_of(array(known, "having"), total)
+                index.look(Stretch(int(first), int(k), int(size), np.array(s, np.int64).view(np.uint64)), weight, hit, best)
+            doc_id, key = text["doc_id"].iloc[0], text["text_key"].iloc[0]
+            out += [(None if doc_id != doc_id else int(doc_id), *m, key) for m in index.told(best)]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")] + ["text_key"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    sides = (left.select("block", "part", "number", "doc_id", "text_key", "first", "k", "total", "grams", "known"), right.select("block", "part", "item_id", "n_words", "bag"))
+    return sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInPandas(lambda x, y: look(x, y) if len(x) else look(x, y.iloc[:0]), f"{FOUND}, text_key string")

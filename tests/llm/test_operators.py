@@ -287,7 +287,7 @@ def test_reconciled():
 
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
-    index = decontaminate.Index([(k, prose(rng, 30)) for k in range(40)])
+    index = decontaminate.Whole([(k, prose(rng, 30)) for k in range(40)]).index
     prints = index.prints.copy()
     for k in range(len(prints)):
         for bit in rng.choice(64, rng.integers(0, 26), replace=False):
@@ -305,16 +305,17 @@ def test_decontamination_like_brute_force(spark):
     near[39] = "changed"
     texts = ODD + [prose(rng, 80), f"{prose(rng, 50)} {items[1].upper()}*** {prose(rng, 9)}", items[2] + "!", f"{prose(rng, 30)} {' '.join(near)}", f"{items[3]} {prose(rng, 300)} {items[2]}", " ".join(items[3].split()[:20])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    index = decontaminate.Index(list(enumerate(items)))
+    whole = decontaminate.Whole(list(enumerate(items)))
     want = set()
     for d, text in enumerate(texts):
         w = decontaminate.words_of(text or "")
-        for (i, iw, _), bag in zip(index.items, index.bags):
-            k = min(decontaminate.WORDS, len(iw))
+        for item, bag in zip(whole.index.items, whole.index.bags):
+            k = min(decontaminate.WORDS, item.n_words)
             s = common.shingle_hashes(w, k) if len(w) >= k else w[:0]
-            n = len(iw) - k + 1
-            if any(decontaminate.similarity(index._bag(s[a : a + n]), bag) >= decontaminate.SHARE for a in range(len(s) - n + 1)):
-                want.add((d, i))
+            n = min(item.n_words - k + 1, len(s))  # a shorter text is one window
+            parts = [s[a : a + n] for a in range(len(s) - n + 1)] if n else []
+            if any(decontaminate.similarity(decontaminate.bag(x, whole.weights(x)), bag) >= decontaminate.SHARE for x in parts):
+                want.add((d, item.id))
     df = docs(spark, *texts).withColumn("lang", F.lit("en"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(df, bench).collect()}
     assert got == want and {(12, 1), (13, 2), (14, 3), (15, 3), (15, 2)} <= {(d - len(ODD) + 11, i) for d, i in want}
@@ -323,15 +324,33 @@ def test_decontamination_like_brute_force(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
-def test_weights_are_of_the_whole_benchmark(spark, monkeypatch):
+def test_weights_of_shingles():
+    rng = np.random.default_rng(11)
+    items = [f"{prose(rng, 25)} {prose(np.random.default_rng(1), 15)}" for _ in range(7)]
+    whole = decontaminate.Whole(list(enumerate([*items, "", None])))
+    sets = [set(common.shingle_hashes(decontaminate.words_of(t), 5).tolist()) for t in items]
+    for x in set().union(*sets):
+        assert np.isclose(whole.weights(np.array([x], np.uint64))[0], 1 + np.log(8 / sum(x in s for s in sets)))
+    assert np.isclose(whole.weights(np.array([12345], np.uint64))[0], 1 + np.log(8))
+
+
+@pytest.mark.parametrize(("size", "bits"), [(1, 1 << 28), (3, 64), (3, 1 << 28)])
+def test_blocks_of_items_give_the_same(spark, monkeypatch, size, bits):
     rng = np.random.default_rng(11)
     common_words = prose(rng, 15)
-    items = spark.createDataFrame([(k, f"{prose(rng, 25)} {common_words}") for k in range(7)] + [(7, ""), (8, None)], "item_id long, text string")
-    texts = [f"{prose(rng, 9)} {' '.join(t.split()[:36])} zz {' '.join(t.split()[37:])} {prose(rng, 5)}" for t in (r.text for r in items.where("item_id < 7").collect())]
-    table = docs(spark, *texts, " ".join(texts))
-    whole = sorted(decontaminate.matches(table, items).collect())
-    monkeypatch.setattr(decontaminate, "ITEMS", 2)
-    assert whole and sorted(decontaminate.matches(table, items).collect()) == whole
+    items = spark.createDataFrame([(k, f"{prose(rng, 25)} {common_words}") for k in range(7)] + [(7, ""), (8, None), (None, "w7 w7 w7"), (3, "w1 w2 w3 w4 w5 w6 w7")], "item_id long, text string")
+    texts = [f"{prose(rng, 9)} {' '.join(t.split()[:36])} zz {' '.join(t.split()[37:])} {prose(rng, 5)}" for t in (r.text for r in items.where("item_id < 7 and length(text) > 30").collect())]
+    short = [" ".join(t.split()[9:48]) for t in texts[:2]]
+    table = docs(spark, *texts, " ".join(texts), *short, texts[0], None, "", "w7 w7 w7", "w7", "w1 w2 w3 w4 w5 w6 w7", ids=[*range(10), None, 0, 11, 12, 13, 14, 15, 16]).withColumn("_key0", F.lit(1))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    whole, kept = sorted(decontaminate.matches(table, items).collect(), key=key), sorted(decontaminate.clean(table, items).collect(), key=key)
+    monkeypatch.setattr(decontaminate, "ITEMS", size)
+    monkeypatch.setattr(decontaminate, "STRETCHES", 2)
+    monkeypatch.setattr(decontaminate, "FILTER", bits)
+    assert len(whole) > 10 and {r.doc_id for r in whole} >= {8, 9, None}
+    assert sorted(decontaminate.matches(table, items).collect(), key=key) == whole
+    assert sorted(decontaminate.clean(table, items).collect(), key=key) == kept and decontaminate.clean(table, items).columns == table.columns
+    assert decontaminate.clean(table.limit(0), items).count() == 0
 
 
 # --- 7 ------------------------------------------------------------------------------------------
