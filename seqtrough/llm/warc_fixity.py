@@ -1,10 +1,11 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-A record's leaf is the SHA-256 of its bytes. Records are ordered by identifier; a node at level k covers a
-range of FANOUT**k identifiers, and its hash is that of its children's hashes in order, so a node also
-tells the bytes of its range. The audit compares the replicas' roots and joins a level only below nodes
-that differ, down to the records; places in the file follow from the ranges' byte counts on the way down,
-a parent at a time, so no task orders the whole archive.
+A record's leaf is the SHA-256 of its bytes. Records stand in the archive in the order of their identifiers; a node at level k covers a
+range of FANOUT**k identifiers and the bytes of their records. Its hash is that of its children in order, each by its number, the offset
+of its bytes from the node's first byte, their number, and its hash: so a node tells what its range holds and where, and a record
+that goes elsewhere changes the nodes of both places. The audit compares the replicas' roots and ends there if they are equal; otherwise it
+joins a level only below nodes that differ, down to the records. Places in the file follow from the ranges' byte counts on the way
+down, a parent at a time, so no task orders the whole archive.
 
 Records that share an identifier are one leaf: the sums of their hashes' four parts, which do not depend
 on order, combine before the shuffle, so no such group is collected.
@@ -40,6 +41,10 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
+def _record_id() -> Column:
+    return F.when(F.col("node") != NULL_ID, F.col("node")).alias("record_id")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """(node, hash, n_bytes, n_records) for each identifier of ``records`` (record_id, bytes), stored."""
     hashed = records.select(F.coalesce(F.col("record_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.sha2("bytes", 256).alias("h"), F.octet_length("bytes").cast("long").alias("n_bytes"))
@@ -57,9 +62,10 @@ def tree(leaf: DataFrame, levels: int) -> list[DataFrame]:
     """Nodes of every level, leaves first; each has at most FANOUT children."""
     out = [leaf]
     for _ in range(levels):
-        child = F.sort_array(F.collect_list(F.struct("node", "hash")))
+        child = F.sort_array(F.collect_list(F.struct("node", "n_bytes", "hash")))
         up = out[-1].groupBy(parent(F.col("node")).alias("up")).agg(child.alias("c"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_records").alias("n_records"))
-        joined = F.concat_ws("|", F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])))
+        start = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda at, y: at + y["n_bytes"])
+        joined = F.concat_ws("|", F.transform("c", lambda x, i: F.concat_ws(":", x["node"], start(i), x["n_bytes"], x["hash"])))
         out.append(stored(up.select(F.col("up").alias("node"), F.sha2(joined.cast("binary"), 256).alias("hash"), "n_bytes", "n_records")))
     return out
 
@@ -102,8 +108,13 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             x, y = (t.withColumn("up", parent(F.col("node"))).join(differ.select(F.col("node").alias("up")), "up", "left_semi").drop("up") for t in (x, y))
         both = x.select("node", F.col("hash").alias("ha"), F.col("n_bytes").alias("na")).join(y.select("node", F.col("hash").alias("hb"), F.col("n_bytes").alias("nb")), "node", "full")
         differ = stored(both.where(~F.col("ha").eqNullSafe(F.col("hb"))))
+        if differ.isEmpty():  # the roots are equal
+            return _placed(a, left).withColumn("status", F.lit("ok"))
     status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
     told = differ.select("node", status.alias("status"), "nb")
     kept = a.select("node", "n_bytes").join(offsets(left), "node").join(told, "node", "full")
-    record_id = F.when(F.col("node") != NULL_ID, F.col("node"))
-    return kept.select(record_id.alias("record_id"), "offset", F.coalesce("n_bytes", "nb").alias("n_bytes"), F.coalesce("status", F.lit("ok")).alias("status"))
+    return kept.select(_record_id(), "offset", F.coalesce("n_bytes", "nb").alias("n_bytes"), F.coalesce("status", F.lit("ok")).alias("status"))
+
+
+def _placed(leaf: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    return leaf.select("node", "n_bytes").join(offsets(levels), "node").select(_record_id(), "offset", "n_bytes")
