@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a local session) is a folder of this machine used.
+    Only where that setting is absent and the session is local is a folder of this machine used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -69,6 +71,14 @@ def stored(df: DataFrame, at: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def unlike(df: DataFrame, name: str) -> str:
+    """``name``, or a name made from it, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column, nulls as empty text."""
     return [x or "" for x in column.to_pylist()]

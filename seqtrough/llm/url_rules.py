@@ -3,12 +3,13 @@
 All in DataFrame operations. A listed rule (host, path) fits its host and every subdomain of it where
 the path begins as the rule's does; the longest wins. URLs that no listed rule fits are judged by mined
 rules: token combinations that go with a block label, pruned by support, confidence and lift, and by
-dropping a rule that a shorter one of no less confidence covers. An inverted index from token to rules
-finds the rules whose tokens a URL has all of. Mined rules are bounded by RULES, whatever the input.
+dropping every rule that a shorter one of no less confidence covers, before any rule leaves Spark. None of those left is cut.
+An inverted index from token to rules finds the rules whose tokens a URL has all of. Up to RULES of them stand in the plan as a column
+expression; more are joined by token to the distinct token sets. The verdicts are the same.
 
 Defined results. Null URLs and those without ``://`` have an empty host and path, fit no listed rule and
 have no tokens: allow. Without labels there are no mined rules: allow. Repeated rows are judged each;
-extra columns pass through, and columns that are added replace input columns of the same name.
+extra columns pass through, and the five columns that are added replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, unlike
+
 #: The listed rules and their verdicts.
 LISTED = (
     ("com/", "allow"),
@@ -25,8 +28,8 @@ LISTED = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Mined rules are kept in order of confidence, support and length up to this number.
-RULES = 200
+#: Mined rules up to this number are an expression in the plan; more are joined.
+RULES = 500
 SUPPORT, CONFIDENCE, LIFT = 0.005, 0.9, 1.2
 BLOCK = "label:block"
 
@@ -56,23 +59,23 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(letters(host, "host:"), letters(F.lower(path), "path:")))
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = RULES) -> list[tuple[list[str], float]]:
-    """Token combinations that mean block, with their confidence, from ``labelled`` (tokens, label)."""
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(tokens, confidence): the least token combinations that mean block, from ``labelled`` (tokens, label)."""
+    spark = labelled.sparkSession
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     if baskets.isEmpty():
-        return []
+        return spark.createDataFrame([], "tokens array<string>, confidence double")
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    kept = rules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= LIFT))
-    best = kept.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(most)
-    found: list[tuple[list[str], float]] = []
-    for r in sorted(best.collect(), key=lambda r: len(r.antecedent)):
-        if not any(set(a) <= set(r.antecedent) and c >= r.confidence for a, c in found):
-            found.append((sorted(r.antecedent), r.confidence))
-    return found
+    blocking = stored(rules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= LIFT)).select(F.array_sort("antecedent").alias("tokens"), "confidence"))
+    # A rule that covers another has fewer tokens, its first one among the other's.
+    shorter = blocking.select(F.col("tokens").alias("few"), F.col("confidence").alias("of"), F.col("tokens")[0].alias("token"))
+    covered = blocking.withColumn("token", F.explode("tokens")).join(shorter, "token")
+    covered = covered.where((F.size("few") < F.size("tokens")) & (F.col("of") >= F.col("confidence")) & (F.size(F.array_except("few", "tokens")) == 0))
+    return stored(blocking.join(covered.select("tokens").distinct(), "tokens", "left_anti"))
 
 
 def fitting(words: Column, rules: list[tuple[list[str], float]]) -> Column:
-    """The most confident mined rule all of whose tokens are among ``words``, or null: its place in ``rules``."""
+    """The most confident mined rule all of whose tokens are among ``words``, or null: its place in ``rules``, the first of equals."""
     if not rules:
         return F.lit(None).cast("int")
     index: dict[str, list[int]] = {}
@@ -88,14 +91,31 @@ def fitting(words: Column, rules: list[tuple[list[str], float]]) -> Column:
     return F.array_min(ranked)["k"]
 
 
-def judge(pages: DataFrame, rules=LISTED, url: str = "url") -> DataFrame:
+def joined(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tokens, mined_rule) of the distinct token ``sets`` that a rule fits: the inverted index as a join."""
+    name = F.concat_ws(" & ", "needs")
+    index = rules.select(F.col("tokens").alias("needs"), "confidence", F.explode("tokens").alias("token"))
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("tokens", "needs", "confidence").agg(F.count("*").alias("n"))
+    best = hits.where(F.col("n") == F.size("needs")).groupBy("tokens").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.size("needs").alias("n"), "needs")).alias("best"))
+    return best.select("tokens", F.col("best.needs").alias("needs")).select("tokens", name.alias("mined_rule"))
+
+
+def judge(pages: DataFrame, rules=LISTED, url: str = "url", most: int = RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and the tokens of the mined rule that decided, if one did."""
     host, path = parts(F.col(url))
+    said_in, tokens_in = unlike(pages, "said"), unlike(pages, "tokens")
     df = pages.withColumns({"host": host, "path": path})
     rule, said = listed(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": rule, "_said": said, "_tokens": tokens(F.col("host"), F.col("path"))})
-    learned = mined(df.where(F.col("_said").isNotNull()).select(F.col("_tokens").alias("tokens"), F.col("_said").alias("label")))
-    names = F.array(*(F.lit(" & ".join(r)) for r, _ in learned)) if learned else F.array().cast("array<string>")
-    df = df.withColumn("mined_rule", F.when(F.col("_said").isNull(), F.get(names, fitting(F.col("_tokens"), learned))))
+    df = df.withColumns({"rule": rule, said_in: said, tokens_in: tokens(F.col("host"), F.col("path"))})
+    learned = mined(df.where(F.col(said_in).isNotNull()).select(F.col(tokens_in).alias("tokens"), F.col(said_in).alias("label")))
+    open_ = F.col(said_in).isNull()
+    if learned.count() <= most:
+        held = sorted(((r.tokens, r.confidence) for r in learned.collect()), key=lambda r: (-r[1], len(r[0]), r[0]))
+        names = F.array(*(F.lit(" & ".join(r)) for r, _ in held)) if held else F.array().cast("array<string>")
+        df = df.withColumn("mined_rule", F.when(open_, F.get(names, fitting(F.col(tokens_in), held))))
+    else:
+        fits = joined(df.where(open_).select(F.col(tokens_in).alias("tokens")).distinct(), learned)
+        fits = fits.select(F.col("tokens").alias(tokens_in), F.col("mined_rule").alias("_mined"))
+        df = df.drop("mined_rule").join(fits, tokens_in, "left").withColumn("mined_rule", F.when(open_, F.col("_mined"))).drop("_mined")
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
-    return df.withColumn("verdict", F.coalesce("_said", method)).drop("_said", "_tokens")
+    return df.withColumn("verdict", F.coalesce(said_in, method)).drop(said_in, tokens_in)
