@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RE
+from .common import SPACE, SPACE_RE, unlike
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (
@@ -69,14 +69,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RE), lambda x: x != "")
 
 
-def repeat_words(words: Column) -> Column:
+def repeat_words(words: Column, places: int = 24) -> Column:
     """Words within windows of three that the text has twice or more.
 
-    Windows become 64-bit hashes; sorting (hash's upper bits, place) pairs as plain longs brings
-    equal windows together, their full hashes confirm it, and the places found cover up to three
-    words each.
+    Windows become 64-bit hashes; sorting (hash's upper bits, place) pairs as plain longs brings equal windows together, and the
+    places found cover up to three words each. Where ``places`` bits are too few for a place, or two different hashes have
+    the same upper bits, pairs of whole hashes and places are sorted instead, which costs more and is exact at any length.
     """
-    places = 24  # bits of a place: texts of up to 16.7 million words
 
     def windows(w: Column) -> Column:
         return F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
@@ -84,12 +83,24 @@ def repeat_words(words: Column) -> Column:
     def place(x: Column) -> Column:
         return x.bitwiseAND(F.lit((1 << places) - 1)).cast("int")
 
-    def repeated(h: Column, s: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            return (F.shiftright(x.bitwiseXOR(y), places) == 0) & (F.get(h, place(x)) == F.get(h, place(y)))
+    def alike(x: Column, y: Column) -> Column:
+        return F.coalesce(F.shiftright(x.bitwiseXOR(y), places) == 0, F.lit(False))
 
-        found = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
-        return F.sort_array(F.transform(found, place))
+    def packed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, places), places).bitwiseOR(i.cast("long"))))
+
+    def clash(h: Column, s: Column) -> Column:
+        return F.exists(F.transform(s, lambda x, i: alike(x, F.get(s, i + 1)) & (F.get(h, place(x)) != F.get(h, place(F.coalesce(F.get(s, i + 1), x))))), lambda x: x)
+
+    def of_packed(s: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1))), place))
+
+    def of_pairs(h: Column) -> Column:
+        def found(s: Column) -> Column:
+            same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), lambda x: x["i"]))
+
+        return bound(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), found)
 
     def covered(p: Column) -> Column:
         return F.aggregate(
@@ -99,8 +110,8 @@ def repeat_words(words: Column) -> Column:
         )
 
     def over(h: Column) -> Column:
-        packed = F.transform(h, lambda x, i: F.shiftleft(x, places).bitwiseOR(i.cast("long")))
-        return bound(F.sort_array(packed), lambda s: bound(repeated(h, s), covered))
+        short = bound(packed(h), lambda s: F.when(clash(h, s), of_pairs(h)).otherwise(of_packed(s)))
+        return bound(F.when(F.size(h) < F.lit(min(1 << places, 1 << 30)), short).otherwise(of_pairs(h)), covered)
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(bound(windows(words), over))
 
@@ -153,11 +164,16 @@ COUNTS = {
 }
 
 
+def counted_in(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with a struct of all counts in a column of a new name, the last, and the counts by name."""
+    held = unlike(docs, "measured")
+    return docs.withColumn(held, bound(measured(F.col(text)), lambda x: x)), {k: F.col(f"`{held}`.{v}") for k, v in COUNTS.items()}
+
+
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column for each count."""
-    hold = "_measured"
-    df = docs.withColumn(hold, bound(measured(F.col(text)), lambda x: x))
-    return df.withColumns({k: F.col(f"{hold}.{v}") for k, v in COUNTS.items()}).drop(hold)
+    df, of = counted_in(docs, text)
+    return df.withColumns(of).drop(df.columns[-1])
 
 
 def verdict(rules=RULES) -> Column:

@@ -4,14 +4,16 @@ Trees grown on bootstrap samples give candidate rules: each node's path is a con
 statistics. A lasso logistic regression weighs the rules and drops most of them. The rest are compiled
 into one Spark column, so that every text is scored by built-in expressions alone.
 
-The classifier is fitted on at most SAMPLE labelled rows (a documented bound), drawn by hash of the
-identifier; everything else covers all rows. Fitting works on statistics only, never on labels' other
-columns, language, source or identifier.
+The classifier is fitted on at most SAMPLE labelled rows (a documented bound), the first by hash of the
+identifier, then by statistics; everything else covers all rows. So the sample and its order, and with them trees,
+weights and scores, do not depend on how rows lie in partitions. Fitting works on statistics only, never on labels'
+other columns, language, source or identifier.
 
 Defined results. Null and empty texts have statistics of 0 and get a score like any other. Rows that
 repeat an identifier are scored each; labels that repeat one count once, at their mean. Rows without an
 identifier are not held out. Without labels, or with one class, the score is the share of that class, or
-0.5. Extra columns pass through, and added columns replace input columns of the same name.
+0.5. An empty table of documents gives no rows. Extra columns pass through; ``score`` adds held_out, score and predicted, which
+replace input columns of the same name, and no others.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import counts
+from .common import unlike
+from .quality_rules import counted_in
 
 SAMPLE = 20_000
 TREES, DEPTH, LEAST = 40, 3, 10
@@ -31,23 +34,24 @@ Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether above, thresho
 
 #: Statistics of a text: ratios, which do not grow with it, and the logarithm of its length.
 STATISTICS = {
-    "log_words": lambda: F.log1p("n_words"),
-    "mean_word": lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbols": lambda: F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "marks": lambda: F.col("n_marks") / F.greatest(F.col("n_words"), F.lit(1)),
-    "stops": lambda: F.col("n_stop_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "repeats": lambda: F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "upper": lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "digits": lambda: F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "dup_lines": lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "line_words": lambda: F.log1p(F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1))),
+    "log_words": lambda c: F.log1p(c("n_words")),
+    "mean_word": lambda c: c("word_chars") / F.greatest(c("n_words"), F.lit(1)),
+    "symbols": lambda c: c("n_symbols") / F.greatest(c("n_words"), F.lit(1)),
+    "marks": lambda c: c("n_marks") / F.greatest(c("n_words"), F.lit(1)),
+    "stops": lambda c: c("n_stop_words") / F.greatest(c("n_words"), F.lit(1)),
+    "repeats": lambda c: c("n_repeat_words") / F.greatest(c("n_words"), F.lit(1)),
+    "upper": lambda c: c("n_upper") / F.greatest(c("word_chars"), F.lit(1)),
+    "digits": lambda c: c("n_digits") / F.greatest(c("word_chars"), F.lit(1)),
+    "dup_lines": lambda c: c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)),
+    "line_words": lambda c: F.log1p(c("n_words") / F.greatest(c("n_lines"), F.lit(1))),
 }
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with its counts and a struct ``stats``."""
-    df = counts(docs)
-    return df.withColumn("stats", F.struct(*(v().cast("double").alias(k) for k, v in STATISTICS.items())))
+def measure(docs: DataFrame, stats: str = "stats") -> DataFrame:
+    """``docs`` with a struct of their statistics."""
+    counted, of = counted_in(docs)
+    values = (v(of.__getitem__).cast("double").alias(k) for k, v in STATISTICS.items())
+    return counted.withColumn(stats, F.struct(*values)).drop(counted.columns[-1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,14 +59,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most about ``most`` labelled rows that are not held out."""
+    """Statistics and labels of at most ``most`` labelled rows that are not held out, in one order whatever the partitions."""
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("_label")).where(~held_out(F.col("doc_id")))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    measured = measure(docs.select("doc_id", "text").join(known, "doc_id"))
-    rows = measured.select("stats.*", "_label").limit(2 * most).toPandas()
-    return rows[list(STATISTICS)].to_numpy(np.float64), (rows["_label"].to_numpy() >= 0.5).astype(np.float64)
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so it may be broadcast
+    measured = measure(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+    names = list(STATISTICS)
+    rows = measured.select("doc_id", "stats.*", "_label").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(most).toPandas()
+    return rows[names].to_numpy(np.float64), (rows["_label"].to_numpy() >= 0.5).astype(np.float64)
 
 
 def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray) -> tuple[int, float] | None:
@@ -97,7 +100,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> set[Ru
             grow(rows[above], (*path, (names[f], True, t)))
             grow(rows[~above], (*path, (names[f], False, t)))
 
-    grow(rng.integers(0, len(y), min(len(y), 4000)), ())
+    grow(rng.integers(0, len(y), len(y)), ())
     return out
 
 
@@ -135,13 +138,13 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[float, list[tuple[
     return bias, [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-3]
 
 
-def compiled(bias: float, rules: list[tuple[Rule, float]]) -> Column:
-    """The score as one column over ``stats``."""
+def compiled(bias: float, rules: list[tuple[Rule, float]], stats: str = "stats") -> Column:
+    """The score as one column over the struct ``stats``."""
     total = F.lit(bias)
     for rule, weight in rules:
         holds = F.lit(True)
         for name, above, t in rule:
-            value = F.col(f"stats.{name}")
+            value = F.col(f"`{stats}`.{name}")
             holds = holds & ((value > t) if above else (value <= t))
         total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
@@ -150,5 +153,6 @@ def compiled(bias: float, rules: list[tuple[Rule, float]]) -> Column:
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """``docs`` with held_out, score and predicted."""
     bias, rules = fit(*sample(docs, labels, label))
-    df = measure(docs).withColumn("score", compiled(bias, rules)).withColumn("held_out", held_out(F.col("doc_id")))
-    return df.withColumn("predicted", (F.col("score") >= PRED).cast("int"))
+    stats = unlike(docs, "stats")
+    df = measure(docs, stats).withColumn("score", compiled(bias, rules, stats)).withColumn("held_out", held_out(F.col("doc_id")))
+    return df.withColumn("predicted", (F.col("score") >= PRED).cast("int")).drop(stats)
