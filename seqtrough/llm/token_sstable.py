@@ -232,11 +232,30 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "start", "ids"])
 
 
+#: Shards whose bounds (24 bytes each) every task of a lookup may hold.
+SHARDS = 2_000_000
+
+
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of the documents that ``keys`` (doc_id) names, by Bloom filter and binary search in each key's shard."""
+    """Ids of the documents that ``keys`` (doc_id) names, by Bloom filter and binary search in each key's shard.
+
+    A key's shard is found by binary search in the shards' bounds; equal identifiers lie in one shard.
+    """
+    if manifest.count() > SHARDS:
+        raise ValueError(f"more than {SHARDS} shards: write larger ones")
     least = F.lit(-(1 << 63))  # a shard may begin with rows without an identifier
-    m = manifest.select("path", F.coalesce("first_id", least).alias("first_id"), F.coalesce("last_id", least).alias("last_id"))
-    at = keys.select(F.col("doc_id").cast("long")).distinct().join(m, F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    bounds = manifest.select(F.coalesce("first_id", least).alias("first"), F.coalesce("last_id", least).alias("last"), "shard").orderBy("first", "last").toPandas()
+    held = manifest.sparkSession.sparkContext.broadcast([bounds[c].to_numpy(np.int64) for c in ("first", "last", "shard")])
+
+    def placed(batches):
+        first, last, shard = held.value
+        for batch in batches:
+            ids = batch.column(0).drop_null().to_numpy()
+            at = np.searchsorted(first, ids, "right") - 1
+            inside = (at >= 0) & (ids <= last[at]) if len(first) else np.zeros(len(ids), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at[inside]]), pa.array(ids[inside])], ["shard", "doc_id"])
+
+    at = keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(placed, "shard long, doc_id long").join(manifest.select(F.col("shard").cast("long"), "path"), "shard")
     sorted_keys = at.select("path", "doc_id").repartition("path", F.pmod("doc_id", F.lit(64))).sortWithinPartitions("path", "doc_id")
 
     def found(batches):

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -85,10 +86,25 @@ def test_warc_tree_descends_only_where_roots_differ(spark):
     leaf = warc_fixity.leaves(spark.range(1000).select(F.col("id").alias("record_id"), F.col("id").cast("string").cast("binary").alias("bytes")))
     levels = warc_fixity.tree(leaf, warc_fixity.height(leaf))
     assert [t.count() for t in levels] == [1000, 16, 1]
-    want = hashlib.sha256("|".join(f"{k}:{hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(64)).encode()).hexdigest()
+    sizes = [len(str(k)) for k in range(64)]
+    want = hashlib.sha256("|".join(f"{k}:{sum(sizes[:k])}:{sizes[k]}:{hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(64)).encode()).hexdigest()
     assert levels[1].where("node = 0").first()["hash"] == want
 
 
+def test_warc_tree_tells_a_record_that_moved(spark):
+    rows = [(k, f"record {k}".encode()) for k in range(300)]
+    moved = [(200 if k == 20 else 20 if k == 200 else k, x) for k, x in rows]  # two records change places, their bytes are the same
+    away = [(900 if k == 70 else k, x) for k, x in rows]
+    table = lambda x: spark.createDataFrame(x, "record_id long, bytes binary")
+    status = lambda x: {r.record_id: r.status for r in warc_fixity.audit(table(rows), table(x)).collect() if r.status != "ok"}
+    assert status(moved) == {20: "changed", 200: "changed"} and status(away) == {70: "missing", 900: "extra"}
+    longer = [(k, x + b"!" * 100_000 if k == 5 else x) for k, x in rows]
+    assert status(longer) == {5: "changed"}
+    record = lambda url, body: spark.range(1).select(warc_fixity.record(F.lit(None).cast("long"), F.lit(url).cast("string"), F.lit(body).cast("string")).alias("b")).first().b
+    assert bytes(record(None, None)) == b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:>\r\nWARC-Target-URI: \r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert b"Content-Length: 400000\r\n" in bytes(record("u", "é" * 200_000))
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 
@@ -113,6 +129,41 @@ def test_url_rules_are_mined(spark):
     assert got["http://ok.org/news/1"].verdict == "allow"
 
 
+def _cases(rng, n):
+    words = ["news", "buy", "shop", "de", "es", "fr", "blog"]
+    return [f"http://{rng.choice(['a', 'b', 'm'])}.{rng.choice(words)}.{rng.choice(['net', 'com', 'org'])}/{rng.choice(words)}/{rng.choice(words)}/{k}" for k in range(n)]
+
+
+def test_mined_rules_like_brute_force(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    rows = [(sorted(set(rng.choice(list("abcdefg"), rng.integers(1, 5)).tolist())), "allow") for _ in range(300)]
+    rows = [(t, "block" if {"a", "b"} <= set(t) or "g" in t and rng.random() < 0.95 else y) for t, y in rows]
+    got = {(tuple(r.tokens), round(r.confidence, 9)) for r in url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.8).collect()}
+    blocked = sum(y == "block" for _, y in rows) / len(rows)
+    found = {}
+    for k in range(1, 8):
+        for c in combinations("abcdefg", k):
+            having = [y for t, y in rows if set(c) <= set(t)]
+            n = having.count("block")
+            if n >= 0.02 * len(rows) and n / len(having) >= 0.8 and n / len(having) / blocked >= url_rules.LIFT:
+                found[c] = n / len(having)
+    least = {(c, round(v, 9)) for c, v in found.items() if not any(set(d) < set(c) and w >= v for d, w in found.items())}
+    assert got == least and len(least) > 1 and len(found) > len(least)
+
+
+def test_more_rules_than_the_plan_holds(spark):
+    rng = np.random.default_rng(8)
+    urls = [*_cases(rng, 400), None, "", "none", "http://x.net/" + "long/" * 20_000]
+    df = spark.createDataFrame([(u, "mine", ["t"]) for u in urls + urls[:5]], "url string, said string, tokens array<string>")
+    a, b = (sorted(map(str, url_rules.judge(df, most=m).collect())) for m in (500, 0))
+    few, many = url_rules.judge(df, most=500), url_rules.judge(df, most=0)
+    assert set(few.columns) == set(many.columns) == {"url", "said", "tokens", "host", "path", "rule", "mined_rule", "verdict"}
+    key = lambda d: Counter((r.url, r.rule, r.mined_rule, r.verdict, r.said) for r in d.collect())
+    assert key(few) == key(many) and len(a) == len(b) == len(urls) + 5 and any(r.mined_rule for r in few.collect())
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
@@ -130,6 +181,18 @@ def test_rule_ensemble(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, int(rng.integers(1, 90))) + (" !!" * int(k % 3)) for k in range(160)] + [None, "", "long " * 20_000]
+    df = docs(spark, *texts, *texts[:4], ids=[*range(len(texts)), 7, 7, None, 1]).withColumns({"measured": F.lit(1), "stats": F.lit(2)})
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(160)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    key = lambda d: sorted((str(r.doc_id), str(r.text), r.score, r.predicted, r.measured, r.stats) for r in d.collect())
+    one = rule_ensemble.score(df.coalesce(1), labels.coalesce(1))
+    assert one.columns == [*df.columns, "score", "held_out", "predicted"]
+    assert key(one) == key(rule_ensemble.score(df.repartition(7), labels.repartition(5)))
+    assert rule_ensemble.score(df.limit(0), labels).count() == 0
+
+
 def test_rules_compile_to_what_they_mean(spark):
     rng = np.random.default_rng(9)
     x = rng.random((300, len(rule_ensemble.STATISTICS)))
@@ -467,6 +530,48 @@ def test_quality_counts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("places", [24, 60, 2])  # 60: upper bits clash; 2: more words than places
+def test_repeat_words_at_any_length(spark, places):
+    rng = np.random.default_rng(places)
+    texts = [prose(rng, int(rng.integers(1, 200)), int(rng.choice([3, 8, 50]))) for _ in range(40)] + ["a b c a b c", "a a a a", ""]
+    got = docs(spark, *texts).select("doc_id", quality_rules.repeat_words(quality_rules.words_of(F.col("text")), places).alias("n")).collect()
+    for r in got:
+        w = texts[r.doc_id].split()
+        c = Counter(zip(w, w[1:], w[2:]))
+        assert r.n == len({k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)}), texts[r.doc_id]
+
+
+def test_kept_like_brute_force(spark):
+    rng = np.random.default_rng(31)
+    words = ["the", "of", "Word", "UPPER", "x1", "123456", "a", "###", "wow!!", "extraordinarily-long-hyphenated-word", "plain", "text", "für", "ÉCOLE", "le", "|", "und."]
+    texts = []
+    for _ in range(120):
+        some = rng.choice(words, int(rng.integers(1, 6)))
+        texts.append("".join(f"{w}{k % 37 if rng.random() < 0.7 else ''}{rng.choice([' ', ' ', chr(10)])}" for k, w in enumerate(rng.choice(some, int(rng.integers(30, 140))))))
+    texts += [" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} the" for k in range(100)), *ODD]
+    df = docs(spark, *texts).withColumns({"measured": F.lit(1), "kept": F.lit("mine")})
+    judged = quality_rules.judge(df)
+    assert {"measured", "kept"} <= set(judged.columns) and judged.first().measured == 1
+    kept = 0
+    for r in judged.collect():
+        t = texts[r.doc_id] or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        stops = sum(x.rstrip(".,;:!?").lower() in quality_rules.STOP_WORDS for x in w)
+        c = Counter(zip(w, w[1:], w[2:]))
+        repeats = len({k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)})
+        share = lambda a, b: a / b if b else None
+        values = {
+            "symbols_per_word": share(sum(x in "#*$%&|<>" for x in t), len(w)), "marks_per_word": share(sum(x in "!?" for x in t), len(w)), "mean_word_length": share(chars, len(w)),
+            "upper_share": share(sum(unicodedata.category(x) == "Lu" for x in t), chars), "digit_share": share(sum(x in "0123456789" for x in t), chars),
+            "stop_word_share": share(stops, len(w)), "dup_line_share": share(len(lines) - len(set(lines)), len(lines)), "repeat_word_share": share(repeats, len(w)),
+        }
+        ok = all(values[x.value] is None or (x.low is None or values[x.value] >= x.low) and (x.high is None or values[x.value] <= x.high) for x in quality_rules.RULES)
+        assert r.kept == (ok and len(w) >= 50 and 100 * repeats <= 50 * len(w)), t[:60]
+        kept += r.kept
+    assert 5 < kept < 100
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
@@ -623,3 +728,23 @@ def test_pipeline(spark, tmp_path):
     masked = spark.read.parquet(str(tmp_path / "out3")).where("doc_id = 6").first()
     assert "<EMAIL>" in masked.text and "x.y@z" not in masked.text and masked.n_chars == len(masked.text)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == stage.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(18)
+    text = lambda n: " ".join(rng.choice([*["the", "of", "and"] * 30, *("word" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(676))], n))
+    base = text(200)
+    rows = [(1, base, None, None, None, 7), (1, text(200), "en", "s", 5, 7), (None, base, "en", "s", 5, 7), (None, text(120), None, "s", 5, 7), (5, text(90), "en", None, 5, 7), (5, None, "en", "s", None, 7), (6, "", "en", "s", 0, 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = corpus_pipeline.COLUMNS
+    for k, some in enumerate((rows, [])):
+        at, counts = spark.createDataFrame(some, schema), []
+        for j, (_, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, at, str(tmp_path)).write.parquet(str(tmp_path / f"odd{k}-{j}"))
+            at = spark.read.parquet(str(tmp_path / f"odd{k}-{j}"))
+            assert j == 4 or at.columns == names
+            counts.append(at.count())
+        assert counts[:4] == ([5, 4, 4, 4] if some else [0, 0, 0, 0]) and counts[4] >= counts[3] and (some or not counts[4])
