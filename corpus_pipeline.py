@@ -15,7 +15,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts go; repeated rows are judged each by itself; an empty table stays empty. Here and below
+    columns other than those of documents are not carried.
+    """
     return quality_rules.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -33,23 +37,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts and items match nothing, so such documents stay; rows that repeat an identifier are judged each.
+    """
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked, and n_chars of the new text."""
+    """Documents with personal data masked, and n_chars of the new text; a null text becomes an empty one, every row stays."""
     return pii_tagger.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """The pieces of all documents in sequences of 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is its end id alone; rows that repeat an identifier, or have none, are packed each; no documents, no pieces.
+    """
     cut = packing.pieces(docs.select("doc_id", "text"), tokenizer_path(), end_id=2, size=1024)
     return packing.place(cut.select("doc_id", "piece", "start", F.col("length").cast("long"), F.crc32("ids").alias("ids_crc32"), "task", "rank"))
 
 
-#: Folders of the stage before, which its written result no longer needs.
-_scratch: list[str] = []
+#: Folders of the stage before, which its written result no longer needs, by Spark application and tables.
+_scratch: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(f):
@@ -57,10 +67,11 @@ def _stage(f):
 
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        removed(spark, _scratch)
+        run = (spark.sparkContext.applicationId, sf_dir)
+        removed(spark, _scratch.pop(run, []))
         with recorded() as made:
             out = f(spark, docs, sf_dir)
-        _scratch[:] = made
+        _scratch[run] = made
         return out
 
     return stage
@@ -81,6 +92,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
+    _scratch.pop((spark.sparkContext.applicationId, sf_dir), None)  # of a run that failed; it may still be read
     at = shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
