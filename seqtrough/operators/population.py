@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import micro, rounded
 from ..functions.params import MICRO
 from .motifs import Motif
+from .regions import BUCKET, buckets
 from .segments import merge_intervals, runs
 
 SUPPORT, GAP, GC_WINDOW = 0.5, 50, 21
 SCORE_UNIT = 1e4
+#: Consensus regions that a matrix may have as columns.
+COLUMNS = 5_000
 
 
 def eligible(sequences: DataFrame, window: int = 17) -> DataFrame:
@@ -76,11 +79,19 @@ def gc_profile(sequences: DataFrame, n_signal: int, window: int = GC_WINDOW) ->
     return sums.select("pos", (F.col("t").cast("double") / float(window) / float(max(n, 1))).alias("mean_gc"))
 
 
+def within(positions: DataFrame, intervals: DataFrame, start: str = "start", end: str = "end", how: str = "inner") -> DataFrame:
+    """``positions`` (pos) with the intervals that hold them: an equality join on buckets, so many intervals stay linear."""
+    wide = intervals.withColumn("_bucket", F.explode(buckets(F.col(start), F.col(end))))
+    rows = positions.withColumn("_bucket", F.floor(F.col("pos") / BUCKET))
+    inside = (rows["_bucket"] == wide["_bucket"]) & rows["pos"].between(wide[start], wide[end])
+    return rows.join(wide, inside, how).drop("_bucket")
+
+
 def consensus(profile: DataFrame, support: float = SUPPORT, gap: int = GAP) -> DataFrame:
     """region_id, consensus_start, consensus_end, consensus_length, support, mean_region_score, mean_pds, mean_perplexity, mean_gc."""
     high = profile.where(F.col("lpr_frequency") >= support).select(F.lit(0).alias("pop"), "pos")
     merged = merge_intervals(runs(high, ("pop",)), gap, ("pop",)).drop("pop")
-    inside = profile.join(F.broadcast(merged), F.col("pos").between(F.col("start"), F.col("end")))  # at most a row for each gap + 1 positions
+    inside = within(profile, merged)
     means = inside.groupBy("start", "end").agg(*(F.avg(c).alias(c) for c in ("lpr_frequency", "mean_region_score", "mean_pds", "mean_perplexity", "gc_map")))
     number = F.row_number().over(Window.orderBy("start"))
     return means.select(
@@ -97,9 +108,12 @@ def summary(consensus: DataFrame) -> DataFrame:
 
 
 def overlaps(regions: DataFrame, consensus: DataFrame) -> DataFrame:
-    """Regions with each consensus region that they overlap; the consensus is at most one row for each gap + 1 positions."""
+    """Regions with each consensus region that they overlap, met in the first bucket that both touch."""
     c = consensus.select(F.col("region_id").alias("consensus_id"), "consensus_start", "consensus_end")
-    return regions.join(F.broadcast(c), (F.col("Signal_Start") <= F.col("consensus_end")) & (F.col("Signal_End") >= F.col("consensus_start")))
+    c = c.withColumn("_bucket", F.explode(buckets(F.col("consensus_start"), F.col("consensus_end"))))
+    r = regions.withColumn("_bucket", F.explode(buckets(F.col("Signal_Start"), F.col("Signal_End"))))
+    first = F.floor(F.greatest("Signal_Start", "consensus_start") / BUCKET)
+    return r.join(c, "_bucket").where((F.col("Signal_Start") <= F.col("consensus_end")) & (F.col("Signal_End") >= F.col("consensus_start")) & (F.col("_bucket") == first)).drop("_bucket")
 
 
 def occurrence(sequences: DataFrame, regions: DataFrame, consensus: DataFrame) -> DataFrame:
@@ -111,9 +125,11 @@ def occurrence(sequences: DataFrame, regions: DataFrame, consensus: DataFrame) -
 
 
 def occurrence_matrix(occurrence: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """A row for each sequence, a column for each consensus region."""
+    """A row for each sequence, a column for each consensus region: at most COLUMNS of them, else the long form is the one to use."""
     if ids is None:
-        ids = sorted(r[0] for r in occurrence.select("region_id").distinct().collect())
+        ids = sorted(r[0] for r in occurrence.select("region_id").distinct().limit(COLUMNS + 1).collect())
+        if len(ids) > COLUMNS:
+            raise ValueError(f"more than {COLUMNS} consensus regions: use occurrence")
     return occurrence.groupBy("seq_idx", "sequence_id").pivot("region_id", ids).agg(F.max("present"))
 
 

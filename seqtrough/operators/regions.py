@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,22 +12,27 @@ from ..sources.scratch import written
 from .segments import region_bounds
 from .signals import signals as all_signals
 
+#: The columns of the region table that are always exported, and those exported on request, in order.
 PRIMARY = (
-    "Region_ID Start End Length Mean_Perplexity Min_Perplexity Max_Perplexity Upstream_Mean Region_Mean Downstream_Mean Perplexity_Depression_Score "
-    "Prominence Persistence Region_Score GC_Content Motif_Count Motifs Sequence Rank"
-).split()
-ADVANCED = "Variance Std_Dev CV AUC_PDS Kadane_Core_Start Kadane_Core_End".split()
+    "Region_ID", "Start", "End", "Length", "Mean_Perplexity", "Min_Perplexity", "Max_Perplexity", "Upstream_Mean", "Region_Mean", "Downstream_Mean",
+    "Perplexity_Depression_Score", "Prominence", "Persistence", "Region_Score", "GC_Content", "Motif_Count", "Motifs", "Sequence", "Rank",
+)
+ADVANCED = ("Variance", "Std_Dev", "CV", "AUC_PDS", "Kadane_Core_Start", "Kadane_Core_End")
 #: Positions of a bucket of the range join.
 BUCKET = 1024
 
 
+def buckets(start: Column, end: Column) -> Column:
+    """The buckets that [start, end] touches."""
+    return F.sequence(F.floor(start / BUCKET), F.floor(end / BUCKET))
+
+
 def near(signals: DataFrame, bounds: DataFrame, reach: int) -> DataFrame:
     """Rows of ``signals`` with each region whose bounds, widened by ``reach``, hold them.
 
     An equality join on sequence and bucket, so a long sequence with many regions stays linear.
     """
-    first, last = F.floor((F.col("start") - reach) / BUCKET), F.floor((F.col("end") + reach) / BUCKET)
-    wide = bounds.withColumn("bucket", F.explode(F.sequence(first, last)))
+    wide = bounds.withColumn("bucket", F.explode(buckets(F.col("start") - reach, F.col("end") + reach)))
     rows = signals.withColumn("bucket", F.floor(F.col("pos") / BUCKET))
     return rows.join(wide, ["seq_idx", "bucket"]).where((F.col("pos") >= F.col("start") - reach) & (F.col("pos") <= F.col("end") + reach))
 
@@ -54,20 +60,38 @@ def _mean(total: str | Column, n: str | Column) -> Column:
     return F.when(n > 0, total.cast("double") / n.cast("double") / float(MICRO))
 
 
+def with_letters(measured: DataFrame, sequences: DataFrame, p: Params = Params()) -> DataFrame:
+    """``measured`` with sequence_id, first, last and letters: the letters from a region's first window to the end of its last.
+
+    A sequence meets the list of its regions once and is cut in one pass, so its letters are not repeated for each region.
+    """
+    listed = measured.groupBy("seq_idx").agg(F.collect_list(F.struct(*(c for c in measured.columns if c != "seq_idx"))).alias("m"))
+    held = sequences.select("seq_idx", "sequence_id", "seq").join(listed, "seq_idx")
+    spans = F.transform("m", lambda x: F.struct(F.greatest(x["start"], F.lit(0)).cast("int").alias("first"), F.least(F.length("seq") - 1, x["end"] + (p.window - 1)).cast("int").alias("last")))
+    kinds = dict(held.dtypes)
+
+    def cut(batches):
+        for batch in batches:
+            letters = [[seq[x["first"] : x["last"] + 1] for x in spans] for seq, spans in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(letters, pa.list_(pa.string()))], ["seq_idx", "sequence_id", "m", "spans", "letters"])
+
+    lists = held.withColumn("spans", spans).mapInArrow(cut, f"seq_idx {kinds['seq_idx']}, sequence_id string, m {kinds['m']}, spans array<struct<first:int,last:int>>, letters array<string>")
+    rows = lists.select("seq_idx", "sequence_id", F.explode(F.arrays_zip("m", "spans", "letters")).alias("r"))
+    return rows.select("seq_idx", "sequence_id", "r.m.*", "r.spans.*", "r.letters")
+
+
 def described(measured: DataFrame, sequences: DataFrame, p: Params = Params()) -> DataFrame:
     """The region table from ``measures`` and the sequences' letters."""
-    df = measured.join(sequences.select("seq_idx", "sequence_id", "seq"), "seq_idx")
+    df = with_letters(measured, sequences, p)
     n, total = F.col("v_n").cast("decimal(19,0)"), F.col("v_sum").cast("decimal(19,0)")
     spread = (n * F.col("v_square") - total * total).cast("double") / (F.col("v_n") * F.col("v_n")).cast("double") / float(MICRO) / float(MICRO)
     variance = F.when(F.col("v_n") >= 2, spread).otherwise(0.0)
     background = _mean(F.coalesce("up_sum", F.lit(0)) + F.coalesce("dn_sum", F.lit(0)), F.col("up_n") + F.col("dn_n"))
-    last = F.least(F.length("seq") - 1, F.col("end") + (p.window - 1))
-    df = df.select("*", F.coalesce(_mean("v_sum", "v_n"), F.lit(0.0)).alias("pds_mean"), variance.alias("variance"), F.greatest(F.col("start"), F.lit(0)).alias("first"), last.alias("last"))
+    df = df.select("*", F.coalesce(_mean("v_sum", "v_n"), F.lit(0.0)).alias("pds_mean"), variance.alias("variance"))
     persistence = F.when(F.col("v_n") > 0, F.col("v_positive").cast("double") / F.col("v_n").cast("double")).otherwise(0.0)
     raw = F.col("pds_mean") * persistence * F.ln((F.col("end") - F.col("start") + 1).cast("double")) / (F.col("variance") + EPSILON)
-    letters = F.substring(F.col("seq"), F.col("first") + 1, F.col("last") - F.col("first") + 1)
     order = Window.partitionBy("seq_idx").orderBy("start")
-    out = df.withColumn("letters", letters).withColumn("Region_Score", F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0))))
+    out = df.withColumn("Region_Score", F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0))))
     out = out.withColumns({"number": F.row_number().over(order), "Rank": F.row_number().over(Window.partitionBy("seq_idx").orderBy(F.desc("Region_Score"), "start"))})
     std = F.sqrt("variance")
     return out.select(

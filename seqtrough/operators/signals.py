@@ -1,138 +1,249 @@
 """Positional signals: dinucleotide perplexity, its smoothing and the depression score.
 
-A row is a position. One exchange on the sequence brings its rows together; every window after it has the
-same partitioning, first from the end backwards (windows of bases reach forwards, and the next value
-after a gap is the last one seen), then forwards. Means over ranges are differences of running sums, so
-the cost of a position does not depend on the ranges' widths.
+A sequence is cut into pieces of positions, each with the letters that its positions depend on, and every piece is worked out as
+arrays: letters are never rows, and nothing is shuffled. Only the results are rows, one for each position. A gap that is longer than
+a piece's halo needs the nearest window without N on either side; the cut finds it in one pass and hands its letters on.
 
-Long sequences: with ``chunk`` a task takes that many positions with a halo, instead of a sequence.
+Pieces keep memory bounded, however long a sequence is. With ``chunk`` they are dealt out over all tasks, a byte for each letter,
+so that few long sequences use the whole cluster.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_offset, by, micro
+from ..functions.columns import at_offset, by
 from ..functions.params import MICRO, Params, entropy_terms, hats
 
-
-def _literal(x) -> Column:
-    return F.array(*map(_literal, x)) if isinstance(x, list) else F.lit(x)
-
-
-def bases(sequences: DataFrame, p: Params = Params(), chunk: int | None = None) -> DataFrame:
-    """(seq_idx, chunk, n, pos, code): a row for each base; code -1 is N. n is the length of the signal."""
-    long_enough = sequences.where(F.length("seq") >= p.window).select("seq_idx", "seq", (F.length("seq") - (p.window - 1)).alias("n"))
-    if chunk is None:
-        parts = long_enough.select("seq_idx", F.lit(0).alias("chunk"), "n", F.lit(0).alias("first"), "seq")
-    else:
-        cut = long_enough.select("seq_idx", "n", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk"))
-        first = F.greatest(F.col("chunk") * chunk - p.halo, F.lit(0))
-        last = F.least((F.col("chunk") + 1) * chunk + p.halo, F.col("n")) + (p.window - 1)
-        cut = cut.select("seq_idx", "chunk", "n", first.alias("first"), "seq", last.alias("last"))
-        parts = cut.select("seq_idx", "chunk", "n", "first", F.substring(F.col("seq"), F.col("first") + 1, F.col("last") - F.col("first")).alias("seq"))
-    rows = parts.select("seq_idx", "chunk", "n", "first", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''")
-    return rows.select("seq_idx", "chunk", "n", (F.col("first") + F.col("i")).alias("pos"), _code(F.col("base")).alias("code"))
-
-
-def _code(base: Column) -> Column:
-    return F.when(base == "A", 0).when(base == "C", 1).when(base == "G", 2).when(base == "T", 3).otherwise(-1)
-
-
-KEYS = ("seq_idx", "chunk")
-
-
-def dinucleotides(rows: DataFrame) -> DataFrame:
-    """Adds din, 4 * code + next code with N as A, null at the last base."""
-    back = by(*KEYS, order=F.desc("pos"))
-    code = F.greatest("code", F.lit(0))
-    return rows.withColumn("din", 4 * code + F.lag(code).over(back))
-
-
-def perplexity(rows: DataFrame, p: Params = Params()) -> DataFrame:
-    """(keys, n, pos, di): 2 to the entropy of the window's dinucleotides; null where the window has an N.
-
-    The sixteen counts of a window stand in two longs, eight bits each, so that two sums give them all.
-    """
-    m = max(p.window - 1, 1)
-    back = by(*KEYS, order=F.desc("pos"))
-    one = [1 << (8 * k) for k in range(8)]
-    half = lambda k: F.when(F.col("din").isNull(), F.lit(0)).otherwise(F.get(_literal([*([0] * 8 * k), *one, *([0] * 8 * (1 - k))]), F.col("din"))).cast("long")
-    ones = dinucleotides(rows).withColumns({"lo": half(0), "hi": half(1), "is_n": (F.col("code") < 0).cast("int")})
-    reach = back.rowsBetween(-(p.window - 2), 0) if p.window > 1 else None
-    counts = ones.withColumns(
-        {k: F.sum(k).over(reach) if reach is not None else F.lit(0).cast("long") for k in ("lo", "hi")} | {"is_n": F.max("is_n").over(back.rowsBetween(-(p.window - 1), 0))}
-    ).where("pos < n")
-    terms = _literal(entropy_terms(m))
-    total = sum(
-        (F.get(terms, F.shiftright(F.col(w), 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")) for w in ("lo", "hi") for k in range(8)),
-        F.lit(0.0),
-    )
-    di = F.pow(F.lit(2.0), F.lit(math.log2(m)) - total / float(m))
-    return counts.select(*KEYS, "n", "pos", F.when(F.col("is_n") == 0, di).alias("di"))
-
-
-def _carried(df: DataFrame, chunk: int) -> DataFrame:
-    """Adds the finite values before and after a chunk's rows, for gaps that are longer than its halo."""
-    own = F.col("di").isNotNull() & (F.floor(F.col("pos") / chunk) == F.col("chunk"))
-    here = F.when(own, F.struct("pos", "di"))
-    ends = df.groupBy(*KEYS).agg(F.min(here).alias("head"), F.max(here).alias("tail"))
-    order = by("seq_idx", order="chunk")
-    back = by("seq_idx", order=F.desc("chunk"))
-    span = (Window.unboundedPreceding, -1)
-    carry = ends.select(*KEYS, F.last("tail", True).over(order.rowsBetween(*span)).alias("before"), F.last("head", True).over(back.rowsBetween(*span)).alias("after"))
-    return df.join(carry, list(KEYS))
-
-
-def interpolated(df: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Adds x: di, with gaps filled linearly, and by the nearest value at the ends; null if all is null."""
-    seen = F.when(F.col("di").isNotNull(), F.struct("pos", "di"))
-    sofar = (Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("nxt", F.last(seen, True).over(by(*KEYS, order=F.desc("pos")).rowsBetween(*sofar)))
-    if chunk is not None:
-        df = _carried(df, chunk)
-    df = df.withColumn("prv", F.last(seen, True).over(by(*KEYS).rowsBetween(*sofar)))
-    prv, nxt = (F.col("prv"), F.col("nxt")) if chunk is None else (F.coalesce("prv", "before"), F.coalesce("nxt", "after"))
-    x0, y0, x1, y1 = prv["pos"], prv["di"], nxt["pos"], nxt["di"]
-    between = y0 + (y1 - y0) / (x1 - x0) * (F.col("pos") - x0)
-    x = F.when(F.col("di").isNotNull(), F.col("di")).when(y0.isNull(), y1).when(y1.isNull(), y0).otherwise(between)
-    return df.select(*KEYS, "n", "pos", "di", x.alias("x"))
-
-
-def smoothed(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Adds q: the Savitzky-Golay value in whole millionths, null where di is; the ends follow the edge polynomial."""
+#: Positions of a piece that is worked out where its sequence is.
+PIECE = 1 << 16
+#: Rows of a batch that goes back to Spark.
+ROWS = 1 << 16
+
+
+class Piece(NamedTuple):
+    """Positions [low, high) of a signal of ``n``, and letters from position ``first`` on. Windows without N before and behind them, where there are any."""
+
+    n: int
+    low: int
+    high: int
+    first: int
+    letters: bytes
+    before: int | None
+    before_letters: bytes | None
+    after: int | None
+    after_letters: bytes | None
+
+
+def pieces(seq: bytes, p: Params, size: int) -> Iterator[Piece]:
+    n = len(seq) - p.window + 1
+    whole = re.compile(b"[^N]{%d}" % p.window)
+    before, passed, after = None, 0, -1
+    for low in range(0, max(n, 0), size):
+        high = min(low + size, n)
+        first, last = max(low - p.halo, 0), min(high + p.halo, n)
+        back = whole.search(seq[passed : first + p.window - 1][::-1]) if first > passed else None
+        if back:
+            before = first - 1 - back.start()
+        passed = first
+        if after is not None and after < last:
+            found = whole.search(seq, last)
+            after = found.start() if found else None
+        at = lambda k: (k, None if k is None else seq[k : k + p.window])
+        yield Piece(n, low, high, first, seq[first : last + p.window - 1], *at(before), *at(after))
+
+
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    out = np.full(256, -1, np.int8)
+    out[list(b"ACGT")] = range(4)
+    return out
+
+
+def codes(letters: bytes) -> np.ndarray:
+    """0 to 3 for A, C, G, T; -1 for N."""
+    return _codes()[np.frombuffer(letters, np.uint8)]
+
+
+def dinucleotides_of(code: np.ndarray) -> np.ndarray:
+    """4 * code + next code with N as A, for all letters but the last."""
+    known = np.maximum(code, 0)
+    return 4 * known[:-1] + known[1:]
+
+
+def perplexities(code: np.ndarray, p: Params) -> np.ndarray:
+    """2 to the entropy of each window's dinucleotides; NaN where the window has an N."""
+    n, m = len(code) - p.window + 1, max(p.window - 1, 1)
+    din, terms, total = dinucleotides_of(code), np.array(entropy_terms(m)), np.zeros(n)
+    for d in range(16):
+        upto = np.concatenate([[0], np.cumsum(din == d, dtype=np.int32)])
+        total += terms[upto[p.window - 1 : p.window - 1 + n] - upto[:n]]
+    masked = np.concatenate([[0], np.cumsum(code < 0, dtype=np.int32)])
+    return np.where(masked[p.window : p.window + n] == masked[:n], 2.0 ** (math.log2(m) - total / float(m)), np.nan)
+
+
+def _one(letters: bytes | None, p: Params) -> float | None:
+    return None if letters is None else float(perplexities(codes(letters), p)[0])
+
+
+def filled(di: np.ndarray, x: Piece, p: Params) -> np.ndarray:
+    """``di`` with gaps filled linearly, and by the nearest value at the ends; NaN if all is."""
+    ok = ~np.isnan(di)
+    if ok.all():
+        return di
+    at = np.arange(len(di))
+    prv, nxt = np.maximum.accumulate(np.where(ok, at, -1)), np.minimum.accumulate(np.where(ok, at, len(di))[::-1])[::-1]
+    value = np.concatenate([di, [np.nan]])
+    x0, y0 = (prv + x.first).astype(float), np.where(prv >= 0, value[prv], np.nan)
+    x1, y1 = (nxt + x.first).astype(float), np.where(nxt < len(di), value[np.minimum(nxt, len(di))], np.nan)
+    if x.before is not None:
+        x0, y0 = np.where(prv < 0, x.before, x0), np.where(prv < 0, _one(x.before_letters, p), y0)
+    if x.after is not None:
+        x1, y1 = np.where(nxt >= len(di), x.after, x1), np.where(nxt >= len(di), _one(x.after_letters, p), y1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = y0 + (y1 - y0) / (x1 - x0) * (at + x.first - x0)
+    return np.where(ok, di, np.where(np.isnan(y0), y1, np.where(np.isnan(y1), y0, between)))
+
+
+@lru_cache(maxsize=8)
+def _hats(p: Params) -> list[np.ndarray]:
+    return [np.array(h) for h in hats(p)]
+
+
+def smooth(values: np.ndarray, x: Piece, p: Params) -> np.ndarray:
+    """Savitzky-Golay values; the signal's ends follow the edge polynomial. Within half a window of a piece's cut they are not told."""
     full, _ = p.smoothing(1 << 30)
     if not full:
-        return df.withColumn("q", F.when(F.col("di").isNotNull(), micro(F.col("di"))))
-    order, h = by(*KEYS), full // 2
-    reach = range(-(full - 1), full)
-    near = {o: f"_x{o + full}" for o in reach if o}
-    df = df.withColumns({name: at_offset("x", o, order) for o, name in near.items()})
-    value = lambda o: F.col(near[o]) if o else F.col("x")
-    table = hats(p)
-    inner = sum((F.lit(table[h][h][k]) * value(k - h) for k in range(1, full)), F.lit(table[h][h][0]) * value(-h))
-    size = F.least(F.lit(full), F.col("n") - (F.col("n") % 2 == 0).cast("int"))
-    start = F.greatest(F.least(F.col("pos") - F.floor(size / 2), F.col("n") - size), F.lit(0)).cast("int")
-    weights = F.get(F.get(_literal(table), F.floor((size - 1) / 2).cast("int")), F.col("pos") - start)
-    values = F.slice(F.array(*map(value, reach)), start - F.col("pos") + full, size)
-    edge = F.aggregate(F.zip_with(weights, values, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    whole = (F.col("n") >= full) & (F.col("pos") >= h) & (F.col("pos") < F.col("n") - h)
-    q = F.when(F.col("di").isNotNull(), micro(F.when(whole, inner).otherwise(edge)))
-    return df.withColumn("q", q).drop(*near.values())
+        return values
+    table, h, pos = _hats(p), full // 2, np.arange(len(values)) + x.first
+    out = np.full(len(values), np.nan)
+    if len(values) >= full:
+        inner = table[h][h][0] * values[: len(values) - 2 * h]
+        for k in range(1, full):
+            inner = inner + table[h][h][k] * values[k : len(values) - 2 * h + k]
+        out[h : len(values) - h] = inner
+    edge = np.flatnonzero((pos < h) | (pos >= x.n - h) | (x.n < full))
+    if len(edge):
+        size = min(full, x.n - (x.n % 2 == 0))
+        start = np.clip(pos[edge] - size // 2, 0, x.n - size)
+        weights, total = table[(size - 1) // 2][pos[edge] - start], np.zeros(len(edge))
+        inside = np.minimum(np.maximum(start[:, None] - x.first + np.arange(size), 0), len(values) - 1)
+        for k in range(size):
+            total = total + weights[:, k] * values[inside[:, k]]
+        out[edge] = total
+    return out
+
+
+def micros(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Whole millionths, 0 where not ``ok``; the same arithmetic gives the same number in any engine."""
+    return np.floor(np.where(ok & ~np.isnan(values), values, 0.0) * float(MICRO) + 0.5).astype(np.int64)
+
+
+def depressions(q: np.ndarray, ok: np.ndarray, x: Piece, p: Params) -> np.ndarray:
+    """How far the region's mean lies under the mean of both sides; NaN unless under each, and where a range leaves the signal."""
+    cs, cn, pos = np.concatenate([[0], np.cumsum(np.where(ok, q, 0))]), np.concatenate([[0], np.cumsum(ok)]), np.arange(len(q)) + x.first
+    known, total, count = np.ones(len(q), bool), {}, {}
+    for k, (a, b) in p.frames.items():
+        lo, hi = (np.clip(np.arange(len(q)) + o, 0, len(q)) for o in (a, b))
+        total[k], count[k] = cs[hi] - cs[lo], cn[hi] - cn[lo]
+        known &= (pos + a >= 0) & (pos + b <= x.n) & (a < b) & (count[k] > 0)
+    for k in ("up", "dn"):
+        known &= total[k] * count["reg"] > total["reg"] * count[k]
+    up, reg, dn = (total[k] / np.maximum(count[k], 1) for k in ("up", "reg", "dn"))
+    return np.where(known, ((up + dn) / 2.0 - reg) / float(MICRO), np.nan)
+
+
+#: What a position can have, by name: the kind of its column.
+TRACKS = {"code": "int", "din": "int", "di": "double", "x": "double", "q": "long", "smoothed": "double", "pds": "double"}
+
+
+def worked_out(x: Piece, p: Params, wanted: tuple[str, ...]) -> dict[str, pa.Array]:
+    """The ``wanted`` values of a piece's own positions."""
+    own, code = slice(x.low - x.first, x.high - x.first), codes(x.letters)
+    out: dict[str, pa.Array] = {}
+    if "code" in wanted or "din" in wanted:
+        out["code"], out["din"] = (pa.array(a[own].astype(np.int32)) for a in (code, dinucleotides_of(code)))
+    if set(wanted) <= out.keys():
+        return out
+    di = perplexities(code, p)
+    ok = ~np.isnan(di)
+    none = lambda a: pa.array(a[own], from_pandas=True)
+    out["di"] = none(di)
+    if set(wanted) <= out.keys():
+        return out
+    values = filled(di, x, p)
+    out["x"] = none(values)
+    q = micros(smooth(values, x, p), ok)
+    out["q"] = pa.array(q[own], mask=~ok[own])
+    out["smoothed"] = none(np.where(ok, q / float(MICRO), np.nan))
+    if "pds" in wanted:
+        out["pds"] = none(depressions(q, ok, x, p))
+    return out
+
+
+def tracks(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, wanted: tuple[str, ...] = ("di", "smoothed", "pds")) -> DataFrame:
+    """(seq_idx, n, pos, and the ``wanted`` of TRACKS) for every window of every sequence; n is the length of the signal.
+
+    ``chunk``: positions of a piece that is dealt out; without it each sequence is worked out where it is.
+    """
+    kind = dict(sequences.dtypes)["seq_idx"]
+    rows = sequences.where(F.length("seq") >= p.window).select("seq_idx", "seq")
+    names = Piece._fields
+    schema = f"seq_idx {kind}, n int, low int, high int, first int, letters binary, before int, before_letters binary, after int, after_letters binary"
+    told = {"seq_idx": kind, "n": "int", "pos": "int"} | {k: TRACKS[k] for k in wanted}
+
+    def cut(batches):
+        for batch in batches:
+            for key, seq in zip(batch.column(0), batch.column(1)):
+                for x in pieces(seq.as_py().encode(), p, chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field(0).type), *(pa.array([v], pa.binary() if "letters" in k else pa.int32()) for k, v in zip(names, x))], ["seq_idx", *names])
+
+    def batch_of(held, key_type):
+        sizes = [len(a[wanted[0]]) for _, _, a in held]
+        keys = pa.array([k for k, _, _ in held], key_type).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        n = pa.array(np.repeat(np.array([x.n for _, x, _ in held], np.int32), sizes))
+        pos = pa.array(np.concatenate([np.arange(x.low, x.high, dtype=np.int32) for _, x, _ in held]))
+        return pa.RecordBatch.from_arrays([keys, n, pos, *(pa.concat_arrays([a[w] for _, _, a in held]) for w in wanted)], list(told))
+
+    def work(batches):
+        held, rows = [], 0
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
+                key, *rest = (v.as_py() for v in row)
+                for x in [Piece(*rest)] if chunk else pieces(rest[0].encode(), p, PIECE):
+                    held.append((key, x, worked_out(x, p, wanted)))
+                    rows += x.high - x.low
+                    if rows >= ROWS:
+                        yield batch_of(held, key_type)
+                        held, rows = [], 0
+            if held:
+                yield batch_of(held, key_type)
+                held, rows = [], 0
+
+    if chunk:
+        rows = rows.mapInArrow(cut, schema).repartition("seq_idx", "low")
+    return rows.mapInArrow(work, ", ".join(f"{k} {t}" for k, t in told.items()))
 
 
 def prefix_sums(df: DataFrame, value: str = "q") -> DataFrame:
     """Adds cs and cn: sum and number of the values up to and with a position."""
-    sofar = by(*KEYS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sofar = by("seq_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({"cs": F.sum(F.coalesce(value, F.lit(0))).over(sofar), "cn": F.count(value).over(sofar)})
 
 
 def range_sums(df: DataFrame, frames: dict[str, tuple[int, int]]) -> DataFrame:
     """Adds sum_k and cnt_k over [from, to) around each position, null where the range leaves the signal."""
-    order = by(*KEYS)
+    order = by("seq_idx")
     points = sorted({o - 1 for f in frames.values() for o in f})
     names = {(c, o): f"_{c}{o}".replace("-", "m") for c in ("cs", "cn") for o in points}
     df = df.withColumns({name: at_offset(c, o, order) for (c, o), name in names.items()})
@@ -149,20 +260,6 @@ def mean_of(k: str) -> Column:
     return F.when(F.col(f"cnt_{k}") > 0, F.col(f"sum_{k}") / F.col(f"cnt_{k}") / float(MICRO))
 
 
-def depression(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Adds pds: how far the region's mean lies under the mean of both sides, null unless under each."""
-    df = range_sums(df, p.frames)
-    under = lambda k: F.col(f"sum_{k}") * F.col("cnt_reg") > F.col("sum_reg") * F.col(f"cnt_{k}")
-    known = (F.col("cnt_up") > 0) & (F.col("cnt_reg") > 0) & (F.col("cnt_dn") > 0)
-    ratio = lambda k: F.col(f"sum_{k}").cast("double") / F.col(f"cnt_{k}").cast("double")
-    pds = ((ratio("up") + ratio("dn")) / 2.0 - ratio("reg")) / float(MICRO)
-    return df.withColumn("pds", F.when(known & under("up") & under("dn"), pds))
-
-
 def signals(sequences: DataFrame, p: Params = Params(), chunk: int | None = None) -> DataFrame:
     """(seq_idx, n, pos, di, smoothed, pds) for every window of every sequence."""
-    df = perplexity(bases(sequences, p, chunk), p)
-    df = depression(prefix_sums(smoothed(interpolated(df, chunk), p)), p)
-    if chunk is not None:
-        df = df.where(F.floor(F.col("pos") / chunk) == F.col("chunk"))
-    return df.select("seq_idx", "n", "pos", "di", (F.col("q") / float(MICRO)).alias("smoothed"), "pds")
+    return tracks(sequences, p, chunk)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import gc_count, rounded
+from ..functions.columns import gc_count, micro, rounded
 from ..functions.params import Params
 from ..operators import motifs as M
 from ..operators import population as P
@@ -100,54 +100,55 @@ def gc_content(spark, sf_dir):
 
 @query(f"WITH {O.di_ctes(O.SEQ_RAW)} SELECT seq_idx, count(*) AS n_windows, count(*) - count(di) AS n_masked FROM di GROUP BY seq_idx")
 def n_mask(spark, sf_dir):
-    df = S.perplexity(S.bases(raw(spark, sf_dir)))
+    df = S.tracks(raw(spark, sf_dir), wanted=("di",))
     return df.groupBy("seq_idx").agg(F.count("*").alias("n_windows"), (F.count("*") - F.count("di")).alias("n_masked"))
 
 
-@query(f"WITH {O.di_ctes(O.SEQ_ACGT)} SELECT din, count(*) AS n FROM dins WHERE din IS NOT NULL GROUP BY din")
+@query(f"WITH {O.di_ctes(O.SEQ_RAW)} SELECT din, count(*) AS n FROM dins WHERE pos < n GROUP BY din")
 def dinuc_counts(spark, sf_dir):
-    return S.dinucleotides(S.bases(acgt(spark, sf_dir))).where("din is not null").groupBy(F.col("din").cast("long").alias("din")).agg(F.count("*").alias("n"))
+    """Of the dinucleotides at which a window begins."""
+    return S.tracks(raw(spark, sf_dir), wanted=("din",)).groupBy(F.col("din").cast("long").alias("din")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {O.di_ctes(O.SEQ_ACGT)} SELECT seq_idx, pos, {r6('di')} FROM di")
+@query(f"WITH {O.di_ctes(O.SEQ_RAW)} SELECT seq_idx, pos, {r6('di')} FROM di")
 def di_perplexity(spark, sf_dir):
-    return told(S.perplexity(S.bases(acgt(spark, sf_dir))).select("seq_idx", F.col("pos").cast("long").alias("pos"), "di"))
+    return told(S.tracks(raw(spark, sf_dir), wanted=("di",)).select("seq_idx", F.col("pos").cast("long").alias("pos"), "di"))
 
 
 @query(f"WITH {O.di_ctes(O.SEQ_RAW)}, d AS (SELECT seq_idx, {O.micro('di')} AS v FROM di) SELECT seq_idx, count(*) AS n_windows, {O.r(O.mean('sum(v)', 'count(v)'))} AS mean_di, min(v) / 1000000.0 AS min_di, max(v) / 1000000.0 AS max_di FROM d GROUP BY seq_idx")
 def di_summary(spark, sf_dir):
-    v = S.perplexity(S.bases(raw(spark, sf_dir))).select("seq_idx", S.micro(F.col("di")).alias("v"))
+    v = S.tracks(raw(spark, sf_dir), wanted=("di",)).select("seq_idx", micro(F.col("di")).alias("v"))
     mean = F.when(F.count("v") > 0, F.sum("v").cast("double") / F.count("v").cast("double") / 1000000.0)
     return v.groupBy("seq_idx").agg(F.count("*").alias("n_windows"), rounded(mean).alias("mean_di"), (F.min("v") / 1000000.0).alias("min_di"), (F.max("v") / 1000000.0).alias("max_di"))
 
 
 @query(f"WITH {O.di_ctes(O.SEQ_RAW)}, {O.x_ctes()} SELECT seq_idx, pos, {r6('x')} FROM filled WHERE di IS NULL AND x IS NOT NULL")
 def nan_interp(spark, sf_dir):
-    df = S.interpolated(S.perplexity(S.bases(raw(spark, sf_dir))))
+    df = S.tracks(raw(spark, sf_dir), wanted=("di", "x"))
     return told(df.where("di is null and x is not null").select("seq_idx", F.col("pos").cast("long").alias("pos"), "x"))
 
 
 @query(f"WITH {O.di_ctes(O.SEQ_RAW)}, {O.x_ctes()}, {O.q_ctes()} SELECT seq_idx, pos, q FROM smooth WHERE q IS NOT NULL")
 def sg_smooth(spark, sf_dir):
-    df = S.smoothed(S.interpolated(S.perplexity(S.bases(raw(spark, sf_dir)))))
+    df = S.tracks(raw(spark, sf_dir), wanted=("q",))
     return df.where("q is not null").select("seq_idx", F.col("pos").cast("long").alias("pos"), "q")
 
 
 def _sums(sequences: DataFrame) -> DataFrame:
-    return S.prefix_sums(S.smoothed(S.interpolated(S.perplexity(S.bases(sequences)))))
+    return S.prefix_sums(S.tracks(sequences, wanted=("q",)))
 
 
-_SUMS = f"{O.di_ctes(O.SEQ_ACGT)}, {O.x_ctes()}, {O.q_ctes()}, {O.sum_ctes()}"
+_SUMS = f"{O.di_ctes(O.SEQ_RAW)}, {O.x_ctes()}, {O.q_ctes()}, {O.sum_ctes()}"
 
 
 @query(f"WITH {_SUMS} SELECT seq_idx, pos, cs, cn FROM sums")
 def prefix_sums(spark, sf_dir):
-    return _sums(acgt(spark, sf_dir)).select("seq_idx", F.col("pos").cast("long").alias("pos"), "cs", "cn")
+    return _sums(raw(spark, sf_dir)).select("seq_idx", F.col("pos").cast("long").alias("pos"), "cs", "cn")
 
 
 @query(f"WITH {_SUMS} SELECT seq_idx, pos, " + ", ".join(f"{O.r(O.mean(f'sum_{k}', f'cnt_{k}'))} AS {k}" for k in ("up", "reg", "dn")) + " FROM ranges WHERE cnt_up > 0 AND cnt_dn > 0")
 def range_means(spark, sf_dir):
-    df = S.range_sums(_sums(acgt(spark, sf_dir)), DEFAULT.frames).where("cnt_up > 0 and cnt_dn > 0")
+    df = S.range_sums(_sums(raw(spark, sf_dir)), DEFAULT.frames).where("cnt_up > 0 and cnt_dn > 0")
     return told(df.select("seq_idx", F.col("pos").cast("long").alias("pos"), *(S.mean_of(k).alias(k) for k in ("up", "reg", "dn"))))
 
 
@@ -173,15 +174,18 @@ def signal_counts(spark, sf_dir):
     return df.groupBy("seq_idx").agg(F.count("*").alias("n_windows"), F.count("di").alias("n_di"), F.count("smoothed").alias("n_smoothed"), F.count("pds").alias("n_pds"))
 
 
-@query(f"WITH {_SIG} SELECT seq_idx, pos, {r6('di', 'pds')}, greatest({O.r('coalesce(pds, 0.0)')}, 0.0) AS pds_positive FROM signals WHERE di IS NOT NULL")
+_ALL = O.signal_ctes(O.SEQ_RAW)
+
+
+@query(f"WITH {_ALL} SELECT seq_idx, pos, {r6('di', 'pds')}, greatest({O.r('coalesce(pds, 0.0)')}, 0.0) AS pds_positive FROM signals WHERE di IS NOT NULL")
 def pds_landscape(spark, sf_dir):
-    df = V.landscape(S.signals(acgt(spark, sf_dir))).where("di is not null")
+    df = V.landscape(S.signals(raw(spark, sf_dir))).where("di is not null")
     return told(df.select("seq_idx", F.col("pos").cast("long").alias("pos"), "di", "pds", "pds_positive"))
 
 
-@query(f"WITH {_SIG} SELECT seq_idx, pos, {O.r('pds')} AS value FROM signals")
+@query(f"WITH {_ALL} SELECT seq_idx, pos, {O.r('pds')} AS value FROM signals")
 def heatmap_long(spark, sf_dir):
-    return told(V.heatmap(S.signals(acgt(spark, sf_dir))).select("seq_idx", F.col("pos").cast("long").alias("pos"), "value"))
+    return told(V.heatmap(S.signals(raw(spark, sf_dir))).select("seq_idx", F.col("pos").cast("long").alias("pos"), "value"))
 
 
 # --- segments -----------------------------------------------------------------------------------

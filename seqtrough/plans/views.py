@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import Params
+from ..operators.population import within
 
 LENGTH_BINS = SCORE_BINS = 40
 BOUNDARY_BINS = 60
@@ -71,7 +72,7 @@ def heatmap(signals: DataFrame, value: str = "pds") -> DataFrame:
 def consensus_track(profile: DataFrame, consensus: DataFrame) -> DataFrame:
     """(pos, mean_pds, region_id): the profile with the consensus region over each position."""
     c = consensus.select("region_id", "consensus_start", "consensus_end")
-    return profile.select("pos", "mean_pds", "lpr_frequency").join(F.broadcast(c), F.col("pos").between(F.col("consensus_start"), F.col("consensus_end")), "left").select("pos", "mean_pds", "lpr_frequency", "region_id")
+    return within(profile.select("pos", "mean_pds", "lpr_frequency"), c, "consensus_start", "consensus_end", "left").select("pos", "mean_pds", "lpr_frequency", "region_id")
 
 
 def top_motifs(frequencies: DataFrame, n: int = 15) -> DataFrame:

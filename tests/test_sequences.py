@@ -184,13 +184,13 @@ def region_rows(spark, rows):
 
 
 def test_motifs(spark):
-    assert M.pattern("tatawawr") == "TATA[AT]A[AT][AG]" and M.pattern("UAUA") == "UAUA" and not M.is_iupac("")
+    assert M.pattern("tatawawr") == "TATA[AT]A[AT][AG]" and M.pattern("UAUA") == "UAUA" and M.pattern("  ") == ""
     with pytest.raises(ValueError):
-        M.compile_motifs("A(")
+        M.parse("A(")
     df = region_rows(spark, [(0, 0, 5, 1.0, 0.0, "AAAAAAAAaaaaaaaTATAAAAG"), (0, 9, 12, 1.0, 0.0, "")]).withColumns({"Motif_Count": F.lit(0), "Motifs": F.lit("")})
-    got = sorted(M.annotate(df, M.compile_motifs("A{7}|T{7}\n\nTATAWAWR\nGGG")).collect())
+    got = sorted(M.annotate(df, M.parse("A{7}|T{7}\n\nTATAWAWR\nGGG")).collect())
     assert [(r.Motif_Count, r.Motifs) for r in got] == [(3, "A{7}|T{7}:2;TATAWAWR:1"), (0, "")]
-    assert M.with_hits(M.annotate(df, M.compile_motifs("GGG"))).count() == 0
+    assert M.with_hits(M.annotate(df, M.parse("GGG"))).count() == 0
 
 
 def test_population(spark):
@@ -202,7 +202,7 @@ def test_population(spark):
     occ = P.occurrence(seqs, regions, c)
     assert sorted((r.seq_idx, r.region_id, r.present) for r in occ.collect()) == [(0, "CLPR_0001", 1), (0, "CLPR_0002", 0), (1, "CLPR_0001", 0), (1, "CLPR_0002", 1), (2, "CLPR_0001", 0), (2, "CLPR_0002", 0)]
     assert sorted(map(tuple, P.occurrence_matrix(occ).collect())) == [(0, "s0", 1, 0), (1, "s1", 0, 1), (2, "s2", 0, 0)]
-    motifs = M.compile_motifs("TATA")
+    motifs = M.parse("TATA")
     assert [tuple(r) for r in P.motif_frequencies(regions, c, motifs, 1).collect()] == [("CLPR_0001", "TATA", 2.0)]
     assert [tuple(r) for r in P.motif_frequencies(regions, c, motifs, 1, distinct_sequences=True).collect()] == [("CLPR_0001", "TATA", 1.0)]
     cover = {r.pos: (r.n_regions, r.score, r.gc) for r in P.coverage(regions, 21).collect()}
@@ -225,7 +225,7 @@ def test_sinks(spark, tmp_path):
         assert back.columns[0] == "Sequence_ID" and set(R.ADVANCED) <= set(back.columns) and "Signal_Start" not in back.columns
         assert [tuple(x)[:4] for x in sinks.bed(r).collect()] == [("s0", 1082, 1239, "LPR_000001")]
         assert sinks.fasta_lines(r).first()[0].startswith(">LPR_000001|s0:1082-1238|Region_Score=62.123")
-        fields = sinks.gff_lines(M.annotate(r, M.compile_motifs("AT{1,}\nTA")), escape=True).first()[0].split("\t")
+        fields = sinks.gff_lines(M.annotate(r, M.parse("AT{1,}\nTA")), escape=True).first()[0].split("\t")
         assert fields[3:5] == ["1083", "1239"] and fields[8].count(";") == 5 and "%3B" in fields[8]
         sinks.write_lines(sinks.gff_lines(r), str(tmp_path / "gff"), "##gff-version 3")
         assert [x[0][:5] for x in spark.read.text(str(tmp_path / "gff")).collect()] == ["##gff", "s0\tse"]
@@ -247,6 +247,24 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).drop("batch").count() == R.regions(s, SMALL).count() > 0
 
 
-def test_one_exchange_for_signals(spark):
-    plan = S.signals(sequences(spark, "ACGT" * 30))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
+def test_signals_shuffle_nothing(spark):
+    plan = lambda c: S.signals(sequences(spark, "ACGT" * 30), chunk=c)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(None) and plan(50).count("Exchange") == 1
+
+
+def test_pieces_tell_the_windows_around_gaps():
+    seq = b"ACGTTGCA" * 20 + b"N" * 700 + b"ACGTTGGA" * 20 + b"N" * 900 + b"A" * 17
+    p = Params()
+    whole = [k for k in range(len(seq) - 16) if b"N" not in seq[k : k + 17]]
+    for x in S.pieces(seq, p, 100):
+        last = min(x.high + p.halo, x.n)
+        assert x.letters == seq[x.first : last + 16]
+        before, after = [k for k in whole if k < x.first], [k for k in whole if k >= last]
+        assert (x.before, x.after) == (before[-1] if before else None, after[0] if after else None)
+        assert x.before is None or x.before_letters == seq[x.before : x.before + 17]
+
+
+def test_small_windows(spark):
+    for w in (1, 2, 3):
+        rows = S.signals(sequences(spark, "ACNGTTTTTACGA"), Params(window=w, flank=2, spacer=1, min_candidate=2, max_candidate=2)).orderBy("pos").collect()
+        assert [r.di is None for r in rows] == ["N" in "ACNGTTTTTACGA"[k : k + w] for k in range(14 - w)] and all(r.di is None or 1 <= r.di <= max(1, w - 1) for r in rows)
