@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-#: A node with at least this many links, and at least one in SHARE of all, is heavy: so there are at most 2 * SHARE of them.
-HEAVY, SHARE = 10_000, 50_000
+#: Links from which on a star may be too large for a task.
+HEAVY = 10_000
 
 
 def _with_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
-    """``links`` (a, b) joined with ``least`` (a, m, degree). Heavy nodes' few rows are broadcast, so that their links stay where they are."""
-    heavy = F.col("degree") >= max(HEAVY, 2 * n_links // SHARE)
-    many = stored(least.where(heavy).select("a", "m"))
-    held = links.join(F.broadcast(many), "a")
-    rest = links.join(F.broadcast(many.select("a")), "a", "left_anti").join(least.where(~heavy).select("a", "m"), "a")
-    return held.unionByName(rest)
+    """``links`` (a, b) joined with ``least`` (a, m). A stored table meets them in a plain join of two shuffles, whose skewed parts Spark splits."""
+    return links.join(stored(least) if n_links >= HEAVY else least, "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,17 +22,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins the links with each node's smallest neighbour, which shrinks every tree's height; it
     ends when a round changes nothing, after about the logarithm of the longest path. Nodes without a link
-    to another node are absent. Rounds are written to the shared folder, nothing is collected. Stars that hold a large share
-    of all links meet in no task: see ``_with_least``.
+    to another node are absent. Rounds are written to the shared folder, nothing is collected. The links of a star
+    that holds a large share of all are dealt out: see ``_with_least``.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, n_links = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _with_least(both.where("b > a"), least, n_links).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _with_least(large, least, n_links)
         pair = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")
         edges = stored(small.select(pair).select("p.a", "p.b").where("a <> b").distinct())
