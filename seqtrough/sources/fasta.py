@@ -1,63 +1,100 @@
 """FASTA text to sequences: seq_idx, sequence_id, seq, seq_len.
 
-``seq_idx`` tells records apart whose headers are equal, and orders them as they stand in the input.
+``seq_idx`` tells records apart whose headers are equal, and orders them as they stand in the input. Files are read record by
+record, so a file of many records is many tasks' work; records are numbered by counting them in each split of a file, and no record
+is moved or sorted for it. Parsed records are written once to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sanitised
+from .scratch import written
+
+#: Splits of files whose places every task may hold.
+SPLITS = 500_000
+#: Letters of records that stand in a batch.
+LETTERS = 1 << 22
+RECORDS = "file string, block long, k long, sequence_id string, seq string"
+
+_KEPT = bytes.maketrans(b"U", b"T")
+_DELETED = bytes(c for c in range(256) if c not in b"ACGTNU")
+
+
+def records(text: str, begun: bool, default_header: str) -> Iterator[tuple[str, str]]:
+    """(sequence_id, seq) of the records of ``text`` that have letters; ``begun``: its first line is a header without its mark.
+
+    Lines are stripped and blank ones skipped. Text before the first header is discarded, a blank header becomes ``default_header``.
+    """
+    header, body = None, []
+
+    def letters() -> str:
+        return "".join(body).upper().encode("ascii", "ignore").translate(_KEPT, _DELETED).decode()
+
+    for number, line in enumerate(text.splitlines() or [""]):
+        line = line.strip()
+        if begun and number == 0 or line.startswith(">"):
+            if header is not None and (seq := letters()):
+                yield header, seq
+            header, body = (line if begun and number == 0 else line[1:]).strip() or default_header, []
+        elif header is not None:
+            body.append(line)
+    if header is not None and (seq := letters()):
+        yield header, seq
 
-STRIP = r"^\s+|\s+$"
 
+def _records(texts: DataFrame, default_header: str) -> DataFrame:
+    """RECORDS of ``texts`` (file, block, value): a value begins a file if it is the first of block 0, else a record."""
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    def parse(batches):
+        place, k, out, held = None, 0, [], 0
+        for batch in batches:
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                first = (file, block) != place
+                place, k = (file, block), 0 if first else k
+                for name, seq in records(value or "", not (first and block == 0), default_header):
+                    out.append((file, block, k, name, seq))
+                    k, held = k + 1, held + len(seq)
+                    if held > LETTERS:
+                        yield _batch(out)
+                        out, held = [], 0
+        if out:
+            yield _batch(out)
 
+    return texts.select("file", F.col("block").cast("long"), "value").mapInArrow(parse, RECORDS)
 
-def _finished(records: DataFrame, order: list[str], default_header: str) -> DataFrame:
-    """Names blank headers, drops empty sequences and numbers the rest."""
-    header = _strip(F.col("header"))
-    df = records.withColumn("seq", sanitised(F.col("body"))).where(F.length("seq") > 0)
-    df = df.withColumn("sequence_id", F.when(header == "", F.lit(default_header)).otherwise(header))
-    number = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])) - 1
-    df = df.withColumn("record", number)
-    files = df.groupBy(order[0]).agg(F.count("*").alias("n"))  # a row for each file
-    before = files.select(order[0], F.coalesce(F.sum("n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return df.join(before, order[0]).select((F.col("base") + F.col("record")).cast("long").alias("seq_idx"), "sequence_id", "seq", F.length("seq").alias("seq_len"))
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [x.split()[0] for x in RECORDS.split(", ")])
 
 
 def parse(texts: DataFrame, default_header: str = "sequence") -> DataFrame:
-    """Sequences of whole texts (columns file, value). Text before the first header is discarded."""
-    lines = texts.select("file", F.posexplode(F.split("value", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("line_no", "line"))
-    lines = lines.withColumn("line", _strip(F.col("line"))).where("line <> ''")
-    head = F.col("line").startswith(">")
-    order = Window.partitionBy("file").orderBy("line_no")
-    numbered = lines.withColumn("rec", F.sum(head.cast("int")).over(order)).where("rec > 0")
-    body = F.sort_array(F.collect_list(F.when(~head, F.struct("line_no", "line"))))
-    records = numbered.groupBy("file", "rec").agg(
-        F.max(F.when(head, F.substring("line", 2, 1 << 30))).alias("header"),
-        F.concat_ws("", F.transform(body, lambda x: x["line"])).alias("body"),
-    )
-    return _finished(records, ["file", "rec"], default_header)
-
-
-def read_fasta(spark: SparkSession, path: str | list[str], splittable: bool = False, default_header: str = "sequence") -> DataFrame:
+    """Sequences of ``texts`` (file, value, and block where a file's text comes in parts), numbered by file, block and place."""
+    texts = texts if "block" in texts.columns else texts.withColumn("block", F.lit(0))
+    rows = written(_records(texts, default_header))
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))  # a row for each split of a file
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    places = written(counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    places = F.broadcast(places) if places.count() <= SPLITS else places
+    return rows.join(places, ["file", "block"]).select((F.col("base") + F.col("k")).alias("seq_idx"), "sequence_id", "seq", F.length("seq").alias("seq_len"))
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], whole: bool = False, default_header: str = "sequence") -> DataFrame:
     """Sequences of FASTA files, directories or globs.
 
-    The default reads each file whole and takes indented headers, blank lines and any line ends.
-    ``splittable`` reads records in parallel within a file; every record must begin with ``>`` in
-    the first column, after a line feed.
+    Records that begin with ``>`` in the first column after a line feed are read in parallel within a file; those with indented
+    headers or other line ends are found within them. ``whole`` reads each file as one value.
     """
-    if not splittable:
-        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-        return parse(texts, default_header)
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("rec"), "value")
-    body = F.when(F.instr("value", "\n") > 0, F.substring("value", F.instr("value", "\n") + 1, F.length("value"))).otherwise(F.lit(""))
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), "^>", "")
-    return _finished(rows.select("file", "rec", header.alias("header"), body.alias("body")), ["file", "rec"], default_header)
+    if whole:
+        return parse(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), default_header)
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    return parse(rows.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "value"), default_header)
 
 
 def from_text(spark: SparkSession, text: str, pasted: bool = True) -> DataFrame:

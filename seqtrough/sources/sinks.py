@@ -42,13 +42,29 @@ def json_array(regions: DataFrame, advanced: bool = False) -> str:
     return json.dumps(json.loads(_bounded(exported_columns(regions, advanced)).to_json(orient="records")), indent=2)
 
 
-def xlsx(regions: DataFrame, advanced: bool = False) -> bytes:
-    """A workbook, where the optional library for it is installed."""
+def workbook(**sheets: DataFrame) -> bytes:
+    """A workbook of small tables (regions, a consensus summary, an occurrence matrix), where the optional library for it is installed."""
+    import pandas as pd
+
     out = io.BytesIO()
-    _bounded(exported_columns(regions, advanced)).to_excel(out, index=False)
+    with pd.ExcelWriter(out) as book:
+        for name, df in sheets.items():
+            _bounded(df).to_excel(book, sheet_name=name, index=False)
     return out.getvalue()
 
 
+def xlsx(regions: DataFrame, advanced: bool = False) -> bytes:
+    return workbook(regions=exported_columns(regions, advanced))
+
+
+def four(x: str | Column) -> Column:
+    """A number with four digits after the point, from whole ten-thousandths, so that every engine writes the same."""
+    x = F.col(x) if isinstance(x, str) else x
+    v = F.floor(x * 10_000.0 + 0.5).cast("long")
+    size = F.abs(v)
+    return F.concat(F.when(v < 0, "-").otherwise(""), F.floor(size / 10_000).cast("string"), F.lit("."), F.lpad((size % 10_000).cast("string"), 4, "0"))
+
+
 def bed(regions: DataFrame) -> DataFrame:
     """Sequence_ID, Start, End + 1, Region_ID, Region_Score."""
     return regions.select("Sequence_ID", "Start", (F.col("End") + 1).alias("End"), "Region_ID", "Region_Score")
@@ -56,7 +72,7 @@ def bed(regions: DataFrame) -> DataFrame:
 
 def fasta_lines(regions: DataFrame) -> DataFrame:
     """A column value: header and sequence of each region."""
-    head = F.concat(F.lit(">"), "Region_ID", F.lit("|"), "Sequence_ID", F.lit(":"), F.col("Start"), F.lit("-"), F.col("End"), F.lit("|Region_Score="), F.format_string("%.4f", "Region_Score"))
+    head = F.concat(F.lit(">"), "Region_ID", F.lit("|"), "Sequence_ID", F.lit(":"), F.col("Start"), F.lit("-"), F.col("End"), F.lit("|Region_Score="), four("Region_Score"))
     return regions.select(F.concat_ws("\n", head, "Sequence").alias("value"))
 
 
@@ -66,19 +82,17 @@ def gff_lines(regions: DataFrame, source: str = "seqtrough", kind: str = "low_pe
     if escape:
         for a, b in (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C")):
             motifs = F.replace(motifs, F.lit(a), F.lit(b))
-    four = lambda c: F.format_string("%.4f", c)
     named = [("ID", F.col("Region_ID")), *((c, four(c)) for c in ("Region_Score", "Perplexity_Depression_Score", "Persistence", "Prominence")), ("Motifs", motifs)]
     attributes = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in named))
     dot = F.lit(".")
     return regions.select(F.concat_ws("\t", "Sequence_ID", F.lit(source), F.lit(kind), (F.col("Start") + 1).cast("string"), (F.col("End") + 1).cast("string"), four("Region_Score"), dot, dot, attributes).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Text in one part; ``header`` (such as ``##gff-version 3``) comes first."""
+def write_lines(lines: DataFrame, path: str, header: str | None = None, single: bool = False) -> None:
+    """Text; ``header`` (such as ``##gff-version 3``) is the first line of the first part. ``single`` makes one part."""
     if header:
-        spark = lines.sparkSession
-        lines = spark.createDataFrame([(0, header)], "k int, value string").unionByName(lines.select(F.lit(1).alias("k"), "value")).coalesce(1).sortWithinPartitions("k").select("value")
-    lines.coalesce(1).write.mode("overwrite").text(path)
+        lines = lines.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).unionByName(lines)
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
 def write_bed(regions: DataFrame, path: str, single: bool = False) -> None:
@@ -86,7 +100,7 @@ def write_bed(regions: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_occurrence(matrix: DataFrame, path: str, fmt: str = "csv") -> None:
-    """The occurrence matrix, the sequence first; tab-separated for tsv, else commas."""
+def write_occurrence(matrix: DataFrame, path: str, fmt: str = "csv", single: bool = False) -> None:
+    """The occurrence matrix, the sequence first; tab-separated for tsv, else commas. ``workbook`` makes its spreadsheet."""
     df = matrix.drop("seq_idx")
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t" if fmt.lower() == "tsv" else ",").csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("sep", "\t" if fmt.lower() == "tsv" else ",").csv(path)

@@ -107,10 +107,37 @@ def test_fasta_forms(spark):
     assert fasta.from_text(spark, "").count() == 0
 
 
-def test_fasta_splittable(spark, tmp_path):
+def test_fasta_files(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a 1\nAC\nGT\n>b\n>c\nNN\n")
-    whole, split = (sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / "x.fa"), splittable=s).collect())) for s in (False, True))
-    assert whole == split == [(0, "a 1", "ACGT", 4), (1, "c", "NN", 2)]
+    (tmp_path / "y.fa").write_text("lost\r\n\r\n>>d\r\nac\r\n   >e  \r\nuu\r\n>\r\nG")
+    (tmp_path / "z.fa").write_text("ACGT\nno header\n")
+    for whole in (False, True):
+        x, y, z = (sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / n), whole).collect())) for n in ("x.fa", "y.fa", "z.fa"))
+        assert x == [(0, "a 1", "ACGT", 4), (1, "c", "NN", 2)] and z == []
+        assert y == [(0, ">d", "AC", 2), (1, "e", "TT", 2), (2, "sequence", "G", 1)]
+        assert [r.seq_idx for r in fasta.read_fasta(spark, str(tmp_path), whole).orderBy("seq_idx").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_fasta_in_splits(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{k}", "".join(rng.choice(list("ACGT"), int(rng.integers(1, 200))))) for k in range(400)]
+    (tmp_path / "x.fa").write_text("".join(f">{n}\n" + "\n".join(s[i : i + 60] for i in range(0, len(s), 60)) + "\n" for n, s in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = fasta.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("seq_idx").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.seq_idx, r.sequence_id, r.seq) for r in got] == [(k, *x) for k, x in enumerate(rows)]
+
+
+def test_command_line(spark, tmp_path):
+    from seqtrough.__main__ import main
+
+    (tmp_path / "x.fa").write_text(f">one\n{FRAGMENT}\n>two\nACGT\n")
+    assert main([str(tmp_path / "x.fa"), "--out", str(tmp_path / "out"), "--motifs", "AT{1,}"], spark) == 1
+    (r,) = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert (r.Sequence_ID, r.Start, r.End, r.Region_ID, r.Motif_Count) == ("one", "1082", "1238", "LPR_000001", "78")
+    assert main([str(tmp_path / "x.fa"), "--out", str(tmp_path / "none"), "--format", "json", "--min-region", "900"], spark) == 0
 
 
 def test_merge_gap(spark):
@@ -228,7 +255,15 @@ def test_sinks(spark, tmp_path):
         fields = sinks.gff_lines(M.annotate(r, M.parse("AT{1,}\nTA")), escape=True).first()[0].split("\t")
         assert fields[3:5] == ["1083", "1239"] and fields[8].count(";") == 5 and "%3B" in fields[8]
         sinks.write_lines(sinks.gff_lines(r), str(tmp_path / "gff"), "##gff-version 3")
-        assert [x[0][:5] for x in spark.read.text(str(tmp_path / "gff")).collect()] == ["##gff", "s0\tse"]
+        parts = [x.read_text() for x in sorted((tmp_path / "gff").glob("part-*"))]
+        assert "".join(parts).startswith("##gff-version 3\ns0\tseqtrough\t") and len("".join(parts).splitlines()) == 2
+        assert "Region_Score=62.123" in "".join(parts)
+
+
+def test_four_digits(spark):
+    values = [0.0, 1.0, 62.12346434, -0.00004, -1.5, 0.00005, 123456.789]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(sinks.four("v").alias("t")).collect()
+    assert [r.t for r in got] == ["0.0000", "1.0000", "62.1235", "0.0000", "-1.5000", "0.0001", "123456.7890"]
 
 
 def test_views(spark):
