@@ -14,6 +14,17 @@ SEQ_POP = f"""SELECT seq_idx * 100000 + t AS seq_idx, sequence_id || ':' || t AS
 FROM (SELECT *, unnest(range(CAST(ceil(length(seq) / {TILE}.0) AS BIGINT))) AS t FROM ({SEQ_ACGT}))"""
 
 
+#: Every sequence of letters in equal parts, the last filled up with N.
+SEQ_TILES = f"""SELECT seq_idx * 100000 + t AS seq_idx, sequence_id || ':' || t AS sequence_id, rpad(substr(seq, CAST(t * {TILE} + 1 AS BIGINT), {TILE}), {TILE}, 'N') AS seq
+FROM (SELECT *, unnest(range(CAST(ceil(length(seq) / {TILE}.0) AS BIGINT))) AS t FROM (SELECT seq_idx, sequence_id, replace(seq, 'N', '') AS seq FROM ({SEQ_RAW}) WHERE replace(seq, 'N', '') <> ''))"""
+
+
+def four(x: str) -> str:
+    """Four digits after the point."""
+    v = f"CAST(floor(({x}) * 10000.0 + 0.5) AS BIGINT)"
+    return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || CAST(abs({v}) // 10000 AS VARCHAR) || '.' || lpad(CAST(abs({v}) % 10000 AS VARCHAR), 4, '0'))"
+
+
 def micro(x: str) -> str:
     return f"CAST(floor(({x}) * 1000000.0 + 0.5) AS BIGINT)"
 

@@ -1,8 +1,9 @@
 """The registered queries over the test tables, each with its SQL twin.
 
 The tables have no DNA, so sequences are the letters A, C, G, T and N of whole documents: ``raw`` keeps N,
-``acgt`` drops it and keeps sequences that can have a region, ``tiles`` cuts those into equal sequences,
-the last of each filled up with N.
+``letters`` drops it, ``acgt`` also keeps only sequences that can have a region (a score needs 540 letters), ``tiles`` cuts
+sequences into equal ones, the last of each filled up with N. Queries whose values shorter sequences have too run over
+``raw`` or ``letters``; scores, regions and populations of regions over ``acgt``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..operators import regions as R
 from ..operators import segments as G
 from ..operators import signals as S
 from ..sources import fasta, sinks
-from ..sources.scratch import written
+from ..sources.scratch import folder, written
 from . import oracle as O
 from . import views as V
 
@@ -53,9 +54,13 @@ def acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).select("seq_idx", "sequence_id", seq.alias("seq")).where(F.length("seq") >= 540).withColumn("seq_len", F.length("seq"))
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).withColumn("seq", F.translate("seq", "N", "")).where("seq <> ''")
+
+
+def tiles(sequences: DataFrame) -> DataFrame:
     t = F.explode(F.sequence(F.lit(0), (F.ceil(F.length("seq") / O.TILE) - 1).cast("int")))
-    df = acgt(spark, sf_dir).select("seq_idx", "sequence_id", "seq", t.alias("t"))
+    df = sequences.select("seq_idx", "sequence_id", "seq", t.alias("t"))
     seq = F.rpad(F.substring(F.col("seq"), F.col("t") * O.TILE + 1, F.lit(O.TILE)), O.TILE, "N")
     return df.select((F.col("seq_idx") * 100_000 + F.col("t")).alias("seq_idx"), F.concat_ws(":", "sequence_id", "t").alias("sequence_id"), seq.alias("seq"), F.lit(O.TILE).alias("seq_len"))
 
@@ -78,6 +83,22 @@ def sanitize(spark, sf_dir):
     return raw(spark, sf_dir).select("seq_idx", "sequence_id", "seq", F.col("seq_len").cast("long"))
 
 
+_BREAK, _BLANK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(32) || chr(133) || chr(160)"
+
+
+@query(f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS file, regexp_split_to_array('>' || doc_id || chr(10) || coalesce(text, ''), '{_BREAK}') AS l FROM documents),
+s AS (SELECT file, i, trim(l[i], {_BLANK}) AS line FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM t)),
+r AS (SELECT *, line LIKE '>%' AS head, sum(CASE WHEN line LIKE '>%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY i ROWS UNBOUNDED PRECEDING) AS rec FROM s),
+g AS (SELECT file, rec, max(trim(substr(line, 2), {_BLANK})) FILTER (WHERE head) AS header, coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE NOT head), '') AS body FROM r GROUP BY file, rec),
+q AS (SELECT file, rec, CASE WHEN header = '' THEN 'sequence' ELSE header END AS sequence_id, regexp_replace(translate(upper(body), 'U', 'T'), '[^ACGTN]', '', 'g') AS seq FROM g)
+SELECT row_number() OVER (ORDER BY file, rec) - 1 AS seq_idx, sequence_id, seq, length(seq) AS seq_len FROM q WHERE seq <> ''""")
+def fasta_parse(spark, sf_dir):
+    """Every document as a FASTA text of its own, with its identifier as the header."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    return fasta.parse(texts).withColumn("seq_len", F.col("seq_len").cast("long"))
+
+
 @query(f"SELECT count(*) AS n_sequences, CAST(sum(length(seq)) AS BIGINT) AS total_bp FROM ({O.SEQ_RAW}) WHERE seq <> ''")
 def seq_summary(spark, sf_dir):
     return fasta.summary(raw(spark, sf_dir).where("seq <> ''"))
@@ -308,19 +329,84 @@ def export_bed(spark, sf_dir):
     return _pick(sinks.bed(_regions(spark, sf_dir)), "Sequence_ID", "Start", "End", "Region_ID", "Region_Score")
 
 
-@query(f"""WITH {_MOTIF_REGIONS} SELECT Sequence_ID || chr(9) || 'seqtrough' || chr(9) || 'low_perplexity_region' || chr(9) || ("Start" + 1) || chr(9) || ("End" + 1) || chr(9) || '.' || chr(9) || '.' AS place, regexp_replace(Motifs, ':[0-9]+', '', 'g') AS motifs FROM regions""")
+_GFF = "Sequence_ID || chr(9) || 'seqtrough' || chr(9) || 'low_perplexity_region' || chr(9) || (\"Start\" + 1) || chr(9) || (\"End\" + 1) || chr(9) || " + O.four("Region_Score") + " || chr(9) || '.' || chr(9) || '.' || chr(9) || 'ID=' || Region_ID" + "".join(f" || ';{c}=' || {O.four(c)}" for c in ("Region_Score", "Perplexity_Depression_Score", "Persistence", "Prominence")) + " || ';Motifs=' || Motifs"
+
+
+@query(f"WITH {_MOTIF_REGIONS} SELECT {_GFF} AS value FROM regions")
 def export_gff(spark, sf_dir):
-    """The lines without the formatted numbers, whose last digit engines may round apart."""
-    lines = sinks.gff_lines(M.annotate(_regions(spark, sf_dir), MOTIFS))
-    f = F.split("value", "\t")
-    place = F.concat_ws("\t", f[0], f[1], f[2], f[3], f[4], f[6], f[7])
-    return lines.select(place.alias("place"), F.regexp_replace(F.substring_index(f[8], "Motifs=", -1), ":[0-9]+", "").alias("motifs"))
+    return sinks.gff_lines(M.annotate(_regions(spark, sf_dir), MOTIFS))
 
 
-@query(f"""WITH {_REGIONS} SELECT '>' || Region_ID || '|' || Sequence_ID || ':' || "Start" || '-' || "End" || chr(10) || "Sequence" AS value FROM regions""")
+@query(f"""WITH {_REGIONS} SELECT '>' || Region_ID || '|' || Sequence_ID || ':' || "Start" || '-' || "End" || '|Region_Score=' || {O.four("Region_Score")} || chr(10) || "Sequence" AS value FROM regions""")
 def export_fasta(spark, sf_dir):
-    """The records without the formatted score."""
-    return sinks.fasta_lines(_regions(spark, sf_dir)).select(F.regexp_replace("value", r"\|Region_Score=[0-9.]+", "").alias("value"))
+    return sinks.fasta_lines(_regions(spark, sf_dir))
+
+
+def _read_back(df: DataFrame, fmt: str, **how) -> DataFrame:
+    """What ``write_table`` wrote, as Spark reads it, with the types that were written."""
+    spark, at = df.sparkSession, folder(df.sparkSession)
+    sinks.write_table(df, at, fmt, **how)
+    wanted = df if how.get("every_column") else R.exported_columns(df, how.get("advanced", False))
+    if fmt == "json":
+        return spark.read.schema(wanted.schema).json(at).select(*wanted.columns)
+    return spark.read.schema(wanted.schema).option("header", True).option("enforceSchema", False).option("emptyValue", "").option("nullValue", "null").option("sep", "\t" if fmt == "tsv" else ",").csv(at)
+
+
+_EXPORTED = [c for c in (*R.PRIMARY, *R.ADVANCED) if c not in ("Region_Score", "Motif_Count", "Rank", "Motifs", "Sequence", "Region_ID", "Start", "End", "Length", "Kadane_Core_Start", "Kadane_Core_End")]
+_TEXTS = ("Sequence_ID", "Region_ID", "Motifs", "Sequence")
+_COUNTS = ("Start", "End", "Length", "Motif_Count", "Rank", "Kadane_Core_Start", "Kadane_Core_End")
+_EXPORT = f"WITH {_MOTIF_REGIONS} SELECT {_q(*_TEXTS)}, {', '.join(f'CAST({chr(34)}{c}{chr(34)} AS BIGINT) AS {chr(34)}{c}{chr(34)}' for c in _COUNTS)}, {r6(*_EXPORTED, 'Region_Score', Region_Score=4)} FROM regions"
+
+
+def _exported(spark, sf_dir, fmt: str, **how) -> DataFrame:
+    return _pick(_read_back(M.annotate(_regions(spark, sf_dir), MOTIFS), fmt, advanced=True, **how), *_TEXTS, *_COUNTS, *_EXPORTED, "Region_Score")
+
+
+@query(_EXPORT)
+def export_csv(spark, sf_dir):
+    return _exported(spark, sf_dir, "csv")
+
+
+@query(_EXPORT)
+def export_tsv(spark, sf_dir):
+    return _exported(spark, sf_dir, "tsv", single=True)
+
+
+@query(_EXPORT)
+def export_json(spark, sf_dir):
+    return _exported(spark, sf_dir, "json")
+
+
+@query(f'WITH {_REGIONS} SELECT Sequence_ID, count(*) AS n_regions, CAST(sum("Length") AS BIGINT) AS total FROM regions GROUP BY Sequence_ID')
+def export_by_sequence(spark, sf_dir):
+    """A folder for each sequence, read back."""
+    at = folder(spark)
+    sinks.write_table(_regions(spark, sf_dir), at, "json", by_sequence=True)
+    back = spark.read.schema("Length long, Sequence_ID string").json(at)
+    return back.groupBy("Sequence_ID").agg(F.count("*").alias("n_regions"), F.sum("Length").alias("total"))
+
+
+@query(f"WITH {_REGIONS} SELECT {_q('Sequence_ID', 'Region_ID', *_WHOLE)}, \"Rank\" FROM regions WHERE Sequence_ID = (SELECT min(Sequence_ID) FROM regions)")
+def sequence_lookup(spark, sf_dir):
+    """The regions of one sequence by its identifier: the first that has any."""
+    found = written(_regions(spark, sf_dir))
+    first = found.agg(F.min("Sequence_ID")).first()[0]
+    return _pick(R.of_sequence(found, first or ""), "Sequence_ID", "Region_ID", *_WHOLE, "Rank")
+
+
+@query(f"WITH {_REGIONS} SELECT seq_idx, Region_ID, {O.r('Region_Score', 4)} AS \"Region_Score\" FROM regions ORDER BY seq_idx, Region_Score DESC, Region_ID")
+def ranking_bars(spark, sf_dir):
+    return _pick(V.ranking(_regions(spark, sf_dir)), "seq_idx", "Region_ID", "Region_Score")
+
+
+@query(f"WITH {_MOTIF_REGIONS} SELECT seq_idx, Region_ID, CAST(Motif_Count AS BIGINT) AS \"Motif_Count\" FROM regions ORDER BY seq_idx, Motif_Count DESC, Region_ID")
+def motif_bars(spark, sf_dir):
+    return _pick(V.motif_bars(M.annotate(_regions(spark, sf_dir), MOTIFS)), "seq_idx", "Region_ID", "Motif_Count")
+
+
+@query(f'WITH {_REGIONS} SELECT seq_idx, Region_ID, CAST(s AS BIGINT) AS "Signal_Start" FROM regions ORDER BY seq_idx, s')
+def region_order(spark, sf_dir):
+    return _pick(R.in_order(_regions(spark, sf_dir)), "seq_idx", "Region_ID", "Signal_Start")
 
 
 _BANDS = "s - 150 AS up_start, s - 50 AS up_end, s AS region_start, e AS region_end, e + 51 AS dn_start, e + 151 AS dn_end, greatest(s - 175, 0) AS view_start, least(e + 176, length(seq)) AS view_end"
@@ -358,14 +444,14 @@ def boundary_hist(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n_sequences, count(DISTINCT greatest(length(seq) - 16, 0)) AS n_lengths, min(greatest(length(seq) - 16, 0)) AS signal_length, count(*) >= 2 AND count(DISTINCT greatest(length(seq) - 16, 0)) = 1 AND min(greatest(length(seq) - 16, 0)) > 0 AS eligible FROM ({O.SEQ_POP})")
 def pop_eligibility(spark, sf_dir):
-    return P.eligible(tiles(spark, sf_dir)).withColumn("signal_length", F.col("signal_length").cast("long"))
+    return P.eligible(tiles(acgt(spark, sf_dir))).withColumn("signal_length", F.col("signal_length").cast("long"))
 
 
 class _Population:
     """Signals, regions, profile and consensus of the tiles; signals and regions are written once."""
 
     def __init__(self, spark, sf_dir):
-        self.sequences = written(tiles(spark, sf_dir))
+        self.sequences = written(tiles(acgt(spark, sf_dir)))
         self.n, self.n_signal = self.sequences.count(), O.TILE - DEFAULT.window + 1
         self.signals = written(S.signals(self.sequences))
         self.regions = written(R.regions(self.sequences, signals=self.signals))
@@ -406,12 +492,12 @@ def pop_gc_map(spark, sf_dir):
     return _pos(_Population(spark, sf_dir).profile.select("pos", "gc_map"))
 
 
-@query(f"""WITH s AS ({O.SEQ_POP}), b AS (SELECT seq_idx, unnest(range({O.TILE})) AS pos, unnest(string_split(seq, '')) AS base FROM s), g AS (SELECT *, CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END AS gc FROM b),
+@query(f"""WITH s AS ({O.SEQ_TILES}), b AS (SELECT seq_idx, unnest(range({O.TILE})) AS pos, unnest(string_split(seq, '')) AS base FROM s), g AS (SELECT *, CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END AS gc FROM b),
 w AS (SELECT pos, sum(gc) OVER (PARTITION BY seq_idx ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) + greatest(10 - pos, 0) * first_value(gc) OVER a + greatest(pos + 10 - {O.TILE - 1}, 0) * last_value(gc) OVER a AS t FROM g
   WINDOW a AS (PARTITION BY seq_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT pos, {O.r('CAST(sum(t) AS DOUBLE) / 21.0 / CAST((SELECT count(*) FROM s) AS DOUBLE)')} AS mean_gc FROM w WHERE pos < {O.TILE - 16} GROUP BY pos""")
 def pop_gc_profile(spark, sf_dir):
-    return _pos(P.gc_profile(tiles(spark, sf_dir), O.TILE - 16))
+    return _pos(P.gc_profile(tiles(letters(spark, sf_dir)), O.TILE - 16))
 
 
 @query(f"WITH {_POP} SELECT * FROM consensus")
@@ -445,6 +531,20 @@ def occurrence_pivot(spark, sf_dir):
     return P.occurrence_matrix(P.occurrence(x.sequences, x.regions, x.consensus), ["CLPR_0001", "CLPR_0002"])
 
 
+@query(f"{_OCC} SELECT sequence_id, max(present) FILTER (WHERE region_id = 'CLPR_0001') AS \"CLPR_0001\" FROM occ GROUP BY seq_idx, sequence_id")
+def occurrence_file(spark, sf_dir):
+    """The matrix of the first consensus region, written tab-separated and read back."""
+    x, at = _Population(spark, sf_dir), folder(spark)
+    sinks.write_occurrence(P.occurrence_matrix(P.occurrence(x.sequences, x.regions, x.consensus), ["CLPR_0001"]), at, "tsv")
+    return spark.read.schema("sequence_id string, CLPR_0001 tinyint").option("header", True).option("sep", "\t").csv(at)
+
+
+@query(f'WITH {_POP} SELECT region_id AS "Region_ID", consensus_start AS "Consensus_Start", consensus_end AS "Consensus_End", consensus_length AS "Length", support AS "Support", mean_pds AS "Mean_PDS", mean_region_score AS "Mean_RegionScore", mean_perplexity AS "Mean_Perplexity", mean_gc AS "GC%" FROM consensus')
+def summary_file(spark, sf_dir):
+    """The consensus summary, written as csv and read back."""
+    return _read_back(written(P.summary(_Population(spark, sf_dir).consensus)), "csv", every_column=True)
+
+
 _FREQ = f"WITH {_POP}, freq AS (" + " UNION ALL ".join(f"SELECT consensus.region_id AS region_id, '{m}' AS motif, {O.r('CAST(count(*) AS DOUBLE) / CAST((SELECT n_sequences FROM population) AS DOUBLE)', 4)} AS frequency FROM regions JOIN consensus ON s <= consensus_end AND e >= consensus_start WHERE regexp_matches(\"Sequence\", '(?i){p}') GROUP BY consensus.region_id" for m, p in MOTIFS) + ")"
 
 
