@@ -372,7 +372,7 @@ class Tagger:
         g["e"][-1] = 0
         return loss, g
 
-    def train(self, texts: list[tuple[str, list[Span]]], rounds: int, rate: float = 0.02, batch: int = 96) -> list[float]:
+    def train(self, texts: list[tuple[str, list[Span]]], rounds: int, rate: float = 0.04, batch: int = 64) -> list[float]:
         """Adam over batches in turn; the loss of each round."""
         ids, tags = np.zeros((len(texts), TAUGHT), np.int64), np.zeros((len(texts), TAUGHT), np.int64)
         for k, (text, spans) in enumerate(texts):
@@ -449,7 +449,7 @@ class Tagger:
 
 
 @lru_cache(maxsize=1)
-def trained(texts: int = 6000, rounds: int = 8, seed: int = 11) -> Tagger:
+def trained(texts: int = 6000, rounds: int = 5, seed: int = 11) -> Tagger:
     """The tagger, trained on ``texts`` labelled windows (a bound), once for each process."""
     tagger = Tagger()
     tagger.train(labelled(texts, seed), rounds)
