@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, shingle_hashes, slices, stored, strings, word_hashes
+from .common import lower_words, shingle_hashes, slices, stored, strings, unlike, word_hashes
 from .graph import components
 
 #: N-grams whose hash is under 2**LOW are counted over the corpus.
@@ -322,8 +322,8 @@ def _linked(ids, held, sides, num, den):
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text): links from ``num / den`` up."""
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(a row for each document: row, doc_id, n, set, ...; set, label, component_id and whether the set is its component's only one)."""
     summaries = stored(_summaries(docs, n, num, den))
     full = summaries.where("n > 0")
     classes = stored(full.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
@@ -333,8 +333,37 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     wanted = stored(classes.select("doc_id", "set", "node").join(blocks.withColumnRenamed("label", "block"), "node"))
     found = stored(components(_joined(docs, wanted, n, num, den)))
     named = classes.select("set", "node", F.col("doc_id").alias("least")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = stored(named.join(names, "label").select("set", "component_id"))
-    linked = full.select("doc_id", "set", "n").join(by_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = named.groupBy("label").agg(F.min("least").alias("component_id"), (F.count("*") == 1).alias("alone"))
+    return summaries, stored(named.join(names, "label").select("set", "label", "component_id", "alone"))
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text): links from ``num / den`` up."""
+    summaries, by_set = _components(docs, n, num, den)
+    linked = summaries.where("n > 0").select("doc_id", "set", "n").join(by_set.select("set", "component_id"), "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = summaries.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text and other columns that have an order) with one row of each component.
+
+    It is the one of the smallest identifier, rows without one last, then of the text and other columns that sort first. Rows that
+    share an identifier but no component stay each, and so do rows without words. Copies are combined before they are shuffled.
+    """
+    _, by_set = _components(docs.select("doc_id", "text"), n, num, den)
+    at, names = docs.columns.index("text"), docs.columns
+    held = unlike(docs, "set")
+
+    def told(batches):
+        for batch in slices(batches):
+            grams = [ngram_set(text, n) for text in strings(batch.column(at))]
+            own = pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*names, held])
+
+    rows = docs.mapInArrow(told, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{held}` binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text").alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))).alias("r")
+    single = rows.where(F.col(held).isNotNull()).groupBy(F.col(held).alias("set")).agg(first).join(by_set.select("set", "label", "alone"), "set")
+    several = single.where("not alone").groupBy("label").agg(F.min("r").alias("r"))
+    chosen = single.where("alone").select("r").unionByName(several.select("r")).select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(names)))
+    return chosen.unionByName(rows.where(F.col(held).isNull()).select(*(f"`{c}`" for c in names)))

@@ -115,7 +115,8 @@ def judge(pages: DataFrame, rules=LISTED, url: str = "url", most: int = RULES) -
         df = df.withColumn("mined_rule", F.when(open_, F.get(names, fitting(F.col(tokens_in), held))))
     else:
         fits = joined(df.where(open_).select(F.col(tokens_in).alias("tokens")).distinct(), learned)
-        fits = fits.select(F.col("tokens").alias(tokens_in), F.col("mined_rule").alias("_mined"))
-        df = df.drop("mined_rule").join(fits, tokens_in, "left").withColumn("mined_rule", F.when(open_, F.col("_mined"))).drop("_mined")
+        mined_in = unlike(df, "mined")
+        fits = fits.select(F.col("tokens").alias(tokens_in), F.col("mined_rule").alias(mined_in))
+        df = df.join(fits, tokens_in, "left").withColumn("mined_rule", F.when(open_, F.col(mined_in))).drop(mined_in)
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return df.withColumn("verdict", F.coalesce(said_in, method)).drop(said_in, tokens_in)

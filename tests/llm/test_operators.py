@@ -486,6 +486,20 @@ def test_ngram_join_with_repeated_and_missing_identifiers(spark, seed):
     assert got == expected
 
 
+def test_one_of_each_component(spark):
+    texts = [*corpus(np.random.default_rng(33)), None, ""]
+    rng = np.random.default_rng(34)
+    ids = [None if x < 2 else int(x) for x in rng.integers(0, 40, len(texts))]
+    df = docs(spark, *texts, ids=ids).withColumns({"set": F.lit(1), "lang": F.col("text")})
+    groups = {}
+    for (_, n, c), row in zip(linked(texts, 5, 80, 100), zip(ids, texts)):
+        groups.setdefault((c if n else (c, len(groups))), []).append(row)
+    want = Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")) for g in groups.values())
+    got = ngram_join.one_of_each(df.repartition(4))
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_trie_links_span_components():
     rng = np.random.default_rng(12)
     for sides in (False, True):
@@ -747,4 +761,6 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             at = spark.read.parquet(str(tmp_path / f"odd{k}-{j}"))
             assert j == 4 or at.columns == names
             counts.append(at.count())
+            if some and j == 1:
+                assert sorted((r.doc_id or 0, r.text == base) for r in at.collect()) == [(0, False), (1, False), (1, True), (5, False)]
         assert counts[:4] == ([5, 4, 4, 4] if some else [0, 0, 0, 0]) and counts[4] >= counts[3] and (some or not counts[4])
