@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtrough.llm import decontaminate, ngram_join, packing, pii_tagger, quality_rules
@@ -26,14 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a Jaccard similarity of 0.8 join: the smallest identifier.
 
-    Of rows that repeat that identifier one stays, the one whose text sorts first. Texts without words are
-    in no group; rows without an identifier all stay.
+    Rows without an identifier come last in their group; of rows that repeat the smallest one that stays whose text sorts first.
+    Different texts under one identifier are documents of their own. Texts without words are in no group and stay.
     """
-    joined = ngram_join.join(docs.select("doc_id", "text"), n=5, num=80, den=100)
-    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    single = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return single.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return ngram_join.one_of_each(docs.select(*COLUMNS), n=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
