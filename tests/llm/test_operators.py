@@ -717,6 +717,15 @@ def test_pack(spark):
     assert packing.pack(docs(spark, "x").limit(0), tokenizer_path()).count() == 0
 
 
+def test_pack_repeated_and_missing_identifiers(spark):
+    texts, ids = ["a b", "c d e", "", None, "a b", "long text " * 200], [None, None, 1, 1, None, 7]
+    e, end = common.encoder(tokenizer_path()), np.array([2], "<u4").tobytes()
+    rows = packing.pack(docs(spark, *texts, ids=ids).repartition(3), tokenizer_path(), size=64).collect()
+    short = Counter((r.doc_id, bytes(r.ids)) for r in rows if r.doc_id != 7)
+    assert short == Counter((i, e.whole(t or "") + end) for i, t in zip(ids, texts) if i != 7)
+    assert b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.piece)) == e.whole(texts[-1]) + end
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
