@@ -18,7 +18,7 @@ def twins():
     return con
 
 
-@pytest.mark.parametrize("name", ["seq_summary", "base_composition", "nan_interp", "pds_chunked", "bounded_segment", "region_metrics", "motif_annotation", "consensus"])
+@pytest.mark.parametrize("name", ["seq_summary", "base_composition", "nan_interp", "pds_chunked", "bounded_segment", "region_metrics", "motif_annotation", "consensus", "fasta_parse", "di_summary", "export_csv", "export_gff", "sequence_lookup", "summary_file"])
 def test_query_equals_sql(spark, twins, name):
     import __spark_entry__ as entry
 
