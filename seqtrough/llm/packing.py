@@ -5,7 +5,8 @@ their lengths alone, and there are at most ``size`` lengths however many documen
 is made from that bounded histogram. Bin completion takes the longest remaining length, enumerates the
 undominated fillings of the rest of its sequence, prunes by the waste that the incumbent still allows,
 and applies each filling as often as the counts permit. The first incumbents are best-fit decreasing's plan and
-the plan of completing each sequence by its heaviest filling; where one meets the lower bound there is nothing to search.
+the plan of completing each sequence by its heaviest filling, the better of them improved by completing a few of its
+sequences anew at a time; where one meets the lower bound there is nothing to search.
 
 A piece finds its place by its rank among the pieces of its length: a task numbers its own pieces, and
 the numbers before it come from counts by task and length. No text or id is shuffled.
@@ -149,6 +150,78 @@ def _heaviest(counts: dict[int, int], room: int) -> list[int]:
     return out
 
 
+def improved(plan: Plan, size: int, least: int, rounds: int) -> Plan:
+    """``plan`` after rounds in which a few sequences are taken apart and completed anew, longest pieces mostly first.
+
+    A round's result stays if its waste lies in fewer or emptier sequences (by the sum of squares), so that in the end a sequence
+    can go. Ends as ``least`` sequences are left, after ``rounds`` without a better result, or five times as many in all. Alike at any
+    number of pieces: it draws from the different fillings.
+    """
+    draw, held = random.Random(0), Counter()
+    for f, times in plan:
+        held[tuple(sorted(f, reverse=True))] += times
+    kinds, total = list(held), sum(held.values())
+    place = {f: k for k, f in enumerate(kinds)}
+
+    def put(f: tuple[int, ...]) -> None:
+        if not held[f]:
+            place[f] = len(kinds)
+            kinds.append(f)
+        held[f] += 1
+
+    def take(wasteful: bool) -> tuple[int, ...]:
+        f = draw.choice(kinds)
+        for _ in range(8):
+            if not wasteful or sum(f) < size:
+                break
+            f = draw.choice(kinds)
+        held[f] -= 1
+        if not held[f]:
+            last, k = kinds.pop(), place.pop(f)
+            if last != f:
+                kinds[k], place[last] = last, k
+        return f
+
+    idle = 0
+    for _ in range(5 * rounds):
+        if total <= least or not kinds or idle >= rounds:
+            break
+        old = [take(True)]
+        number = draw.randint(2, 6)
+        while len(old) < number and kinds:
+            old.append(take(draw.random() < 0.4))
+        new = _completed_anew([n for f in old for n in f], size, len(old), draw)
+        gain = sum((size - sum(f)) ** 2 for f in new) + (len(old) - len(new)) * size * size - sum((size - sum(f)) ** 2 for f in old)
+        idle = 0 if gain > 0 and len(new) <= len(old) else idle + 1
+        if gain < 0 or len(new) > len(old):
+            new = old
+        total += len(new) - len(old)
+        for f in new:
+            put(tuple(sorted(f, reverse=True)))
+    return [(f, times) for f, times in held.items() if times]
+
+
+def _completed_anew(pieces: list[int], size: int, most: int, draw: random.Random) -> list[tuple[int, ...]]:
+    """Sequences of ``pieces``, each completed to the greatest sum that a random order of the rest allows; gives up beyond ``most``."""
+    left, out = sorted(pieces, reverse=True), []
+    while left and len(out) <= most:
+        first = left.pop(0 if draw.random() < 0.8 else draw.randrange(len(left)))
+        rest, room = left[:], size - first
+        draw.shuffle(rest)
+        sums, full = [1], (1 << room + 1) - 1
+        for n in rest:
+            sums.append((sums[-1] | sums[-1] << n) & full)
+        total, chosen = sums[-1].bit_length() - 1, [first]
+        for k in range(len(rest) - 1, -1, -1):
+            if not sums[k] >> total & 1:
+                chosen.append(rest[k])
+                total -= rest[k]
+                rest[k] = 0
+        out.append(tuple(chosen))
+        left = sorted(filter(None, rest), reverse=True)
+    return out if not left else [*out, tuple(left)] + [()] * most
+
+
 class _Search:
     """Bin completion over a histogram of lengths.
 
@@ -242,6 +315,9 @@ class _Search:
                 yield f, times
 
     def run(self) -> Plan:
+        if self.most > self.least:
+            self.best = improved(self.best, self.size, self.least, self.nodes)
+            self.most = sum(t for _, t in self.best)
         for look, whole in self.PASSES:
             self._pass(look, whole)
         return self.best

@@ -689,6 +689,29 @@ def test_completion_takes_the_heaviest_filling():
     assert used == counts and all(sum(f) <= 1024 for f, _ in plan) and len(plan) < 4000
 
 
+def test_improved_plans():
+    rng = np.random.default_rng(40)
+    better = 0
+    for _ in range(25):
+        size = int(rng.integers(50, 200))
+        counts = Counter(rng.integers(size // 12, size // 2 + 8, 60).tolist())
+        plan = packing.best_fit(counts, size)
+        got = packing.improved(plan, size, packing.lower_bound(counts, size), 400)
+        used = Counter()
+        for f, t in got:
+            assert t > 0 and sum(f) <= size
+            used.update({n: k * t for n, k in Counter(f).items()})
+        before, after = (sum(t for _, t in x) for x in (plan, got))
+        assert used == counts and packing.lower_bound(counts, size) <= after <= before
+        better += after < before
+    assert better
+    many = [((60, 30), 1 << 40), ((50, 20), 3), ((40,), 2)]
+    used = Counter()
+    for f, t in packing.improved(many, 100, 0, 50):
+        used.update({n: k * t for n, k in Counter(f).items()})
+    assert used == {60: 1 << 40, 30: 1 << 40, 50: 3, 20: 3, 40: 2} and packing.improved([], 10, 0, 5) == []
+
+
 def test_plan_looks_past_the_third_filling():
     lengths = [1, 4, 6, 7, 12, 12, 26, 27, 28, 28, 31, 35, 36, 41, 70, 70, 73, 75, 85, 102, 107]  # six full sequences of 146, cut up
     plan = packing.plan(dict(Counter(lengths)), 146)
