@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import micro, rounded
 from ..functions.params import MICRO
 from .motifs import Motif
-from .regions import BUCKET, buckets
-from .segments import merge_intervals, runs
+from .segments import BUCKET, buckets, merge_intervals, runs
 
 SUPPORT, GAP, GC_WINDOW = 0.5, 50, 21
 SCORE_UNIT = 1e4

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import gc_percent, micro
 from ..functions.params import EPSILON, MICRO, TOP_N, Params
 from ..sources.scratch import written
-from .segments import region_bounds
+from .segments import near, region_bounds
 from .signals import signals as all_signals
 
 #: The columns of the region table that are always exported, and those exported on request, in order.
@@ -18,25 +18,6 @@ PRIMARY = (
     "Perplexity_Depression_Score", "Prominence", "Persistence", "Region_Score", "GC_Content", "Motif_Count", "Motifs", "Sequence", "Rank",
 )
 ADVANCED = ("Variance", "Std_Dev", "CV", "AUC_PDS", "Kadane_Core_Start", "Kadane_Core_End")
-#: Positions of a bucket of the range join.
-BUCKET = 1024
-
-
-def buckets(start: Column, end: Column) -> Column:
-    """The buckets that [start, end] touches."""
-    return F.sequence(F.floor(start / BUCKET), F.floor(end / BUCKET))
-
-
-def near(signals: DataFrame, bounds: DataFrame, reach: int) -> DataFrame:
-    """Rows of ``signals`` with each region whose bounds, widened by ``reach``, hold them.
-
-    An equality join on sequence and bucket, so a long sequence with many regions stays linear.
-    """
-    wide = bounds.withColumn("bucket", F.explode(buckets(F.col("start") - reach, F.col("end") + reach)))
-    rows = signals.withColumn("bucket", F.floor(F.col("pos") / BUCKET))
-    return rows.join(wide, ["seq_idx", "bucket"]).where((F.col("pos") >= F.col("start") - reach) & (F.col("pos") <= F.col("end") + reach))
-
-
 def measures(signals: DataFrame, bounds: DataFrame, p: Params = Params()) -> DataFrame:
     """One row for each region with sums over its positions and flanks; sums are exact whole millionths."""
     pos, s, e = F.col("pos"), F.col("start"), F.col("end")
@@ -114,9 +95,12 @@ def described(measured: DataFrame, sequences: DataFrame, p: Params = Params()) -
 
 
 def regions(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, signals: DataFrame | None = None) -> DataFrame:
-    """The ranked region table of ``sequences``. Signals are written once and read for bounds and for measures."""
+    """The ranked region table of ``sequences``. Signals are written once and read for bounds and for measures.
+
+    Bounds are written too: the plan knows their size, so that few of them are broadcast and signals are not shuffled for them.
+    """
     rows = written(all_signals(sequences, p, chunk)) if signals is None else signals
-    return described(measures(rows, region_bounds(rows, p), p), sequences, p)
+    return described(measures(rows, written(region_bounds(rows, p)), p), sequences, p)
 
 
 def top(regions: DataFrame, n: int = TOP_N) -> DataFrame:

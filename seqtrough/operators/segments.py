@@ -7,11 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import micro
 from ..functions.params import Params
+from ..sources.scratch import written
 
 #: Positions of a sequence that one task looks at for runs; runs over a border are joined afterwards.
 SPAN = 1 << 18
 
 
+#: Positions of a bucket of the range joins.
+BUCKET = 1024
+
+
+def buckets(start: Column, end: Column) -> Column:
+    """The buckets that [start, end] touches."""
+    return F.sequence(F.floor(start / BUCKET), F.floor(end / BUCKET))
+
+
+def near(signals: DataFrame, bounds: DataFrame, reach: int = 0) -> DataFrame:
+    """Rows of ``signals`` with each region whose bounds, widened by ``reach``, hold them.
+
+    An equality join on sequence and bucket, so a long sequence with many regions stays linear.
+    """
+    wide = bounds.withColumn("bucket", F.explode(buckets(F.col("start") - reach, F.col("end") + reach)))
+    rows = signals.withColumn("bucket", F.floor(F.col("pos") / BUCKET))
+    return rows.join(wide, ["seq_idx", "bucket"]).where((F.col("pos") >= F.col("start") - reach) & (F.col("pos") <= F.col("end") + reach)).drop("bucket")
+
+
 def runs(rows: DataFrame, keys: tuple[str, ...] = ("seq_idx",)) -> DataFrame:
     """(keys, start, end) of maximal runs of consecutive ``pos`` among ``rows``."""
     part = rows.withColumn("_span", F.floor(F.col("pos") / SPAN))
@@ -49,8 +69,8 @@ def bounded_segments(signals: DataFrame, p: Params = Params()) -> DataFrame:
     """
     found = long_runs(signals, p)
     whole = found.where(F.col("length") <= p.max_region).select("seq_idx", F.col("start").alias("run_start"), "start", "end")
-    over = found.where(F.col("length") > p.max_region).select("seq_idx", F.col("start").alias("run_start"), F.col("end").alias("run_end"))
-    inside = signals.select("seq_idx", "pos", "pds").join(over, "seq_idx").where("pos between run_start and run_end")
+    over = written(found.where(F.col("length") > p.max_region).select("seq_idx", "start", "end"))
+    inside = near(signals.select("seq_idx", "pos", "pds"), over).withColumnRenamed("start", "run_start")
     keys = ("seq_idx", "run_start")
     order = Window.partitionBy(*keys).orderBy("pos")
     sums = inside.select(*keys, "pos", F.sum(micro(F.col("pds"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
@@ -67,8 +87,8 @@ def bounded_segments(signals: DataFrame, p: Params = Params()) -> DataFrame:
 
 def expanded(cores: DataFrame, signals: DataFrame) -> DataFrame:
     """(seq_idx, start, end): the positive run around each core, which is what expansion restores."""
-    run = positive_runs(signals).select("seq_idx", F.col("start").alias("a"), F.col("end").alias("b"))
-    return cores.select("seq_idx", F.col("start").alias("s"), F.col("end").alias("e")).join(run, "seq_idx").where("s >= a and e <= b").select("seq_idx", F.col("a").alias("start"), F.col("b").alias("end")).distinct()
+    points = cores.select("seq_idx", F.col("start").alias("pos"), F.col("end").alias("last"))
+    return near(points, positive_runs(signals).select("seq_idx", "start", "end")).where(F.col("last") <= F.col("end")).select("seq_idx", "start", "end").distinct()
 
 
 def region_bounds(signals: DataFrame, p: Params = Params()) -> DataFrame:
