@@ -36,7 +36,7 @@ TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, OVERLAP, TAUGHT = 1024, 64, 80
 EMBED, HIDDEN = 8, 12
 #: Windows that are decoded at a time.
-BATCH = 640
+BATCH = 256
 
 Span = tuple[str, int, int]
 
@@ -579,7 +579,7 @@ def _mapped(docs: DataFrame, columns: dict[str, str], rows, text: str) -> DataFr
     kinds = dict(docs.dtypes)
 
     def mapped(batches):
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024):
             new = list(zip(*rows(strings(batch.column(at)), tagger))) or [()] * len(columns)
             arrays = [pa.array(x, pa.string() if t == "string" else pa.int64()) for x, t in zip(new, columns.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), *arrays], [*names, *columns])
