@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, ngram_join, packing, pii_tagger, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
+from . import decontaminate, filter_audit, html_extract, ngram_join, packing, pii_tagger, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -90,6 +94,23 @@ SELECT page_id, CAST(coalesce(sum(n_bytes) OVER (ORDER BY page_id ROWS BETWEEN U
 FROM r
 """
 
+#: Every order is played through, document by document.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, len([x FOR x IN fails IF x]) AS n_fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+e AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS p FROM e a, e b, e x, e y, e z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT array_to_string([substr('ABCDE', i, 1) FOR i IN p], '') AS filter_order, e.i AS step, p[e.i] AS k, p[1:e.i - 1] AS before FROM o, e),
+r AS (SELECT part, filter_order, step, k, fails[k] AS failing, len([i FOR i IN before IF fails[i]]) > 0 AS gone, n_fails, n, good, toxic FROM s, c),
+g AS (SELECT part, filter_order, step, k, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failing AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_merkle_audit": OP1_SQL}
+    return {"op1_warc_merkle_audit": OP1_SQL, "op13_filter_audit": OP13_SQL}
