@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, html_extract, ngram_join, packing, pii_tagger, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
+from . import decontaminate, filter_audit, html_extract, ngram_join, packing, pii_tagger, prefix_trie, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,6 +98,25 @@ SELECT page_id, CAST(coalesce(sum(n_bytes) OVER (ORDER BY page_id ROWS BETWEEN U
 FROM r
 """
 
+#: Nodes are lists of turns; a subtree is the nodes that begin with a node's list. The first part makes crc32 from its polynomial.
+OP12_SQL = """
+WITH RECURSIVE crcs(i, c, k) AS (SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crcs WHERE k < 8),
+crc AS (SELECT i, c FROM crcs WHERE k = 8),
+ids AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+walk(c, s, k, r) AS (SELECT c, s, 1, CAST(4294967295 AS BIGINT) FROM ids UNION ALL SELECT w.c, s, k + 1, xor((SELECT crc.c FROM crc WHERE i = xor(r & 255, ascii(substr(s, k, 1)))), r >> 8) FROM walk w WHERE k <= length(s)),
+h AS (SELECT c, CAST(xor(r, 4294967295) % 9 AS BIGINT) AS h FROM walk WHERE k = length(s) + 1),
+t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({'d': d, 'b': b} ORDER BY turn NULLS FIRST, d) AS own FROM t GROUP BY c),
+p AS (SELECT l.c, coalesce(f.own[1:h.h], []) || l.own[h.h + 1:] AS path FROM l JOIN h ON h.c = l.c LEFT JOIN l f ON f.c = l.c - l.c % 5),
+m AS (SELECT c, path, unnest(range(len(path) + 1)) AS depth FROM p),
+q AS (SELECT c, depth, len(path) AS n, path[1:depth] AS key, path[1:depth - 1] AS above, CASE WHEN depth > 0 THEN path[depth].b ELSE 0 END AS b FROM m),
+v AS (SELECT key, depth, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, count(*) FILTER (WHERE n > depth) = 0 AS leaf, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM q GROUP BY key, depth),
+z AS (SELECT key[1:k] AS key, k AS depth, sum((n_convs - 1) * b) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM (SELECT *, unnest(range(depth + 1)) AS k FROM v) GROUP BY 1, 2),
+n AS (SELECT above AS key, depth - 1 AS depth, count(*) AS children FROM v WHERE depth > 0 GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN z ON z.key = v.key AND z.depth = v.depth LEFT JOIN n ON n.key = v.key AND n.depth = v.depth LEFT JOIN v u ON u.key = v.above AND u.depth = v.depth - 1 AND v.depth > 0
+"""
+
 #: Every order is played through, document by document.
 OP13_SQL = """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
@@ -113,4 +136,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_merkle_audit": OP1_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_warc_merkle_audit": OP1_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
