@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, html_extract, ngram_join, packing, pii_tagger, prefix_trie, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
+from . import decontaminate, filter_audit, html_extract, language_id, ngram_join, packing, pii_tagger, prefix_trie, quality_rules, rule_ensemble, token_sstable, url_rules, warc_fixity
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
