@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .params import MICRO
@@ -29,12 +29,3 @@ def gc_count(seq: Column) -> Column:
 
 def gc_percent(seq: Column) -> Column:
     return rounded(100.0 * gc_count(seq) / F.greatest(F.length(seq), F.lit(1)), 2)
-
-
-def by(*keys: str, order: str | Column = "pos"):
-    return Window.partitionBy(*keys).orderBy(order)
-
-
-def at_offset(c: str | Column, offset: int, window) -> Column:
-    """The value ``offset`` rows further on."""
-    return F.lead(c, offset).over(window) if offset > 0 else F.lag(c, -offset).over(window) if offset else (F.col(c) if isinstance(c, str) else c)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micro, rounded
 from ..functions.params import MICRO
+from ..sources.scratch import written
 from .motifs import Motif
 from .segments import BUCKET, buckets, merge_intervals, runs
+from .signals import LONG, PIECE
 
 SUPPORT, GAP, GC_WINDOW = 0.5, 50, 21
 SCORE_UNIT = 1e4
+#: Positions whose sums a task holds.
+HELD = 1 << 23
 #: Consensus regions that a matrix may have as columns.
 COLUMNS = 5_000
 
@@ -39,13 +45,32 @@ def signal_profile(signals: DataFrame) -> DataFrame:
 
 
 def coverage(regions: DataFrame, n_signal: int) -> DataFrame:
-    """(pos, n_regions, score, gc): covering regions, their mean score, and mean GC share, for covered positions."""
+    """(pos, n_regions, score, gc): covering regions, their mean score, and mean GC share, for covered positions.
+
+    A sweep over the regions' ends: what a region adds where it begins it takes away behind its end. Running sums go bucket by bucket of
+    positions, with the sums of all buckets before carried in, so rows are shuffled for ends of regions and buckets only. The stretch from one end to
+    the next is dealt into positions last.
+    """
     last = F.lit(n_signal - 1)
     s = F.greatest(F.lit(0), F.least(F.col("Signal_Start"), last))
     e = F.greatest(s, F.least(F.col("Signal_End"), last))
-    rows = regions.select(F.explode(F.sequence(s, e)).alias("pos"), F.floor(F.col("Region_Score") * SCORE_UNIT + 0.5).cast("decimal(38,0)").alias("s"), F.floor(F.col("GC_Content") * 100 + 0.5).cast("long").alias("g"))
-    n = F.count("*").cast("double")
-    return rows.groupBy("pos").agg(F.count("*").alias("n_regions"), (F.sum("s").cast("double") / n / SCORE_UNIT).alias("score"), (F.sum("g").cast("double") / n / 10_000.0).alias("gc"))
+    score, gc = F.floor(F.col("Region_Score") * SCORE_UNIT + 0.5).cast("decimal(38,0)"), F.floor(F.col("GC_Content") * 100 + 0.5).cast("long")
+    end = lambda pos, sign: F.struct(pos.cast("long").alias("pos"), F.lit(sign).cast("long").alias("n"), (score * sign).cast("decimal(38,0)").alias("s"), (gc * sign).cast("long").alias("g"))
+    bucket = F.floor(F.col("pos") / BUCKET).cast("long")
+    totals = [F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"), F.sum("g").alias("g")]
+    ends = written(regions.select(F.explode(F.array(end(s, 1), end(e + 1, -1))).alias("x")).select("x.*").groupBy("pos").agg(*totals))
+    buckets_ = regions.sparkSession.range(-(-n_signal // BUCKET)).select(F.col("id").alias("bucket"))
+    sums = buckets_.join(ends.withColumn("bucket", bucket).groupBy("bucket").agg(*totals), "bucket", "left")
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket of positions
+    carried = sums.select((F.col("bucket") * BUCKET).alias("pos"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(t).alias(c) for c, t in (("n", "long"), ("s", "decimal(38,0)"), ("g", "long"))))
+    rows = ends.unionByName(carried).where(F.col("pos") < n_signal).groupBy("pos").agg(*totals).withColumn("bucket", bucket)
+    order = Window.partitionBy("bucket").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.least(F.coalesce(F.lead("pos").over(order), (F.col("bucket") + 1) * BUCKET), F.lit(n_signal))
+    stretches = rows.select("pos", until.alias("until"), *(F.sum(c).over(upto).alias(c) for c in ("n", "s", "g"))).where("n > 0")
+    n = F.col("n").cast("double")
+    out = stretches.select(F.explode(F.sequence("pos", F.col("until") - 1)).alias("pos"), "n", "s", "g")
+    return out.select(F.col("pos").cast("int").alias("pos"), F.col("n").alias("n_regions"), (F.col("s").cast("double") / n / SCORE_UNIT).alias("score"), (F.col("g").cast("double") / n / 10_000.0).alias("gc"))
 
 
 def positions(df: DataFrame, n_signal: int) -> DataFrame:
@@ -59,22 +84,56 @@ def profile(signals: DataFrame, regions: DataFrame, n_sequences: int, n_signal:
     return df.select("pos", "mean_perplexity", "std_perplexity", "mean_pds", "std_pds", frequency.alias("lpr_frequency"), F.coalesce("score", F.lit(0.0)).alias("mean_region_score"), F.coalesce("gc", F.lit(0.5)).alias("gc_map"))
 
 
+def window_totals(letters: bytes, low: int, high: int, first: int, size: int, half: int) -> np.ndarray:
+    """G and C in the window around each position of [low, high) of a sequence of ``size`` letters, of which ``letters`` begin at ``first``; the ends are repeated outwards."""
+    gc = np.isin(np.frombuffer(letters, np.uint8), list(b"GC"))
+    at = np.clip(np.arange(low - half, high + half), 0, size - 1) - first
+    upto = np.concatenate([[0], np.cumsum(gc[at], dtype=np.int64)])
+    return upto[2 * half + 1 :] - upto[: -2 * half - 1]
+
+
 def gc_profile(sequences: DataFrame, n_signal: int, window: int = GC_WINDOW) -> DataFrame:
-    """(pos, mean_gc): GC share of the window around a position, ends repeated outwards, averaged over all sequences."""
-    h = window // 2
-    rows = sequences.select("seq_idx", F.length("seq").alias("size"), F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    order = Window.partitionBy("seq_idx").orderBy("pos")
-    gc = F.col("base").isin("G", "C").cast("int")
-    rows = rows.withColumn("gc", gc)
-    rows = rows.withColumns({"cs": F.sum("gc").over(order.rowsBetween(Window.unboundedPreceding, 0)), "head": F.first("gc").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = rows.withColumns({"ahead": F.lead("cs", h).over(order), "behind": F.lag("cs", h + 1).over(order)})
-    ends = sequences.select("seq_idx", F.length(F.translate("seq", "ATN", "")).alias("all"), F.substring("seq", -1, 1).isin("G", "C").cast("int").alias("tail"))
-    rows = rows.drop("base").join(ends, "seq_idx")
-    right = F.greatest(F.col("pos") + h - (F.col("size") - 1), F.lit(0))
-    left = F.greatest(h - F.col("pos"), F.lit(0))
-    total = F.coalesce("ahead", "all") - F.coalesce("behind", F.lit(0)) + left * F.col("head") + right * F.col("tail")
+    """(pos, mean_gc): GC share of the window around a position, ends repeated outwards, averaged over all sequences.
+
+    Sequences are worked out piece by piece as running sums, and a task adds up all its sequences by position before anything is shuffled. Pieces of long sequences are dealt out.
+    """
+    half = window // 2
+    rows = sequences.where("seq <> ''").select("seq")
+    long = F.length("seq") > LONG
+
+    def cut(batches):
+        for batch in batches:
+            for seq in batch.column(0):
+                letters = seq.as_py().encode()
+                for low in range(0, min(len(letters), n_signal), PIECE):
+                    first, high = max(0, low - half), min(low + PIECE, len(letters), n_signal)
+                    part = letters[first : high + half]
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (low, high, first, len(letters), part)], ["low", "high", "first", "size", "letters"])
+
+    def told(sums: dict[int, np.ndarray]):
+        for low, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + len(total), dtype=np.int32)), pa.array(total)], ["pos", "t"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for low, high, first, size, letters in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                total = window_totals(letters, low, high, first, size, half)
+                if low in sums and len(sums[low]) >= len(total):
+                    sums[low][: len(total)] += total
+                else:
+                    total[: len(sums.get(low, ()))] += sums.get(low, 0)
+                    sums[low] = total
+                if len(sums) * PIECE > HELD:
+                    yield from told(sums)
+                    sums = {}
+        yield from told(sums)
+
+    schema = "low long, high long, first long, size long, letters binary"
+    short = rows.where(~long).mapInArrow(cut, schema)
+    dealt = rows.where(long).mapInArrow(cut, schema).repartition("low", "letters")
     n = sequences.count()
-    sums = rows.where(F.col("pos") < n_signal).groupBy("pos").agg(F.sum(total).alias("t"))
+    sums = short.unionByName(dealt).mapInArrow(add, "pos int, t long").groupBy("pos").agg(F.sum("t").alias("t"))
     return sums.select("pos", (F.col("t").cast("double") / float(window) / float(max(n, 1))).alias("mean_gc"))
 
 

@@ -4,8 +4,9 @@ A sequence is cut into pieces of positions, each with the letters that its posit
 arrays: letters are never rows, and nothing is shuffled. Only the results are rows, one for each position. A gap that is longer than
 a piece's halo needs the nearest window without N on either side; the cut finds it in one pass and hands its letters on.
 
-Pieces keep memory bounded, however long a sequence is. With ``chunk`` they are dealt out over all tasks, a byte for each letter,
-so that few long sequences use the whole cluster.
+Pieces keep memory bounded, however long a sequence is. Those of long sequences are dealt out over all tasks, a byte for each letter,
+so that few long sequences use the whole cluster. Running sums over a whole sequence are carried from piece to piece (``prefix_sums``);
+sums over ranges are within a piece and its halo.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_offset, by
 from ..functions.params import MICRO, Params, entropy_terms, hats
+from ..sources.scratch import written
 
 #: Positions of a piece that is worked out where its sequence is.
 PIECE = 1 << 16
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 16
+#: Letters from which on a sequence is dealt out.
+LONG = 1 << 20
+#: Pieces of long sequences whose sums every task may hold.
+CARRIES = 200_000
 
 
 class Piece(NamedTuple):
@@ -148,22 +153,32 @@ def micros(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.floor(np.where(ok & ~np.isnan(values), values, 0.0) * float(MICRO) + 0.5).astype(np.int64)
 
 
-def depressions(q: np.ndarray, ok: np.ndarray, x: Piece, p: Params) -> np.ndarray:
-    """How far the region's mean lies under the mean of both sides; NaN unless under each, and where a range leaves the signal."""
-    cs, cn, pos = np.concatenate([[0], np.cumsum(np.where(ok, q, 0))]), np.concatenate([[0], np.cumsum(ok)]), np.arange(len(q)) + x.first
-    known, total, count = np.ones(len(q), bool), {}, {}
+def range_sums(q: np.ndarray, ok: np.ndarray, x: Piece, p: Params) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sum and number of the values of upstream, region and downstream around each position, as differences of running sums; the number is 0 where a range leaves the signal."""
+    cs, cn, pos, out = np.concatenate([[0], np.cumsum(np.where(ok, q, 0))]), np.concatenate([[0], np.cumsum(ok)]), np.arange(len(q)) + x.first, {}
     for k, (a, b) in p.frames.items():
         lo, hi = (np.clip(np.arange(len(q)) + o, 0, len(q)) for o in (a, b))
-        total[k], count[k] = cs[hi] - cs[lo], cn[hi] - cn[lo]
-        known &= (pos + a >= 0) & (pos + b <= x.n) & (a < b) & (count[k] > 0)
+        inside = (pos + a >= 0) & (pos + b <= x.n) & (a < b)
+        out[k] = np.where(inside, cs[hi] - cs[lo], 0), np.where(inside, cn[hi] - cn[lo], 0)
+    return out
+
+
+def range_mean(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, total / np.maximum(count, 1) / float(MICRO), np.nan)
+
+
+def depressions(ranges: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How far the region's mean lies under the mean of both sides; NaN unless under each, and where a range has no values."""
+    total, count = ({k: v[j] for k, v in ranges.items()} for j in (0, 1))
+    known = (count["up"] > 0) & (count["reg"] > 0) & (count["dn"] > 0)
     for k in ("up", "dn"):
         known &= total[k] * count["reg"] > total["reg"] * count[k]
     up, reg, dn = (total[k] / np.maximum(count[k], 1) for k in ("up", "reg", "dn"))
     return np.where(known, ((up + dn) / 2.0 - reg) / float(MICRO), np.nan)
 
 
-#: What a position can have, by name: the kind of its column.
-TRACKS = {"code": "int", "din": "int", "di": "double", "x": "double", "q": "long", "smoothed": "double", "pds": "double"}
+#: What a position can have, by name: the kind of its column. ``low`` is where its piece begins, ``cs`` and ``cn`` are sum and number of the values from there up to it.
+TRACKS = {"code": "int", "din": "int", "di": "double", "x": "double", "q": "long", "smoothed": "double", "low": "int", "cs": "long", "cn": "long", "up": "double", "reg": "double", "dn": "double", "pds": "double"}
 
 
 def worked_out(x: Piece, p: Params, wanted: tuple[str, ...]) -> dict[str, pa.Array]:
@@ -185,27 +200,39 @@ def worked_out(x: Piece, p: Params, wanted: tuple[str, ...]) -> dict[str, pa.Arr
     q = micros(smooth(values, x, p), ok)
     out["q"] = pa.array(q[own], mask=~ok[own])
     out["smoothed"] = none(np.where(ok, q / float(MICRO), np.nan))
-    if "pds" in wanted:
-        out["pds"] = none(depressions(q, ok, x, p))
+    if {"low", "cs", "cn"} & set(wanted):
+        size = x.high - x.low
+        out |= {"low": pa.array(np.full(size, x.low, np.int32)), "cs": pa.array(np.cumsum(np.where(ok, q, 0)[own])), "cn": pa.array(np.cumsum(ok[own], dtype=np.int64))}
+    if {"up", "reg", "dn", "pds"} & set(wanted):
+        ranges = range_sums(q, ok, x, p)
+        out |= {k: none(range_mean(*v)) for k, v in ranges.items()} | {"pds": none(depressions(ranges))}
     return out
 
 
+def cut(sequences: DataFrame, p: Params, size: int) -> DataFrame:
+    """Pieces of ``size`` positions of every sequence (seq_idx, seq), dealt out over all tasks."""
+    kind, names = dict(sequences.dtypes)["seq_idx"], Piece._fields
+    schema = f"seq_idx {kind}, n int, low int, high int, first int, letters binary, before int, before_letters binary, after int, after_letters binary"
+
+    def of(batches):
+        for batch in batches:
+            for key, seq in zip(batch.column(0), batch.column(1)):
+                for x in pieces(seq.as_py().encode(), p, size):
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field(0).type), *(pa.array([v], pa.binary() if "letters" in k else pa.int32()) for k, v in zip(names, x))], ["seq_idx", *names])
+
+    return sequences.mapInArrow(of, schema).repartition("seq_idx", "low")
+
+
 def tracks(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, wanted: tuple[str, ...] = ("di", "smoothed", "pds")) -> DataFrame:
     """(seq_idx, n, pos, and the ``wanted`` of TRACKS) for every window of every sequence; n is the length of the signal.
 
-    ``chunk``: positions of a piece that is dealt out; without it each sequence is worked out where it is.
+    Sequences of more than LONG letters are cut into pieces that are dealt out, others are worked out where they are. ``chunk``: positions of
+    a piece, and all sequences are cut; 0 cuts none.
     """
     kind = dict(sequences.dtypes)["seq_idx"]
     rows = sequences.where(F.length("seq") >= p.window).select("seq_idx", "seq")
-    names = Piece._fields
-    schema = f"seq_idx {kind}, n int, low int, high int, first int, letters binary, before int, before_letters binary, after int, after_letters binary"
     told = {"seq_idx": kind, "n": "int", "pos": "int"} | {k: TRACKS[k] for k in wanted}
-
-    def cut(batches):
-        for batch in batches:
-            for key, seq in zip(batch.column(0), batch.column(1)):
-                for x in pieces(seq.as_py().encode(), p, chunk):
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field(0).type), *(pa.array([v], pa.binary() if "letters" in k else pa.int32()) for k, v in zip(names, x))], ["seq_idx", *names])
+    schema = ", ".join(f"{k} {t}" for k, t in told.items())
 
     def batch_of(held, key_type):
         sizes = [len(a[wanted[0]]) for _, _, a in held]
@@ -214,50 +241,46 @@ def tracks(sequences: DataFrame, p: Params = Params(), chunk: int | None = None,
         pos = pa.array(np.concatenate([np.arange(x.low, x.high, dtype=np.int32) for _, x, _ in held]))
         return pa.RecordBatch.from_arrays([keys, n, pos, *(pa.concat_arrays([a[w] for _, _, a in held]) for w in wanted)], list(told))
 
-    def work(batches):
-        held, rows = [], 0
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
-                key, *rest = (v.as_py() for v in row)
-                for x in [Piece(*rest)] if chunk else pieces(rest[0].encode(), p, PIECE):
-                    held.append((key, x, worked_out(x, p, wanted)))
-                    rows += x.high - x.low
-                    if rows >= ROWS:
-                        yield batch_of(held, key_type)
-                        held, rows = [], 0
-            if held:
-                yield batch_of(held, key_type)
-                held, rows = [], 0
+    def work(whole: bool):
+        def of(batches):
+            held, rows = [], 0
+            for batch in batches:
+                key_type = batch.schema.field(0).type
+                for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
+                    key, *rest = (v.as_py() for v in row)
+                    for x in pieces(rest[0].encode(), p, PIECE) if whole else [Piece(*rest)]:
+                        held.append((key, x, worked_out(x, p, wanted)))
+                        rows += x.high - x.low
+                        if rows >= ROWS:
+                            yield batch_of(held, key_type)
+                            held, rows = [], 0
+                if held:
+                    yield batch_of(held, key_type)
+                    held, rows = [], 0
+
+        return of
 
     if chunk:
-        rows = rows.mapInArrow(cut, schema).repartition("seq_idx", "low")
-    return rows.mapInArrow(work, ", ".join(f"{k} {t}" for k, t in told.items()))
-
-
-def prefix_sums(df: DataFrame, value: str = "q") -> DataFrame:
-    """Adds cs and cn: sum and number of the values up to and with a position."""
-    sofar = by("seq_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"cs": F.sum(F.coalesce(value, F.lit(0))).over(sofar), "cn": F.count(value).over(sofar)})
+        return cut(rows, p, chunk).mapInArrow(work(False), schema)
+    if chunk == 0:
+        return rows.mapInArrow(work(True), schema)
+    long = F.length("seq") > LONG
+    return rows.where(~long).mapInArrow(work(True), schema).unionByName(cut(rows.where(long), p, PIECE).mapInArrow(work(False), schema))
 
 
-def range_sums(df: DataFrame, frames: dict[str, tuple[int, int]]) -> DataFrame:
-    """Adds sum_k and cnt_k over [from, to) around each position, null where the range leaves the signal."""
-    order = by("seq_idx")
-    points = sorted({o - 1 for f in frames.values() for o in f})
-    names = {(c, o): f"_{c}{o}".replace("-", "m") for c in ("cs", "cn") for o in points}
-    df = df.withColumns({name: at_offset(c, o, order) for (c, o), name in names.items()})
-    out = {}
-    for k, (a, b) in frames.items():
-        inside = (F.col("pos") + a >= 0) & (F.col("pos") + b <= F.col("n")) & F.lit(a < b)
-        for c, name in (("cs", "sum"), ("cn", "cnt")):
-            out[f"{name}_{k}"] = F.when(inside, F.col(names[c, b - 1]) - F.coalesce(names[c, a - 1], F.lit(0)))
-    return df.withColumns(out).drop(*names.values())
+def prefix_sums(sequences: DataFrame, p: Params = Params(), chunk: int | None = None) -> DataFrame:
+    """(seq_idx, n, pos, cs, cn): sum and number of the smoothed values, in millionths, up to and with a position.
 
-
-def mean_of(k: str) -> Column:
-    """Mean of a range of ``range_sums``, null without finite values."""
-    return F.when(F.col(f"cnt_{k}") > 0, F.col(f"sum_{k}") / F.col(f"cnt_{k}") / float(MICRO))
+    A scan in two levels: sums within each piece, written once; the sums of the pieces before a piece, a row for each piece of a sequence that has several; both added.
+    """
+    rows = written(tracks(sequences, p, chunk, ("low", "cs", "cn")))
+    totals = rows.groupBy("seq_idx", "low").agg(F.max_by(F.struct("cs", "cn"), "pos").alias("t"))
+    earlier = Window.partitionBy("seq_idx").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select("seq_idx", "low", F.sum("t.cs").over(earlier).alias("cs0"), F.sum("t.cn").over(earlier).alias("cn0")).where("low > 0")
+    carries = written(carries)
+    carries = F.broadcast(carries) if carries.count() <= CARRIES else carries
+    out = rows.join(carries, ["seq_idx", "low"], "left")
+    return out.select("seq_idx", "n", "pos", *((F.col(c) + F.coalesce(f"{c}0", F.lit(0))).alias(c) for c in ("cs", "cn")))
 
 
 def signals(sequences: DataFrame, p: Params = Params(), chunk: int | None = None) -> DataFrame:

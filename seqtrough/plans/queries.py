@@ -13,14 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import gc_count, micro, rounded
+from ..functions.columns import gc_count, micro, rounded, sanitised
 from ..functions.params import Params
 from ..operators import motifs as M
 from ..operators import population as P
 from ..operators import regions as R
 from ..operators import segments as G
 from ..operators import signals as S
-from ..sources import fasta, sinks
+from ..sources import fasta, formats, sinks
 from ..sources.scratch import folder, written
 from . import oracle as O
 from . import views as V
@@ -155,22 +155,24 @@ def sg_smooth(spark, sf_dir):
     return df.where("q is not null").select("seq_idx", F.col("pos").cast("long").alias("pos"), "q")
 
 
-def _sums(sequences: DataFrame) -> DataFrame:
-    return S.prefix_sums(S.tracks(sequences, wanted=("q",)))
-
-
 _SUMS = f"{O.di_ctes(O.SEQ_RAW)}, {O.x_ctes()}, {O.q_ctes()}, {O.sum_ctes()}"
 
 
 @query(f"WITH {_SUMS} SELECT seq_idx, pos, cs, cn FROM sums")
 def prefix_sums(spark, sf_dir):
-    return _sums(raw(spark, sf_dir)).select("seq_idx", F.col("pos").cast("long").alias("pos"), "cs", "cn")
+    return S.prefix_sums(raw(spark, sf_dir)).select("seq_idx", F.col("pos").cast("long").alias("pos"), "cs", "cn")
+
+
+@query(SQL["prefix_sums"])
+def prefix_sums_chunked(spark, sf_dir):
+    """The same by pieces of 512 positions, whose sums are carried on."""
+    return S.prefix_sums(raw(spark, sf_dir), chunk=512).select("seq_idx", F.col("pos").cast("long").alias("pos"), "cs", "cn")
 
 
 @query(f"WITH {_SUMS} SELECT seq_idx, pos, " + ", ".join(f"{O.r(O.mean(f'sum_{k}', f'cnt_{k}'))} AS {k}" for k in ("up", "reg", "dn")) + " FROM ranges WHERE cnt_up > 0 AND cnt_dn > 0")
 def range_means(spark, sf_dir):
-    df = S.range_sums(_sums(raw(spark, sf_dir)), DEFAULT.frames).where("cnt_up > 0 and cnt_dn > 0")
-    return told(df.select("seq_idx", F.col("pos").cast("long").alias("pos"), *(S.mean_of(k).alias(k) for k in ("up", "reg", "dn"))))
+    df = S.tracks(raw(spark, sf_dir), wanted=("up", "reg", "dn")).where("up is not null and dn is not null")
+    return told(df.select("seq_idx", F.col("pos").cast("long").alias("pos"), "up", "reg", "dn"))
 
 
 _SIG = O.signal_ctes(O.SEQ_ACGT)
@@ -342,6 +344,37 @@ def export_fasta(spark, sf_dir):
     return sinks.fasta_lines(_regions(spark, sf_dir))
 
 
+_GFF_ROWS = f"""WITH {_MOTIF_REGIONS} SELECT Sequence_ID AS seqid, "Start" + 1 AS "start", "End" + 1 AS "end", CAST({O.four("Region_Score")} AS DOUBLE) AS score, Region_ID AS id, {O.four("Prominence")} AS prominence, Motifs AS motifs FROM regions"""
+
+
+@query(_GFF_ROWS)
+def gff_source(spark, sf_dir):
+    """Regions written by the ``gff`` format, one file a task, and read back in splits of 64 KB."""
+    formats.register(spark)
+    at = folder(spark)
+    formats.gff_of(M.annotate(_regions(spark, sf_dir), MOTIFS)).write.format("gff").mode("overwrite").save(at)
+    rows = spark.read.format("gff").option("splitBytes", 1 << 16).load(at)
+    return rows.select("seqid", "start", "end", "score", F.col("attributes.ID").alias("id"), F.col("attributes.Prominence").alias("prominence"), F.col("attributes.Motifs").alias("motifs"))
+
+
+@query(f"""WITH {_REGIONS} SELECT Sequence_ID AS chrom, "Start" AS "start", "End" + 1 AS "end", Region_ID AS "name", CAST({O.four("Region_Score")} AS DOUBLE) AS score FROM regions""")
+def bed_source(spark, sf_dir):
+    formats.register(spark)
+    at = folder(spark)
+    formats.bed_of(_regions(spark, sf_dir)).write.format("bed").mode("overwrite").save(at)
+    return spark.read.format("bed").option("splitBytes", 1 << 16).load(at)
+
+
+@query(f"SELECT sequence_id, seq, length(seq) AS seq_len FROM ({O.SEQ_RAW}) WHERE seq <> ''")
+def fasta_source(spark, sf_dir):
+    """Whole documents written by the ``fasta`` format, a record each, and read back in splits of 256 KB."""
+    formats.register(spark)
+    at = folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.select(F.col("doc_id").cast("string").alias("sequence_id"), sanitised(F.col("text")).alias("seq")).write.format("fasta").mode("overwrite").save(at)
+    return spark.read.format("fasta").option("splitBytes", 1 << 18).load(at).select("sequence_id", "seq", F.length("seq").cast("long").alias("seq_len"))
+
+
 def _read_back(df: DataFrame, fmt: str, **how) -> DataFrame:
     """What ``write_table`` wrote, as Spark reads it, with the types that were written."""
     spark, at = df.sparkSession, folder(df.sparkSession)

@@ -284,7 +284,7 @@ def test_streaming(spark, tmp_path):
 
 def test_signals_shuffle_nothing(spark):
     plan = lambda c: S.signals(sequences(spark, "ACGT" * 30), chunk=c)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan(None) and plan(50).count("Exchange") == 1
+    assert "Exchange" not in plan(0) and plan(50).count("Exchange") == 1 == plan(None).count("Exchange")  # of long sequences alone
 
 
 def test_pieces_tell_the_windows_around_gaps():
@@ -303,3 +303,74 @@ def test_small_windows(spark):
     for w in (1, 2, 3):
         rows = S.signals(sequences(spark, "ACNGTTTTTACGA"), Params(window=w, flank=2, spacer=1, min_candidate=2, max_candidate=2)).orderBy("pos").collect()
         assert [r.di is None for r in rows] == ["N" in "ACNGTTTTTACGA"[k : k + w] for k in range(14 - w)] and all(r.di is None or 1 <= r.di <= max(1, w - 1) for r in rows)
+
+
+@pytest.mark.parametrize("chunk", [None, 0, 50])
+def test_prefix_sums_like_plain(spark, monkeypatch, chunk):
+    monkeypatch.setattr(S, "LONG", 300)
+    monkeypatch.setattr(S, "PIECE", 120)  # of what is dealt out
+    rng = np.random.default_rng(12)
+    seqs = [random_sequence(rng, n, g) for n, g in ((17, 0), (60, 1), (301, 3), (900, 5), (640, 0))] + ["N" * 400, "ACG"]
+    rows = S.prefix_sums(sequences(spark, *seqs), SMALL, chunk).collect()
+    assert len(rows) == sum(max(0, len(x) - 16) for x in seqs)
+    for k, seq in enumerate(seqs):
+        got = sorted((r.pos, r.cs, r.cn) for r in rows if r.seq_idx == k)
+        if got:
+            _, sm, _ = plain_signals(seq, SMALL)
+            assert [n for *_, n in got] == np.cumsum(~np.isnan(sm)).tolist()
+            assert np.abs(np.array([c for _, c, _ in got]) - np.cumsum(np.floor(np.nan_to_num(sm) * 1e6 + 0.5))).max() <= len(got)
+
+
+def test_a_long_sequence_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(S, "LONG", 5_000)
+    monkeypatch.setattr(S, "PIECE", 1_000)
+    one = sequences(spark, random_sequence(np.random.default_rng(13), 20_000, 9), "ACGT" * 100)
+    rows = S.signals(one)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt = rows.where("seq_idx = 0").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 15_000
+    assert rows.exceptAll(S.signals(one, chunk=0)).count() == 0 == S.signals(one, chunk=0).exceptAll(rows).count()
+
+
+def test_ranges_hold_their_values(spark):
+    seq = random_sequence(np.random.default_rng(14), 400, 3)
+    _, sm, _ = plain_signals(seq, SMALL)
+    for r in S.tracks(sequences(spark, seq), SMALL, wanted=("up", "reg", "dn")).collect():
+        for k, (a, b) in SMALL.frames.items():
+            part = sm[max(r.pos + a, 0) : max(r.pos + b, 0)] if r.pos + a >= 0 and r.pos + b <= len(sm) else np.array([])
+            part = part[~np.isnan(part)]
+            assert r[k] is None if not len(part) else abs(r[k] - part.mean()) < 2e-6
+
+
+@pytest.mark.parametrize("bucket", [4, 1024])
+def test_coverage_like_every_position_of_every_region(spark, monkeypatch, bucket):
+    monkeypatch.setattr(P, "BUCKET", bucket)
+    rng = np.random.default_rng(15)
+    rows = [(k, int(a), int(a + n), float(s), float(g), "") for k, (a, n, s, g) in enumerate(zip(rng.integers(-5, 70, 40), rng.integers(0, 30, 40), rng.integers(0, 99, 40), rng.integers(0, 99, 40)))]
+    want = {}
+    for _, a, b, s, g, _ in rows:
+        a = max(0, min(a, 59))
+        for pos in range(a, max(a, min(b, 59)) + 1):
+            want.setdefault(pos, []).append((s, g))
+    got = {r.pos: (r.n_regions, r.score, r.gc) for r in P.coverage(region_rows(spark, rows), 60).collect()}
+    assert got.keys() == want.keys()
+    for pos, x in want.items():
+        assert got[pos][0] == len(x) and np.allclose(got[pos][1:], (np.mean([s for s, _ in x]), np.mean([g for _, g in x]) / 100))
+    assert P.coverage(region_rows(spark, rows).limit(0), 60).count() == 0
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 16])
+def test_gc_profile_like_padded_windows(spark, monkeypatch, piece):
+    monkeypatch.setattr(P, "PIECE", piece)
+    monkeypatch.setattr(P, "LONG", 60)
+    monkeypatch.setattr(P, "HELD", 3 * piece)
+    rng = np.random.default_rng(16)
+    seqs = ["".join(rng.choice(list("ACGTN"), n)) for n in (1, 5, 40, 61, 90, 40)]
+    got = {r.pos: r.mean_gc for r in P.gc_profile(sequences(spark, *seqs, ""), 50).collect()}
+    want = np.zeros(50)
+    for s in seqs:
+        flags = np.pad([c in "GC" for c in s], 10, "edge").astype(float)
+        for pos in range(min(50, len(s))):
+            want[pos] += flags[pos : pos + 21].mean()
+    assert sorted(got) == list(range(50)) and np.allclose([got[k] for k in range(50)], want / 7)
