@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import slices, stored, strings
 
 FILTERS = "ABCDE"
 #: All filters failed, as bits: A is 1, B 2, and so on.
@@ -66,7 +66,7 @@ def flagged(docs: DataFrame) -> DataFrame:
 
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, bits, n, good, toxic): documents of each part by the filters that they fail, E with them."""
-    rows = flagged(docs)
+    rows = stored(flagged(docs))  # read twice
     least = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     # Rows without an identifier meet nothing and are dealt out by their digest.
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
