@@ -5,7 +5,7 @@ A text's features are its runs of one to three characters, lower-cased, hashed i
 texts that may be learned from, whole; each task counts in one array.
 
 Weights are learned on at most SAMPLE of these texts, as many of each language as of any other where there are enough, the first by
-hash of identifier and text, and at most CELLS feature values of them: documented bounds. Training (FTRL-proximal) keeps for each weight
+hash of identifier and text of those whose hash is low enough, and at most CELLS feature values of them: documented bounds. Training (FTRL-proximal) keeps for each weight
 the sum of its gradients and of their squares, and makes from them the weight that an absolute and a square penalty leave; most are exactly zero. A fifth of the
 sample is not trained on; the temperature that makes its probabilities most likely divides the logits of every prediction.
 The sample's order does not depend on partitions, so neither do weights and scores.
@@ -173,12 +173,17 @@ def frequencies(texts: DataFrame) -> DataFrame:
 
 def sample(learned: DataFrame, most: int = SAMPLE, cells: int = CELLS) -> tuple[list[str], list[tuple]]:
     """Languages, and (language, features, counts) of at most ``most`` texts of ``learned`` (doc_id, text, lang)."""
-    languages = sorted(r[0] for r in learned.select("lang").distinct().collect())  # one for each language
+    sizes = {r.lang: r.n for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one for each language
+    languages = sorted(sizes)
     if not languages:
         return [], []
     key = F.xxhash64("doc_id", "lang", "text")
+    each = max(1, most // len(languages))
+    # A hash below this share leaves about twice as many of a language as are taken, or all where there are few: no window holds more.
+    share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit((2 * each + 50) / sizes[lang]))))
+    near = learned.select("doc_id", "lang", key.alias("key")).where(F.pmod("key", F.lit(1 << 30)) < F.lit(1 << 30) * share[F.col("lang")])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    first = learned.select("doc_id", "lang", key.alias("key")).withColumn("place", place).where(F.col("place") <= max(1, most // len(languages)))
+    first = near.withColumn("place", place).where(F.col("place") <= each)
     chosen = stored(first.select("key", "place").orderBy("place", "key").limit(most).dropDuplicates(["key"]))  # at most SAMPLE rows, so they are broadcast
     texts = learned.withColumn("key", key).join(F.broadcast(chosen), "key")
 
