@@ -30,7 +30,6 @@ from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,6 +46,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 ITEMS = 1000
 #: Bits of the filter of all items' shingles at most: 32 MB.
 FILTER = 1 << 28
+#: Bytes of a bitmap that Spark aggregates.
+PAGE = 4096
 #: Stretches that a block's index looks through in one group.
 STRETCHES = 2000
 WORD = re.compile(r"\w+")
@@ -290,11 +291,11 @@ def _by_blocks(rows: DataFrame, items: DataFrame) -> DataFrame:
     having = stored(grams.groupBy("gram").agg(F.count("*").alias("having")))
     bits = min(FILTER, 1 << max(16, int(16 * having.count()).bit_length()))
     place = F.pmod("gram", F.lit(bits))
-    words = having.select(F.shiftright(place, 16).alias("page"), place.bitwiseAND(F.lit(0xFFFF).cast("long")).alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("set")).collect()
-    filled = np.zeros(bits, bool)
-    for r in words:
-        filled[(r.page << 16) + np.array(r.set, np.int64)] = True
-    held = spark.sparkContext.broadcast(np.packbits(filled, bitorder="little"))
+    pages = having.groupBy(F.bitmap_bucket_number(place + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("set")).collect()  # bits / 8 bytes in all
+    filled = np.zeros(-(-bits // (8 * PAGE)) * PAGE, np.uint8)
+    for r in pages:
+        filled[(r.page - 1) * PAGE : r.page * PAGE] = np.frombuffer(r.set, np.uint8)
+    held = spark.sparkContext.broadcast(filled)
 
     def scan(batches):
         packed = held.value
@@ -327,23 +328,26 @@ def _by_blocks(rows: DataFrame, items: DataFrame) -> DataFrame:
     right = weighed.select("item_id", "n_words", "bag", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")).join(groups, "block")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
-    def look(found, held):
-        def array(of, name):
-            return np.array([x[name] for x in of], np.int64)
-
-        index = Index([Item(None if i != i else int(i), int(n), array(b, "gram").view(np.uint64), weights_of(array(b, "having"), total)) for i, n, b in zip(held["item_id"], held["n_words"], held["bag"])])
+    def look(found: pa.Table, held: pa.Table) -> pa.Table:
         out = []
-        for _, text in found.sort_values(["number", "k", "first"]).groupby("number", sort=False):
+        if found.num_rows and held.num_rows:
+            array = lambda of, name: np.array([x[name] for x in of], np.int64)
+            index = Index([Item(i, n, array(b, "gram").view(np.uint64), weights_of(array(b, "having"), total)) for i, n, b in zip(*(held.column(c).to_pylist() for c in ("item_id", "n_words", "bag")))])
+            rows = found.sort_by([("number", "ascending"), ("k", "ascending"), ("first", "ascending")])
             best: dict[int, tuple[float, int]] = {}
-            for first, k, size, s, known in zip(text["first"], text["k"], text["total"], text["grams"], text["known"]):
-                hit = np.zeros(len(s), bool)
+            text = None
+            for number, doc_id, key, first, k, size, s, known in zip(*(rows.column(c).to_pylist() for c in ("number", "doc_id", "text_key", "first", "k", "total", "grams", "known"))):
+                if text is not None and text[0] != number:
+                    out += [(text[1], *m, text[2]) for m in index.told(best)]
+                    best = {}
+                text = (number, doc_id, key)
+                hit, weight = np.zeros(len(s), bool), np.full(len(s), weights_of(np.zeros(1), total)[0])
                 hit[array(known, "place")] = True
-                weight = np.full(len(s), weights_of(np.zeros(1), total)[0])
                 weight[array(known, "place")] = weights_of(array(known, "having"), total)
-                index.look(Stretch(int(first), int(k), int(size), np.array(s, np.int64).view(np.uint64)), weight, hit, best)
-            doc_id, key = text["doc_id"].iloc[0], text["text_key"].iloc[0]
-            out += [(None if doc_id != doc_id else int(doc_id), *m, key) for m in index.told(best)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")] + ["text_key"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                index.look(Stretch(first, k, size, np.array(s, np.int64).view(np.uint64)), weight, hit, best)
+            out += [(text[1], *m, text[2]) for m in index.told(best)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+        return pa.table([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 6, kinds)], [x.split()[0] for x in FOUND.split(", ")] + ["text_key"])
 
     sides = (left.select("block", "part", "number", "doc_id", "text_key", "first", "k", "total", "grams", "known"), right.select("block", "part", "item_id", "n_words", "bag"))
-    return sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInPandas(lambda x, y: look(x, y) if len(x) else look(x, y.iloc[:0]), f"{FOUND}, text_key string")
+    return sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInArrow(look, f"{FOUND}, text_key string")

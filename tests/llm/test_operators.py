@@ -621,7 +621,7 @@ def test_clusters_choose_the_region_whatever_its_name(monkeypatch):
 
 def test_smoothed_ratio_like_brute_force():
     lines = html_extract.parsed(f"<p>{LONG[0]}</p><ul><li>a<li>b</ul><div>c <b>d</b></div>{LINKS}<p>{LONG[1]}").lines
-    assert [(x.text, x.tags) for x in lines[1:4]] == [("a", 3), ("b", 2), ("c d", 4)]
+    assert [(x.text, x.tags) for x in lines[1:4]] == [("a", 2), ("b", 2), ("c d", 4)]  # <ul><li>, <li></ul>, <div><b></b></div>
     ratio = [len(x.text) / max(1, x.tags) for x in lines]
     for k, got in enumerate(html_extract.smoothed(lines)):
         near = [(np.exp(-(d * d) / 8), ratio[min(max(k + d, 0), len(lines) - 1)]) for d in range(-6, 7)]
@@ -796,3 +796,28 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             if some and j == 1:
                 assert sorted((r.doc_id or 0, r.text == base) for r in at.collect()) == [(0, False), (1, False), (1, True), (5, False)]
         assert counts[:4] == ([5, 4, 4, 4] if some else [0, 0, 0, 0]) and counts[4] >= counts[3] and (some or not counts[4])
+
+
+def test_large_and_missing_identifiers_stay_beyond_one_index(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    items = [(9007199254740995, prose(rng, 30)), (None, prose(rng, 25)), (9007199254740997, prose(rng, 30))]
+    rows = [(9007199254740993, f"{prose(rng, 40)} {items[0][1]}"), (None, f"{items[1][1]} {prose(rng, 9)} {items[2][1]}"), (3, None), (9007199254740995, prose(rng, 60))]
+    df, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.matches(df, bench).collect()), key=str)
+    assert [r[:2] for r in want] == sorted([(9007199254740993, 9007199254740995), (None, None), (None, 9007199254740997)], key=str)
+    monkeypatch.setattr(decontaminate, "ITEMS", 1)
+    assert sorted(map(tuple, decontaminate.matches(df, bench).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("name", ["post no-sidebar", "content-with-sidebar", "entry-content share-enabled", "story toc-enabled", "widget-text", "sidebar", "related"])
+def test_a_name_loses_no_article(name):
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    text = "\n".join(["Title", *(x.strip() for x in LONG)])
+    assert html_extract.main_text(f"<h1>Title</h1><div class='{name}'>{body}</div>") == text
+    assert html_extract.main_text(f"<nav>{LINKS}</nav><h1>Title</h1><div id='{name}'>{body}</div><div class='comment-list'>{body}{body}</div>").endswith(text[len("Title\n") :])
+
+
+def test_names_inside_an_article():
+    page = f"<article><h1>T</h1><p>{LONG[0]}</p><div class='related-work'><p>see others</p></div><div id='search-results'><p>found it</p></div><div class='sidebar-left'><p>{LONG[1]}</p></div><p>{LONG[2]}</p></article>"
+    assert html_extract.main_text(page) == "\n".join(["T", LONG[0].strip(), "see others", "found it", LONG[2].strip()])
+    assert [x for x in ("comment", "comment-list", "ad_slot2", "site-footer", "Cookie-Banner", "no-ads", "ad:x", "adjust", "search-results") if html_extract.tells(x.lower())] == ["comment", "comment-list", "ad_slot2", "site-footer", "Cookie-Banner"]
