@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micro
-from ..functions.params import Params
+from ..functions.params import MICRO, Params
 from ..sources.scratch import written
 
 #: Positions of a sequence that one task looks at for runs; runs over a border are joined afterwards.
 SPAN = 1 << 18
 
 
+#: Positions of a run's piece that one task searches for the densest segment.
+DENSE = 1 << 16
+
 #: Positions of a bucket of the range joins.
 BUCKET = 1024
 
@@ -85,6 +90,69 @@ def bounded_segments(signals: DataFrame, p: Params = Params()) -> DataFrame:
     return whole.unionByName(best.select(*keys, "b.start", "b.end"))
 
 
+def least_before(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each value and the ``width`` - 1 before it, from running minima of blocks of ``width`` in both directions."""
+    n = len(values)
+    padded = np.concatenate([values, np.full(-n % width, values.max(), values.dtype)]).reshape(-1, width)
+    onward, back = np.minimum.accumulate(padded, axis=1).ravel()[:n], np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    first = np.maximum(np.arange(n) - width + 1, 0)
+    return np.where(np.arange(n) < width, np.minimum.accumulate(values), np.minimum(onward, back[first]))
+
+
+def densest(values: np.ndarray, least: int, most: int) -> tuple[int, int, int] | None:
+    """(start, end, sum) of the stretch of ``least`` to ``most`` values with the greatest mean; of equals the first end, then the latest start. None if there are too few.
+
+    For a guessed mean p/q the gain of a stretch is q * sum - p * length, a difference of two points of one walk, so the best start for every end is the least point of a
+    sliding window. The best stretch's own mean is the next guess; it grows until nothing gains, after a few linear rounds. Whole numbers, so ties are exact.
+    """
+    n = len(values)
+    if n < least or most < least:
+        return None
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    if int(np.abs(sums).max()) * min(most, n) + int(np.abs(values).max()) * min(most, n) * n >= 1 << 62:
+        sums = sums.astype(object)  # longer than 64 bits
+    at = np.arange(n + 1).astype(sums.dtype)
+    p, q = sums[least], least
+    while True:
+        walk = q * sums - p * at
+        low = least_before(walk[: n - least + 1], most - least + 1)  # for ends least, least + 1, ... the least start
+        gain = walk[least:] - low
+        best = int(np.argmax(gain))
+        starts = walk[max(0, best - (most - least)) : best + 1]
+        start = best - int(np.argmax(starts[::-1] == low[best]))
+        if gain[best] <= 0:
+            return start, best + least - 1, int(sums[best + least] - sums[start])
+        p, q = sums[best + least] - sums[start], best + least - start
+
+
+def densest_segments(signals: DataFrame, p: Params = Params()) -> DataFrame:
+    """(seq_idx, run_start, start, end, mean): in each long run the segment of ``min_region`` to ``max_region`` positions with the greatest mean score.
+
+    Unlike ``bounded_segments`` this is the segment of the greatest mean. A segment of twice the least length or more has a half that is no worse, so none of
+    that length needs a look, and a run is dealt out in pieces that overlap by twice the least length: a run of any length is many tasks' work.
+    """
+    least, most = p.min_region, min(p.max_region, 2 * p.min_region - 1)
+    kind, step = dict(signals.dtypes)["seq_idx"], max(4 * least, DENSE)
+    inside = near(signals.select("seq_idx", "pos", "pds"), long_runs(signals, p).select("seq_idx", "start", "end"))
+    at = F.col("pos") - F.col("start")
+    piece = F.floor(at / step)
+    both = F.when((piece > 0) & (at < piece * step + most - 1), F.array(piece - 1, piece)).otherwise(F.array(piece))
+    rows = inside.select("seq_idx", F.col("start").cast("long").alias("run_start"), F.explode(both).alias("piece"), F.col("pos").cast("long").alias("pos"), micro(F.col("pds")).alias("v"))
+
+    def of(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        found = densest(rows["v"].to_numpy(), least, most)
+        first = rows["pos"][0].as_py()
+        columns = [(first + found[0],), (first + found[1],), (found[2],)] if found else [()] * 3
+        keys = [rows[c].slice(0, len(columns[0])).combine_chunks() for c in ("seq_idx", "run_start")]
+        return pa.table([*keys, *(pa.array(c, pa.int64()) for c in columns)], ["seq_idx", "run_start", "start", "end", "total"])
+
+    best = rows.groupBy("seq_idx", "run_start", "piece").applyInArrow(of, f"seq_idx {kind}, run_start long, start long, end long, total long")
+    mean = F.col("total").cast("double") / (F.col("end") - F.col("start") + 1).cast("double")
+    first = F.min(F.struct((-mean).alias("m"), F.col("end").alias("end"), (-F.col("start")).alias("s"))).alias("b")
+    return best.groupBy("seq_idx", "run_start").agg(first).select("seq_idx", "run_start", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), (-F.col("b.m") / float(MICRO)).alias("mean"))
+
+
 def expanded(cores: DataFrame, signals: DataFrame) -> DataFrame:
     """(seq_idx, start, end): the positive run around each core, which is what expansion restores."""
     points = cores.select("seq_idx", F.col("start").alias("pos"), F.col("end").alias("last"))

@@ -237,6 +237,19 @@ def bounded_segment(spark, sf_dir):
     return _bounds(G.bounded_segments(written(S.signals(acgt(spark, sf_dir))), NARROW))
 
 
+#: All pairs of ends within the bounds.
+_DENSE = f"""WITH {_SIG}, {O.run_ctes()},
+inside AS (SELECT r.seq_idx, r.s AS run_start, g.pos, {O.micro('g.pds')} AS v, CAST(sum({O.micro('g.pds')}) OVER (PARTITION BY r.seq_idx, r.s ORDER BY g.pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM runs r JOIN signals g ON g.seq_idx = r.seq_idx AND g.pos BETWEEN r.s AND r.e WHERE r.length >= {NARROW.min_region}),
+pairs AS (SELECT a.seq_idx, a.run_start, a.pos AS s, b.pos AS e, CAST(b.upto - a.upto + a.v AS DOUBLE) / CAST(b.pos - a.pos + 1 AS DOUBLE) AS mean FROM inside a JOIN inside b ON b.seq_idx = a.seq_idx AND b.run_start = a.run_start AND b.pos BETWEEN a.pos + {NARROW.min_region - 1} AND a.pos + {NARROW.max_region - 1}),
+best AS (SELECT *, row_number() OVER (PARTITION BY seq_idx, run_start ORDER BY mean DESC, e, s DESC) AS k FROM pairs)
+SELECT seq_idx, run_start, s AS start, e AS "end", {O.r('mean / 1000000.0')} AS mean FROM best WHERE k = 1"""
+
+
+@query(_DENSE)
+def densest_segment(spark, sf_dir):
+    return told(G.densest_segments(written(S.signals(acgt(spark, sf_dir))), NARROW))
+
+
 @query(f'WITH {_SIG}, {O.run_ctes()} SELECT seq_idx, s AS start, e AS "end" FROM runs WHERE length >= {NARROW.min_region}')
 def expand(spark, sf_dir):
     signals = written(S.signals(acgt(spark, sf_dir)))

@@ -179,6 +179,42 @@ def test_bounded_segments(spark):
     assert sorted(r.end - r.start + 1 for r in G.expanded(got, signals).collect()) == sorted(sum(x[0] == k for x in rows) for k, *_ in want)
 
 
+def densest_plain(v, lo, hi):
+    ends = [(-sum(v[i : j + 1]) / (j + 1 - i), j, -i) for i in range(len(v)) for j in range(i + lo - 1, min(i + hi, len(v)))]
+    if ends:
+        m, j, i = min(ends)
+        return -i, j, sum(v[-i : j + 1])
+
+
+def test_densest_stretch_like_all_pairs():
+    rng = np.random.default_rng(21)
+    for _ in range(600):
+        v = rng.integers(1, int(rng.choice([2, 4, 1000])), rng.integers(0, 25)).tolist()
+        lo, hi = sorted(map(int, rng.integers(1, 12, 2)))
+        assert G.densest(np.array(v, np.int64), lo, hi) == densest_plain(v, lo, hi), (v, lo, hi)
+    huge = np.full(3000, 1 << 50)
+    huge[1500] += 1
+    assert G.densest(huge, 1000, 1999) == (501, 1500, 1000 * (1 << 50) + 1)  # beyond 64 bits
+    assert G.densest(np.array([3, 1]), 2, 1) is None
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 16])
+def test_densest_segments_of_runs(spark, monkeypatch, dense):
+    monkeypatch.setattr(G, "DENSE", dense)
+    rng = np.random.default_rng(22)
+    rows, want, p = [], [], Params(min_region=3, max_region=9)
+    for k in range(12):
+        v = rng.integers(1, 9, rng.integers(1, 90)).tolist()
+        rows += [(k, i + 5, float(x)) for i, x in enumerate(v)] + [(k, len(v) + 5, None), (k, len(v) + 6, 2.0)]
+        if len(v) >= 3:
+            i, j, total = densest_plain(v, 3, 9)
+            want.append((k, 5, i + 5, j + 5, total / (j - i + 1)))
+    got = G.densest_segments(spark.createDataFrame(rows, "seq_idx int, pos int, pds double"), p)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [w[:4] for w in sorted(want)]
+    assert np.allclose(sorted(r["mean"] for r in got.collect()), sorted(w[4] for w in want), atol=1e-6)
+    assert G.densest_segments(spark.createDataFrame(rows[:1], "seq_idx int, pos int, pds double"), p).count() == 0
+
+
 def test_no_region_if_bounds_cross(spark):
     s = sequences(spark, random_sequence(np.random.default_rng(1), 600))
     assert R.regions(s, Params(min_region=50, max_region=40)).count() == 0
