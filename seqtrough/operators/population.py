@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import micro, rounded
 from ..functions.params import MICRO
 from ..sources.scratch import written
-from .motifs import Motif
+from .motifs import Motif, with_hit_counts
 from .segments import BUCKET, buckets, merge_intervals, runs
 from .signals import LONG, PIECE
 
@@ -196,7 +196,9 @@ def motif_frequencies(regions: DataFrame, consensus: DataFrame, motifs: list[Mot
 
     A sequence with two such regions counts twice, so a frequency can exceed 1, unless ``distinct_sequences``.
     """
-    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(m).alias("motif"), F.col("Sequence").rlike(f"(?i){p}").alias("has")) for k, (m, p) in enumerate(motifs)))
-    rows = overlaps(regions.where("Sequence <> ''"), consensus).select("consensus_id", "seq_idx", F.explode(each).alias("m")).where("m.has")
+    df, at = with_hit_counts(regions.where("Sequence <> ''").select("seq_idx", "Signal_Start", "Signal_End", "Sequence"), motifs)
+    having = df.select("seq_idx", "Signal_Start", "Signal_End", F.filter(F.transform(at, lambda n, k: F.when(n > 0, k)), lambda k: k.isNotNull()).alias("found"))
+    named = F.array(*(F.lit(m) for m, _ in motifs))
+    rows = overlaps(having, consensus).select("consensus_id", "seq_idx", F.explode("found").alias("k")).select("consensus_id", "seq_idx", F.struct(F.col("k"), F.get(named, F.col("k")).alias("motif")).alias("m"))
     n = F.countDistinct("seq_idx") if distinct_sequences else F.count("*")
     return rows.groupBy(F.col("consensus_id").alias("region_id"), F.col("m.motif").alias("motif")).agg(rounded(n.cast("double") / float(n_sequences), 4).alias("frequency"))

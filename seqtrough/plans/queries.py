@@ -334,9 +334,16 @@ def motif_hits(spark, sf_dir):
     return M.with_hits(M.annotate(_regions(spark, sf_dir), MOTIFS)).withColumn("Motif_Count", F.col("Motif_Count").cast("long"))
 
 
-@query("SELECT * FROM (VALUES (0, 'TATAWAWR', 'valid'), (1, 'A(', 'invalid'), (2, 'A{7}|T{7}', 'valid')) AS t(motif_ord, motif, status)")
+#: Expressions that both engines take or refuse alike: words of the texts, in which characters of expressions occur.
+_PATTERNS = "SELECT DISTINCT x AS motif FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS x FROM documents) WHERE length(x) BETWEEN 1 AND 40"
+
+
+@query(f"SELECT motif, CASE WHEN TRY(regexp_matches('', '(?i)' || motif)) IS NULL THEN 'invalid' ELSE 'valid' END AS status FROM ({_PATTERNS})")
 def motif_validation(spark, sf_dir):
-    return M.validate(spark, "TATAWAWR\n\n  A(\nA{7}|T{7}\n")
+    """Every distinct word of all documents, taken as a motif."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("motif")).where("length(motif) between 1 and 40").distinct()
+    return M.validated(words)
 
 
 @query(f'WITH {_REGIONS} SELECT Sequence_ID, "Start", "End" + 1 AS "End", Region_ID, {r6("Region_Score", Region_Score=4)} FROM regions')

@@ -410,3 +410,34 @@ def test_gc_profile_like_padded_windows(spark, monkeypatch, piece):
         for pos in range(min(50, len(s))):
             want[pos] += flags[pos : pos + 21].mean()
     assert sorted(got) == list(range(50)) and np.allclose([got[k] for k in range(50)], want / 7)
+
+
+def test_words_in_one_pass_like_expressions(spark):
+    import re
+
+    rng = np.random.default_rng(23)
+    motifs = M.motif_list("AA\naNa\nNN\nUA\nACACA\nt.")
+    seqs = ["".join(rng.choice(list("ACGTN"), int(n), p=[0.3, 0.2, 0.2, 0.28, 0.02])) for n in rng.integers(0, 400, 60)] + ["A" * 50, "acacacaca" * 5, "é", ""]
+    words = [m for m, p in motifs if M._WORD.fullmatch(m)]
+    assert len(words) == 14
+    for s in seqs:
+        assert M.Words([w.upper() for w in words]).counts(s.encode()) == [len(re.findall(f"(?i){M.pattern(w)}", s)) for w in words]
+    df = spark.createDataFrame([(k, "LPR", s, 7) for k, s in enumerate(seqs)] + [(99, "LPR", None, 7)], "seq_idx int, Region_ID string, Sequence string, _hits0 int")
+    got = {(r.seq_idx, r.motif_ord): (r.motif, r.hits) for r in M.counts(df, motifs).collect()}
+    for k, s in enumerate(seqs):
+        for j, (m, p) in enumerate(motifs):
+            assert got[k, j] == (m, len(re.findall(f"(?i){p}", s))), (s, m)
+    plan = M.with_hit_counts(df, motifs)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # one scan for all words
+    many = [("A" * k, "A" * k) for k in range(1, 70)]
+    assert [r.hits for r in M.counts(df.where("seq_idx = 60"), many).orderBy("motif_ord").collect()] == [50 // k for k in range(1, 70)]
+
+
+def test_validation_is_the_running_engines(spark):
+    text = "TATAWAWR\n\n (?P<x>TA)\n(?<x>TA)\nA(\nA{7}|T{7}\n[A\n*A"
+    got = [(r.motif, r.status) for r in M.validate(spark, text).orderBy("motif_ord").collect()]
+    assert got == [("TATAWAWR", "valid"), ("(?P<x>TA)", "invalid"), ("(?<x>TA)", "valid"), ("A(", "invalid"), ("A{7}|T{7}", "valid"), ("[A", "invalid"), ("*A", "invalid")]
+    with pytest.raises(ValueError, match="P<x>"):
+        M.parse("TATA\n(?P<x>TA)")
+    odd = spark.createDataFrame([(None,), (" ",), (" tata ",), ("T**A(",)], "motif string")
+    assert [r.status for r in M.validated(odd).collect()] == [None, None, "valid", "invalid"]
