@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micro, rounded
-from ..functions.params import MICRO
+from ..functions.params import MICRO, Params
 from ..sources.scratch import written
 from .motifs import Motif, with_hit_counts
 from .segments import BUCKET, buckets, merge_intervals, runs
-from .signals import LONG, PIECE
+from .signals import LONG, PIECE, Piece, cut, piece_signal, pieces
 
 SUPPORT, GAP, GC_WINDOW = 0.5, 50, 21
 SCORE_UNIT = 1e4
-#: Positions whose sums a task holds.
-HELD = 1 << 23
+#: Positions whose sums a task holds, and pieces whose squares fit 64 bits.
+HELD, SQUARES = 1 << 22, 10_000
 #: Consensus regions that a matrix may have as columns.
 COLUMNS = 5_000
 
@@ -32,8 +32,10 @@ def eligible(sequences: DataFrame, window: int = 17) -> DataFrame:
 def _moments(value: str, name: str) -> list[Column]:
     """Mean and population deviation of a signal, from exact sums of whole millionths."""
     v = micro(F.col(value))
-    n = F.count(v)
-    total, square = F.sum(v), F.sum(v.cast("decimal(19,0)") * v.cast("decimal(19,0)"))
+    return _moments_of(F.count(v), F.sum(v), F.sum(v.cast("decimal(19,0)") * v.cast("decimal(19,0)")), name)
+
+
+def _moments_of(n: Column, total: Column, square: Column, name: str) -> list[Column]:
     spread = (n.cast("decimal(19,0)") * square - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast("double")
     mean = F.when(n > 0, total.cast("double") / n.cast("double") / float(MICRO))
     return [mean.alias(f"mean_{name}"), F.when(n > 0, F.sqrt(spread) / n.cast("double") / float(MICRO)).alias(f"std_{name}")]
@@ -44,6 +46,45 @@ def signal_profile(signals: DataFrame) -> DataFrame:
     return signals.groupBy("pos").agg(*_moments("di", "perplexity"), *_moments("pds", "pds"))
 
 
+def sequence_profile(sequences: DataFrame, p: Params = Params()) -> DataFrame:
+    """``signal_profile`` from the sequences themselves: a task adds up its sequences by position, and only these sums become rows. Pieces of long ones are dealt out."""
+    rows = sequences.where(F.length("seq") >= p.window).select("seq_idx", "seq")
+    names = ["pos", "d_n", "d_sum", "d_square", "v_n", "v_sum", "v_square"]
+    long = F.length("seq") > LONG
+
+    def told(sums: dict[int, np.ndarray]):
+        for low, a in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + a.shape[1], dtype=np.int32)), *map(pa.array, a)], names)
+
+    def add(whole: bool):
+        def of(batches):
+            sums, held = {}, 0
+            for batch in batches:
+                for _, *rest in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                    for x in pieces(rest[0].encode(), p, PIECE) if whole else [Piece(*rest)]:
+                        y = piece_signal(x, p)
+                        more = np.stack([y.d_ok, y.d, y.d * y.d, y.v_ok, y.v, y.v * y.v]).astype(np.int64)
+                        old = sums.get(x.low)
+                        if old is not None and old.shape[1] >= more.shape[1]:
+                            old[:, : more.shape[1]] += more
+                        else:
+                            if old is not None:
+                                more[:, : old.shape[1]] += old
+                            sums[x.low] = more
+                        held += 1
+                        if held >= SQUARES or len(sums) * PIECE > HELD:
+                            yield from told(sums)
+                            sums, held = {}, 0
+            yield from told(sums)
+
+        return of
+
+    schema = ", ".join(["pos int", *(f"{n} long" for n in names[1:])])
+    sums = rows.where(~long).mapInArrow(add(True), schema).unionByName(cut(rows.where(long), p, PIECE).mapInArrow(add(False), schema))
+    total = sums.groupBy("pos").agg(*(F.sum(F.col(n).cast("decimal(38,0)") if "square" in n else n).alias(n) for n in names[1:]))
+    return total.select("pos", *(m for k, name in (("d", "perplexity"), ("v", "pds")) for m in _moments_of(F.col(f"{k}_n"), F.col(f"{k}_sum"), F.col(f"{k}_square"), name)))
+
+
 def coverage(regions: DataFrame, n_signal: int) -> DataFrame:
     """(pos, n_regions, score, gc): covering regions, their mean score, and mean GC share, for covered positions.
 
@@ -78,8 +119,9 @@ def positions(df: DataFrame, n_signal: int) -> DataFrame:
 
 
 def profile(signals: DataFrame, regions: DataFrame, n_sequences: int, n_signal: int) -> DataFrame:
-    """A row for each position: signal_profile, lpr_frequency, mean_region_score, gc_map (0.5 where uncovered)."""
-    df = positions(signals, n_signal).join(signal_profile(signals), "pos", "left").join(coverage(regions, n_signal), "pos", "left")
+    """A row for each position: signal_profile, lpr_frequency, mean_region_score, gc_map (0.5 where uncovered). ``signals`` may also be a signal_profile."""
+    told = signals if "mean_pds" in signals.columns else signal_profile(signals)
+    df = positions(signals, n_signal).join(told, "pos", "left").join(coverage(regions, n_signal), "pos", "left")
     frequency = F.coalesce(F.col("n_regions").cast("double"), F.lit(0.0)) / float(n_sequences)
     return df.select("pos", "mean_perplexity", "std_perplexity", "mean_pds", "std_pds", frequency.alias("lpr_frequency"), F.coalesce("score", F.lit(0.0)).alias("mean_region_score"), F.coalesce("gc", F.lit(0.5)).alias("gc_map"))
 
@@ -101,7 +143,7 @@ def gc_profile(sequences: DataFrame, n_signal: int, window: int = GC_WINDOW) ->
     rows = sequences.where("seq <> ''").select("seq")
     long = F.length("seq") > LONG
 
-    def cut(batches):
+    def dealt_out(batches):
         for batch in batches:
             for seq in batch.column(0):
                 letters = seq.as_py().encode()
@@ -130,8 +172,8 @@ def gc_profile(sequences: DataFrame, n_signal: int, window: int = GC_WINDOW) ->
         yield from told(sums)
 
     schema = "low long, high long, first long, size long, letters binary"
-    short = rows.where(~long).mapInArrow(cut, schema)
-    dealt = rows.where(long).mapInArrow(cut, schema).repartition("low", "letters")
+    short = rows.where(~long).mapInArrow(dealt_out, schema)
+    dealt = rows.where(long).mapInArrow(dealt_out, schema).repartition("low", "letters")
     n = sequences.count()
     sums = short.unionByName(dealt).mapInArrow(add, "pos int, t long").groupBy("pos").agg(F.sum("t").alias("t"))
     return sums.select("pos", (F.col("t").cast("double") / float(window) / float(max(n, 1))).alias("mean_gc"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from ..functions.columns import gc_percent, micro
 from ..functions.params import EPSILON, MICRO, TOP_N, Params
 from ..sources.scratch import written
 from .segments import near, region_bounds
+from .signals import LONG, Signal, whole_signal
 from .signals import signals as all_signals
 
 #: The columns of the region table that are always exported, and those exported on request, in order.
@@ -18,6 +22,62 @@ PRIMARY = (
     "Perplexity_Depression_Score", "Prominence", "Persistence", "Region_Score", "GC_Content", "Motif_Count", "Motifs", "Sequence", "Rank",
 )
 ADVANCED = ("Variance", "Std_Dev", "CV", "AUC_PDS", "Kadane_Core_Start", "Kadane_Core_End")
+
+#: Of a region: where it is, sums, numbers and extremes of its perplexities (d), smoothed values (q) and scores (v), and of the smoothed values of its flanks.
+MEASURES = "start int, end int, n int, d_sum long, d_n long, d_min long, d_max long, q_sum long, q_n long, q_min long, v_sum long, v_n long, v_square decimal(38,0), v_positive long, up_sum long, up_n long, dn_sum long, dn_n long"
+
+
+def bounds_of(v_ok: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """Merged long runs of positions with a score."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], v_ok.astype(np.int8), [0]])))
+    starts, ends = edges[::2], edges[1::2] - 1
+    keep = ends - starts + 1 >= p.min_region
+    starts, ends = starts[keep], ends[keep]
+    if p.max_region < p.min_region or not len(starts):
+        return []
+    fresh = np.concatenate([[True], starts[1:] > ends[:-1] + p.merge_gap])
+    return list(zip(starts[fresh].tolist(), ends[np.concatenate([fresh[1:], [True]])].tolist()))
+
+
+def measured(x: Signal, s: int, e: int, p: Params) -> tuple:
+    """MEASURES of the region [s, e]."""
+    n = len(x.d)
+
+    def of(values: np.ndarray, ok: np.ndarray, a: int, b: int) -> tuple[np.ndarray, int | None, int]:
+        some = values[max(a, 0) : max(b, 0)][ok[max(a, 0) : max(b, 0)]]
+        return some, int(some.sum()) if len(some) else None, len(some)
+
+    d, d_sum, d_n = of(x.d, x.d_ok, s, e + 1)
+    q, q_sum, q_n = of(x.q, x.d_ok, s, e + 1)
+    v, v_sum, v_n = of(x.v, x.v_ok, s, e + 1)
+    high, low = v >> 12, v & 4095  # so that squares' sums stay within 64 bits
+    square = Decimal((int((high * high).sum()) << 24) + (int((high * low).sum()) << 13) + int((low * low).sum())) if v_n else None
+    least = lambda a, f: int(f(a)) if len(a) else None
+    flanks = (of(x.q, x.d_ok, s - p.spacer - p.flank, s - p.spacer), of(x.q, x.d_ok, e + p.spacer + 1, e + p.spacer + p.flank + 1))
+    return (s, e, n, d_sum, d_n, least(d, np.min), least(d, np.max), q_sum, q_n, least(q, np.min), v_sum, v_n, square, v_n, *(y for _, *f in flanks for y in f))
+
+
+def measured_whole(sequences: DataFrame, p: Params = Params()) -> DataFrame:
+    """MEASURES of the regions of sequences that one task holds, with sequence_id, first, last and letters: from letters to regions in one pass, only regions become rows."""
+    kind = dict(sequences.dtypes)["seq_idx"]
+    schema = f"seq_idx {kind}, sequence_id string, {MEASURES}, first int, last int, letters string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "decimal(38,0)": pa.decimal128(38, 0)}[x.split()[1]] for x in schema.split(", ")[1:]]
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for key, name, seq in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2))):
+                x = whole_signal(seq.encode(), p)
+                for s, e in bounds_of(x.v_ok, p):
+                    last = min(len(seq) - 1, e + p.window - 1)
+                    rows.append((key.as_py(), name, *measured(x, s, e, p), s, last, seq[s : last + 1]))
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, *kinds])], names)
+
+    return sequences.where(F.length("seq") >= p.window).select("seq_idx", "sequence_id", "seq").mapInArrow(work, schema)
+
+
 def measures(signals: DataFrame, bounds: DataFrame, p: Params = Params()) -> DataFrame:
     """One row for each region with sums over its positions and flanks; sums are exact whole millionths."""
     pos, s, e = F.col("pos"), F.col("start"), F.col("end")
@@ -61,9 +121,9 @@ def with_letters(measured: DataFrame, sequences: DataFrame, p: Params = Params()
     return rows.select("seq_idx", "sequence_id", "r.m.*", "r.spans.*", "r.letters")
 
 
-def described(measured: DataFrame, sequences: DataFrame, p: Params = Params()) -> DataFrame:
-    """The region table from ``measures`` and the sequences' letters."""
-    df = with_letters(measured, sequences, p)
+def described(measured: DataFrame) -> DataFrame:
+    """The region table from ``measures`` with letters."""
+    df = measured
     n, total = F.col("v_n").cast("decimal(19,0)"), F.col("v_sum").cast("decimal(19,0)")
     spread = (n * F.col("v_square") - total * total).cast("double") / (F.col("v_n") * F.col("v_n")).cast("double") / float(MICRO) / float(MICRO)
     variance = F.when(F.col("v_n") >= 2, spread).otherwise(0.0)
@@ -94,13 +154,28 @@ def described(measured: DataFrame, sequences: DataFrame, p: Params = Params()) -
     )
 
 
-def regions(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, signals: DataFrame | None = None) -> DataFrame:
-    """The ranked region table of ``sequences``. Signals are written once and read for bounds and for measures.
+def by_rows(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """Measures with letters by way of a row for each position. Signals are written once and read for bounds and for measures.
 
     Bounds are written too: the plan knows their size, so that few of them are broadcast and signals are not shuffled for them.
     """
     rows = written(all_signals(sequences, p, chunk)) if signals is None else signals
-    return described(measures(rows, written(region_bounds(rows, p)), p), sequences, p)
+    return with_letters(measures(rows, written(region_bounds(rows, p)), p), sequences, p)
+
+
+def regions(sequences: DataFrame, p: Params = Params(), chunk: int | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """The ranked region table of ``sequences``.
+
+    A sequence of at most LONG letters is worked out from letters to regions where it is. Longer ones, or all with ``chunk``, go by pieces and rows of positions, and so do ``signals`` that are given.
+    """
+    if signals is not None or chunk:
+        return described(by_rows(sequences, p, chunk, signals))
+    whole = measured_whole(sequences.where(F.length("seq") <= LONG), p)
+    long = written(sequences.where(F.length("seq") > LONG))
+    if long.isEmpty():
+        return described(whole)
+    dealt = by_rows(long, p)
+    return described(whole.unionByName(dealt.select(*(F.col(c).cast(t).alias(c) for c, t in whole.dtypes))))
 
 
 def top(regions: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -177,6 +177,31 @@ def depressions(ranges: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.where(known, ((up + dn) / 2.0 - reg) / float(MICRO), np.nan)
 
 
+class Signal(NamedTuple):
+    """Perplexities, smoothed values and scores of positions in millionths, 0 where there are none, and where there are."""
+
+    d: np.ndarray
+    d_ok: np.ndarray
+    q: np.ndarray
+    v: np.ndarray
+    v_ok: np.ndarray
+
+
+def piece_signal(x: Piece, p: Params) -> Signal:
+    """All values of a piece's own positions."""
+    own, di = slice(x.low - x.first, x.high - x.first), perplexities(codes(x.letters), p)
+    ok = ~np.isnan(di)
+    q = micros(smooth(filled(di, x, p), x, p), ok)
+    pds = depressions(range_sums(q, ok, x, p))
+    has = ~np.isnan(pds)
+    return Signal(*(a[own] for a in (micros(di, ok), ok, q, micros(pds, has), has)))
+
+
+def whole_signal(seq: bytes, p: Params) -> Signal:
+    """All values of a sequence that one task holds, worked out piece by piece."""
+    return Signal(*map(np.concatenate, zip(*(piece_signal(x, p) for x in pieces(seq, p, PIECE)))))
+
+
 #: What a position can have, by name: the kind of its column. ``low`` is where its piece begins, ``cs`` and ``cn`` are sum and number of the values from there up to it.
 TRACKS = {"code": "int", "din": "int", "di": "double", "x": "double", "q": "long", "smoothed": "double", "low": "int", "cs": "long", "cn": "long", "up": "double", "reg": "double", "dn": "double", "pds": "double"}
 

@@ -9,6 +9,7 @@ sequences into equal ones, the last of each filled up with N. Queries whose valu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -501,19 +502,21 @@ def pop_eligibility(spark, sf_dir):
 
 
 class _Population:
-    """Signals, regions, profile and consensus of the tiles; signals and regions are written once."""
+    """Regions, profile and consensus of the tiles, each written once when it is asked for."""
 
     def __init__(self, spark, sf_dir):
         self.sequences = written(tiles(acgt(spark, sf_dir)))
         self.n, self.n_signal = self.sequences.count(), O.TILE - DEFAULT.window + 1
-        self.signals = written(S.signals(self.sequences))
-        self.regions = written(R.regions(self.sequences, signals=self.signals))
 
-    @property
+    @cached_property
+    def regions(self) -> DataFrame:
+        return written(R.regions(self.sequences))
+
+    @cached_property
     def profile(self) -> DataFrame:
-        return P.profile(self.signals, self.regions, self.n, self.n_signal)
+        return written(P.profile(P.sequence_profile(self.sequences), self.regions, self.n, self.n_signal))
 
-    @property
+    @cached_property
     def consensus(self) -> DataFrame:
         return P.consensus(self.profile, SUPPORT)
 
