@@ -401,6 +401,8 @@ def _read_back(df: DataFrame, fmt: str, **how) -> DataFrame:
     spark, at = df.sparkSession, folder(df.sparkSession)
     sinks.write_table(df, at, fmt, **how)
     wanted = df if how.get("every_column") else R.exported_columns(df, how.get("advanced", False))
+    if fmt in ("json_array", "xlsx"):
+        return spark.read.format(fmt).schema(wanted.schema).load(at)
     if fmt == "json":
         return spark.read.schema(wanted.schema).json(at).select(*wanted.columns)
     return spark.read.schema(wanted.schema).option("header", True).option("enforceSchema", False).option("emptyValue", "").option("nullValue", "null").option("sep", "\t" if fmt == "tsv" else ",").csv(at)
@@ -431,6 +433,18 @@ def export_json(spark, sf_dir):
     return _exported(spark, sf_dir, "json")
 
 
+@query(_EXPORT)
+def export_json_array(spark, sf_dir):
+    """Parts that together are one array, read back."""
+    return _exported(spark, sf_dir, "json_array")
+
+
+@query(_EXPORT)
+def export_xlsx(spark, sf_dir):
+    """Workbooks, read back by a parser of sheets."""
+    return _exported(spark, sf_dir, "xlsx")
+
+
 @query(f'WITH {_REGIONS} SELECT Sequence_ID, count(*) AS n_regions, CAST(sum("Length") AS BIGINT) AS total FROM regions GROUP BY Sequence_ID')
 def export_by_sequence(spark, sf_dir):
     """A folder for each sequence, read back."""

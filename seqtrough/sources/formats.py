@@ -234,10 +234,13 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Text files of a task each, moved into place at the commit. The job's folder is made before any task runs: one that outlives the job finds none."""
+    """A file of each task that has rows, moved into place at the commit. The job's folder is made before any task runs: one that outlives the job finds none.
 
-    def __init__(self, path: str, suffix: str, header: str | None, lines_of, overwrite: bool):
-        self.path, self.suffix, self.header, self.lines_of, self.overwrite = path, suffix, header, lines_of, overwrite
+    ``body`` writes a task's rows to a stream. ``frame`` are lines before, between and after the tasks' files, which become parts of their own, so that the parts one after another are one document.
+    """
+
+    def __init__(self, path: str, suffix: str, frame: tuple[str, str, str], body, overwrite: bool):
+        self.path, self.suffix, self.frame, self.body, self.overwrite = path, suffix, frame, body, overwrite
         self.job = f"_job-{uuid.uuid4().hex}"
         store, at = opened(path)
         store.create_dir(f"{at}/{self.job}", recursive=True)
@@ -250,26 +253,21 @@ class Writer(DataSourceWriter):
             return Written(context.partitionId(), None)
         made = f"{at}/{self.job}/{context.partitionId():06d}-{context.taskAttemptId()}"
         with store.open_output_stream(made) as out:
-            held = []
-            for row in (r for some in ((first,), iterator) for r in some):
-                held.append(self.lines_of(row))
-                if len(held) >= 1024:
-                    out.write("".join(held).encode("utf-8", "surrogatepass"))
-                    held = []
-            out.write("".join(held).encode("utf-8", "surrogatepass"))
+            self.body(out, (r for some in ((first,), iterator) for r in some))
         return Written(context.partitionId(), made)
 
     def commit(self, messages) -> None:
         store, at = opened(self.path)
         old = [x.path for x in store.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File]
         parts = sorted(x for x in old if os.path.basename(x).startswith("part-"))
-        first = 0 if self.overwrite or not parts else int(os.path.basename(parts[-1])[5:11]) + 1
-        ready = []
-        if self.header and (self.overwrite or not parts):
-            with store.open_output_stream(f"{at}/{self.job}/header") as out:
-                out.write(f"{self.header}\n".encode())
-            ready.append(f"{at}/{self.job}/header")
-        ready += [m.path for m in sorted((m for m in messages if m and m.path), key=lambda m: m.partition)]
+        go_on = bool(parts) and not self.overwrite
+        if go_on and (self.frame[1] or self.frame[2]):
+            raise ValueError("a document of one frame cannot be appended to")
+        first = int(os.path.basename(parts[-1])[5:11]) + 1 if go_on else 0
+        ready = [m.path for m in sorted((m for m in messages if m and m.path), key=lambda m: m.partition)]
+        if self.frame[1]:
+            ready = [x for k, path in enumerate(ready) for x in ((self._line(store, at, k, self.frame[1]), path) if k else (path,))]
+        ready = [self._line(store, at, "before", self.frame[0])] * bool(self.frame[0] and not go_on) + ready + [self._line(store, at, "after", self.frame[2])] * bool(self.frame[2])
         if self.overwrite:
             for x in old:
                 store.delete_file(x)
@@ -279,6 +277,12 @@ class Writer(DataSourceWriter):
         with store.open_output_stream(f"{at}/_SUCCESS"):
             pass
 
+    def _line(self, store: fs.FileSystem, at: str, name, text: str) -> str:
+        if text:
+            with store.open_output_stream(f"{at}/{self.job}/line-{name}") as out:
+                out.write(text.encode())
+        return f"{at}/{self.job}/line-{name}"
+
     def abort(self, messages) -> None:
         self._clear()
 
@@ -292,6 +296,22 @@ def _text(x) -> str:
     return "." if x is None else f"{x:.10g}" if isinstance(x, float) else str(x)
 
 
+def lines_body(line_of, between: str = ""):
+    """A writer's body: the text of each row, and ``between`` two of them."""
+
+    def body(out, rows) -> None:
+        held, first = [], True
+        for row in rows:
+            held.append(line_of(row) if first else between + line_of(row))
+            first = False
+            if len(held) >= 1024:
+                out.write("".join(held).encode("utf-8", "surrogatepass"))
+                held = []
+        out.write("".join(held).encode("utf-8", "surrogatepass"))
+
+    return body
+
+
 def fasta_line(width: int):
     def of(row) -> str:
         name, seq = (str(row[c] or "") for c in ("sequence_id", "seq"))
@@ -316,9 +336,9 @@ def bed_line(row) -> str:
 
 
 class FileSource(DataSource):
-    """A format of text files: its columns, how a split becomes rows, and how a row becomes lines."""
+    """A format of files: its columns, how a split becomes rows, and how rows become a file."""
 
-    columns, name_column, suffix, header = "", "", "", None
+    columns, name_column, suffix = "", "", ""
     rows = staticmethod(lambda split, wanted: iter(()))
 
     def schema(self) -> str:
@@ -330,14 +350,14 @@ class FileSource(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Stream(self, schema)
 
-    def lines_of(self):
+    def frame(self) -> tuple[str, str, str]:
+        return "", "", ""
+
+    def body(self, schema: StructType):
         raise NotImplementedError
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return Writer(self.options["path"], self.suffix, self.header_line(), self.lines_of(), overwrite)
-
-    def header_line(self) -> str | None:
-        return self.header
+        return Writer(self.options["path"], self.suffix, self.frame(), self.body(schema), overwrite)
 
 
 class FastaSource(FileSource):
@@ -349,8 +369,8 @@ class FastaSource(FileSource):
     def name(cls) -> str:
         return "fasta"
 
-    def lines_of(self):
-        return fasta_line(int(self.options.get("lineWidth", 60)))
+    def body(self, schema: StructType):
+        return lines_body(fasta_line(int(self.options.get("lineWidth", 60))))
 
 
 class GffSource(FileSource):
@@ -362,12 +382,12 @@ class GffSource(FileSource):
     def name(cls) -> str:
         return "gff"
 
-    def header_line(self) -> str | None:
+    def frame(self) -> tuple[str, str, str]:
         version = self.options.get("version", "3")
-        return f"##gff-version {version}" if version else None
+        return f"##gff-version {version}\n" if version else "", "", ""
 
-    def lines_of(self):
-        return gff_line
+    def body(self, schema: StructType):
+        return lines_body(gff_line)
 
 
 class BedSource(FileSource):
@@ -379,14 +399,16 @@ class BedSource(FileSource):
     def name(cls) -> str:
         return "bed"
 
-    def lines_of(self):
-        return bed_line
+    def body(self, schema: StructType):
+        return lines_body(bed_line)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known to the session; filters reach them."""
+    """Make the formats known to the session, those of ``documents`` with them; filters reach them."""
+    from .documents import JsonArraySource, XlsxSource
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (FastaSource, GffSource, BedSource):
+    for source in (FastaSource, GffSource, BedSource, JsonArraySource, XlsxSource):
         spark.dataSource.register(source)
 
 

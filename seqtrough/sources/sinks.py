@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.regions import exported_columns
 
-#: Rows that the formats of one document (XLSX, a JSON array) may take to the driver.
-DRIVER_ROWS = 1_000_000
-
-
-def _bounded(df: DataFrame):
-    out = df.limit(DRIVER_ROWS + 1).toPandas()
-    if len(out) > DRIVER_ROWS:
-        raise ValueError(f"more than {DRIVER_ROWS} rows: use csv, tsv or json lines")
-    return out
-
 
 def write_table(regions: DataFrame, path: str, fmt: str = "csv", advanced: bool = False, single: bool = False, every_column: bool = False, by_sequence: bool = False) -> None:
-    """csv, tsv or json (a record a line)."""
+    """csv, tsv, json (a record a line), json_array (the parts together are one array) or xlsx (a workbook of each part)."""
     df = regions if every_column else exported_columns(regions, advanced)
     df = df.coalesce(1) if single else df
     writer = df.write.mode("overwrite")
@@ -33,30 +20,15 @@ def write_table(regions: DataFrame, path: str, fmt: str = "csv", advanced: bool
         writer.option("header", True).option("sep", "\t").csv(path)
     elif fmt.lower() == "json":
         writer.json(path)
+    elif fmt.lower() in ("json_array", "xlsx"):
+        from .formats import register
+
+        register(df.sparkSession)
+        writer.format(fmt.lower()).save(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 
 
-def json_array(regions: DataFrame, advanced: bool = False) -> str:
-    """All records as one indented array."""
-    return json.dumps(json.loads(_bounded(exported_columns(regions, advanced)).to_json(orient="records")), indent=2)
-
-
-def workbook(**sheets: DataFrame) -> bytes:
-    """A workbook of small tables (regions, a consensus summary, an occurrence matrix), where the optional library for it is installed."""
-    import pandas as pd
-
-    out = io.BytesIO()
-    with pd.ExcelWriter(out) as book:
-        for name, df in sheets.items():
-            _bounded(df).to_excel(book, sheet_name=name, index=False)
-    return out.getvalue()
-
-
-def xlsx(regions: DataFrame, advanced: bool = False) -> bytes:
-    return workbook(regions=exported_columns(regions, advanced))
-
-
 def four(x: str | Column) -> Column:
     """A number with four digits after the point, from whole ten-thousandths, so that every engine writes the same."""
     x = F.col(x) if isinstance(x, str) else x
@@ -101,6 +73,8 @@ def write_bed(regions: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_occurrence(matrix: DataFrame, path: str, fmt: str = "csv", single: bool = False) -> None:
-    """The occurrence matrix, the sequence first; tab-separated for tsv, else commas. ``workbook`` makes its spreadsheet."""
+    """The occurrence matrix, the sequence first: a workbook for xlsx, tab-separated for tsv, else commas."""
     df = matrix.drop("seq_idx")
+    if fmt.lower() == "xlsx":
+        return write_table(df, path, fmt, single=single, every_column=True)
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("sep", "\t" if fmt.lower() == "tsv" else ",").csv(path)

@@ -101,7 +101,7 @@ def test_a_failed_write_leaves_nothing_and_keeps_what_was_there(spark, tmp_path)
 
 def test_repeated_attempts_leave_one_file(spark, tmp_path):
     """What two attempts of one task wrote: the commit takes the one that Spark says succeeded."""
-    writer = formats.Writer(str(tmp_path / "out"), ".fa", "##head", formats.fasta_line(0), True)
+    writer = formats.Writer(str(tmp_path / "out"), ".fa", ("##head\n", "", ""), formats.lines_body(formats.fasta_line(0)), True)
     job = tmp_path / "out" / writer.job
     (job / "000000-1").write_text(">half")
     (job / "000000-2").write_text(">a\nAC\n")
@@ -130,3 +130,57 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     put("z.fa", ">c\nT\n", 1_000_000_000)
     put("b.fa", ">d\nTT\n>e\nCC\n", 1_000_000_001)
     assert run() == [("a", "ACGT"), ("b", "GG"), ("c", "T"), ("d", "TT"), ("e", "CC")]
+
+
+TABLE = "name string, n long, x double, yes boolean, d decimal(20,3), small int"
+ODD = [("a<b>&\"' \t\n\r", 1, 0.1, True, None, -5), (None, None, None, None, None, None), ("_x0041_ \x01", -(2**62), 1e-300, False, None, 0), ("é\U0001f600 ", 2**53 + 1, float("inf"), None, None, 2**31 - 1), ("", 0, -0.0, None, None, None)]
+
+
+@pytest.mark.parametrize("rows", [2, 3, 1000])
+def test_workbooks_in_sheets(spark, tmp_path, rows):
+    import zipfile
+
+    df = spark.createDataFrame(ODD, TABLE).coalesce(1)
+    df.write.format("xlsx").option("sheetRows", rows).option("sheetName", "A & B").mode("overwrite").save(f"{tmp_path}/x")
+    (book,) = [x for x in names(tmp_path / "x") if x.endswith(".xlsx")]
+    with zipfile.ZipFile(tmp_path / "x" / book) as z:
+        assert z.testzip() is None and sum("worksheets/sheet" in x for x in z.namelist()) == -(-len(ODD) // (rows - 1)) and b'name="A &amp; B"' in z.read("xl/workbook.xml")
+    back = [tuple(r) for r in spark.read.format("xlsx").schema(TABLE).load(f"{tmp_path}/x").collect()]
+    want = [tuple(None if v == float("inf") else v for v in r) for r in ODD]
+    assert back == [(r[0].replace("\r", "\n") if r[0] else r[0], *r[1:]) for r in want]  # as XML reads line ends
+    some = spark.read.format("xlsx").schema("x double, absent string, name string").load(f"{tmp_path}/x").first()
+    assert (some.x, some.absent) == (0.1, None)
+
+
+def test_workbooks_of_tasks_and_shared_strings(spark, tmp_path):
+    import zipfile
+
+    spark.range(100).repartition(5).write.format("xlsx").mode("append").save(f"{tmp_path}/many")
+    assert len(names(tmp_path / "many")) == 6 and sorted(r.id for r in spark.read.format("xlsx").schema("id long").load(f"{tmp_path}/many").collect()) == list(range(100))
+    spark.range(0).write.format("xlsx").mode("append").save(f"{tmp_path}/none")
+    assert spark.read.format("xlsx").schema("id long").load(f"{tmp_path}/none").count() == 0
+    main, office = (f"http://schemas.openxmlformats.org/{x}" for x in ("spreadsheetml/2006/main", "officeDocument/2006/relationships"))
+    with zipfile.ZipFile(tmp_path / "other.xlsx", "w") as z:  # as other programs write it
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="S" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="x" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>n</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si><si><t>t</t></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="B1" t="s"><v>0</v></c><c r="AA1" t="s"><v>2</v></c></row><row r="2"><c r="B2"><v>3.0</v></c><c r="AA2" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in spark.read.format("xlsx").schema("n long, t string").load(f"{tmp_path}/other.xlsx").collect()] == [(3, "rich")]
+
+
+def test_parts_are_one_array(spark, tmp_path):
+    import json
+
+    schema = "name string, n long, x double, m map<string,int>, a array<struct<k:int>>"
+    rows = [("a\n\"é", 1, 0.5, {"k": 1}, [(1,), (None,)]), (None, None, float("nan"), None, []), ("],", 3, 2.0, {}, None)]
+    df = spark.createDataFrame(rows, schema).repartition(7)
+    df.write.format("json_array").mode("overwrite").save(f"{tmp_path}/x")
+    text = "".join((tmp_path / "x" / x).read_text() for x in names(tmp_path / "x") if x.startswith("part-"))
+    got = sorted(json.loads(text), key=lambda r: r["n"] or 0)
+    assert got == [{"name": None, "n": None, "x": None, "m": None, "a": []}, {"name": "a\n\"é", "n": 1, "x": 0.5, "m": {"k": 1}, "a": [{"k": 1}, {"k": None}]}, {"name": "],", "n": 3, "x": 2.0, "m": {}, "a": None}]
+    back = spark.read.format("json_array").schema("n long, name string").option("splitBytes", 9).load(f"{tmp_path}/x").collect()
+    assert sorted(map(tuple, back), key=str) == sorted([(1, "a\n\"é"), (None, None), (3, "],")], key=str)
+    with pytest.raises(Exception, match="appended"):
+        df.write.format("json_array").mode("append").save(f"{tmp_path}/x")
+    df.limit(0).write.format("json_array").mode("overwrite").save(f"{tmp_path}/x")
+    assert json.loads("".join((tmp_path / "x" / x).read_text() for x in names(tmp_path / "x") if x.startswith("part-"))) == []
