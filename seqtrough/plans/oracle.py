@@ -10,12 +10,14 @@ from ..operators.motifs import Motif
 SEQ_RAW = "SELECT doc_id AS seq_idx, CAST(doc_id AS VARCHAR) AS sequence_id, regexp_replace(translate(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') AS seq FROM documents"
 SEQ_ACGT = f"SELECT seq_idx, sequence_id, replace(seq, 'N', '') AS seq FROM ({SEQ_RAW}) WHERE length(replace(seq, 'N', '')) >= 540"
 TILE = 800
-SEQ_POP = f"""SELECT seq_idx * 100000 + t AS seq_idx, sequence_id || ':' || t AS sequence_id, rpad(substr(seq, CAST(t * {TILE} + 1 AS BIGINT), {TILE}), {TILE}, 'N') AS seq
+#: More than the tiles of any sequence: a text has fewer than 2^31 letters.
+TILES = 10_000_000
+SEQ_POP = f"""SELECT seq_idx * {TILES} + t AS seq_idx, sequence_id || ':' || t AS sequence_id, rpad(substr(seq, CAST(t * {TILE} + 1 AS BIGINT), {TILE}), {TILE}, 'N') AS seq
 FROM (SELECT *, unnest(range(CAST(ceil(length(seq) / {TILE}.0) AS BIGINT))) AS t FROM ({SEQ_ACGT}))"""
 
 
 #: Every sequence of letters in equal parts, the last filled up with N.
-SEQ_TILES = f"""SELECT seq_idx * 100000 + t AS seq_idx, sequence_id || ':' || t AS sequence_id, rpad(substr(seq, CAST(t * {TILE} + 1 AS BIGINT), {TILE}), {TILE}, 'N') AS seq
+SEQ_TILES = f"""SELECT seq_idx * {TILES} + t AS seq_idx, sequence_id || ':' || t AS sequence_id, rpad(substr(seq, CAST(t * {TILE} + 1 AS BIGINT), {TILE}), {TILE}, 'N') AS seq
 FROM (SELECT *, unnest(range(CAST(ceil(length(seq) / {TILE}.0) AS BIGINT))) AS t FROM (SELECT seq_idx, sequence_id, replace(seq, 'N', '') AS seq FROM ({SEQ_RAW}) WHERE replace(seq, 'N', '') <> ''))"""
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import gc_count, micro, rounded, sanitised
+from ..functions import sql as sql_functions
 from ..functions.params import Params
 from ..operators import motifs as M
 from ..operators import population as P
@@ -63,7 +64,7 @@ def tiles(sequences: DataFrame) -> DataFrame:
     t = F.explode(F.sequence(F.lit(0), (F.ceil(F.length("seq") / O.TILE) - 1).cast("int")))
     df = sequences.select("seq_idx", "sequence_id", "seq", t.alias("t"))
     seq = F.rpad(F.substring(F.col("seq"), F.col("t") * O.TILE + 1, F.lit(O.TILE)), O.TILE, "N")
-    return df.select((F.col("seq_idx") * 100_000 + F.col("t")).alias("seq_idx"), F.concat_ws(":", "sequence_id", "t").alias("sequence_id"), seq.alias("seq"), F.lit(O.TILE).alias("seq_len"))
+    return df.select((F.col("seq_idx") * O.TILES + F.col("t")).alias("seq_idx"), F.concat_ws(":", "sequence_id", "t").alias("sequence_id"), seq.alias("seq"), F.lit(O.TILE).alias("seq_len"))
 
 
 def told(df: DataFrame, **digits: int) -> DataFrame:
@@ -316,6 +317,29 @@ def result_figures(spark, sf_dir):
     return told(V.result_figures(R.regions(sequences, signals=signals), signals).withColumn("longest", F.col("longest").cast("long")), best_score=4)
 
 
+@query(SQL["region_metrics"])
+def regions_lateral(spark, sf_dir):
+    """The same from SQL: a table function joined laterally."""
+    sql_functions.register(spark)
+    acgt(spark, sf_dir).createOrReplaceTempView("seqtrough_sequences")
+    found = spark.sql("SELECT s.seq_idx, r.* FROM seqtrough_sequences s, LATERAL regions(s.seq) r")
+    return _pick(found, "seq_idx", "Region_ID", *_WHOLE, *_NUMBERS)
+
+
+_PROFILES = f"WITH {O.signal_ctes(O.SEQ_RAW)}, k AS (SELECT seq_idx, count(di) AS n_di, sum({O.micro('di')}) AS di, count(pds) AS n_pds, sum({O.micro('pds')}) AS pds, count(*) AS n FROM signals GROUP BY seq_idx) SELECT seq_idx, coalesce(n, 0) AS n, coalesce(n_di, 0) AS n_di, CAST(coalesce(di, 0) AS BIGINT) AS di, coalesce(n_pds, 0) AS n_pds, CAST(coalesce(pds, 0) AS BIGINT) AS pds FROM seqs LEFT JOIN k USING (seq_idx)"
+
+
+@query(_PROFILES)
+def profile_functions(spark, sf_dir):
+    """Lengths and sums of the arrays that ``di_profile`` and ``pds_profile`` make of every document, from SQL."""
+    sql_functions.register(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").createOrReplaceTempView("seqtrough_documents")
+    known = "filter({0}, x -> x IS NOT NULL)".format
+    total = lambda c: f"aggregate({known(c)}, 0L, (a, x) -> a + CAST(floor(x * 1000000D + 0.5D) AS BIGINT))"
+    sql = f"SELECT doc_id AS seq_idx, CAST(size(di) AS BIGINT) AS n, CAST(size({known('di')}) AS BIGINT) AS n_di, {total('di')} AS di, CAST(size({known('pds')}) AS BIGINT) AS n_pds, {total('pds')} AS pds"
+    return spark.sql(f"{sql} FROM (SELECT doc_id, di_profile(text) AS di, pds_profile(text) AS pds FROM seqtrough_documents)")
+
+
 _MOTIF_REGIONS = O.region_ctes(O.SEQ_ACGT, motifs=MOTIFS)
 
 
@@ -483,7 +507,7 @@ _BANDS = "s - 150 AS up_start, s - 50 AS up_end, s AS region_start, e AS region_
 @query(f"WITH {_REGIONS} SELECT seq_idx, Region_ID, {_BANDS} FROM regions JOIN seqs USING (seq_idx)")
 def three_window(spark, sf_dir):
     sequences = acgt(spark, sf_dir)
-    df = V.three_windows(R.regions(sequences).join(sequences.select("seq_idx", "seq"), "seq_idx"))
+    df = V.three_windows(R.regions(sequences), sequences)
     return df.select("seq_idx", "Region_ID", *(F.col(c).cast("long").alias(c) for c in df.columns[2:]))
 
 

@@ -45,9 +45,10 @@ def landscape(signals: DataFrame) -> DataFrame:
     return signals.select("seq_idx", "pos", "di", "smoothed", "pds", positive_part(F.col("pds")).alias("pds_positive"))
 
 
-def three_windows(regions: DataFrame, p: Params = Params()) -> DataFrame:
-    """Bounds of the upstream, region and downstream bands of each region, and of the slice shown around them."""
-    s, e, n = F.col("Signal_Start"), F.col("Signal_End"), F.length("seq") if "seq" in regions.columns else F.col("n")
+def three_windows(regions: DataFrame, sequences: DataFrame, p: Params = Params()) -> DataFrame:
+    """Bounds of the upstream, region and downstream bands of each region, and of the slice shown around them. Of the sequences only lengths are joined."""
+    s, e, n = F.col("Signal_Start"), F.col("Signal_End"), F.col("seq_len")
+    regions = regions.select("seq_idx", "Region_ID", "Signal_Start", "Signal_End").join(sequences.select("seq_idx", "seq_len"), "seq_idx")
     pad = max(20, p.flank // 4)
     up_end, dn_start = s - p.spacer, e + p.spacer + 1
     return regions.select(
