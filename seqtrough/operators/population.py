@@ -18,8 +18,8 @@ SUPPORT, GAP, GC_WINDOW = 0.5, 50, 21
 SCORE_UNIT = 1e4
 #: Positions whose sums a task holds, and pieces whose squares fit 64 bits.
 HELD, SQUARES = 1 << 22, 10_000
-#: Consensus regions that a matrix may have as columns.
-COLUMNS = 5_000
+#: Consensus regions that a table may have as columns and every task may hold; sequences of a block of a matrix.
+COLUMNS, ROWS = 5_000, 1_000
 
 
 def eligible(sequences: DataFrame, window: int = 17) -> DataFrame:
@@ -216,23 +216,91 @@ def overlaps(regions: DataFrame, consensus: DataFrame) -> DataFrame:
     return r.join(c, "_bucket").where((F.col("Signal_Start") <= F.col("consensus_end")) & (F.col("Signal_End") >= F.col("consensus_start")) & (F.col("_bucket") == first)).drop("_bucket")
 
 
+def numbered(consensus: DataFrame) -> DataFrame:
+    """(column, region_id): the dictionary of a matrix's columns, from 0 in order of the identifiers."""
+    return consensus.select((F.row_number().over(Window.orderBy("region_id")) - 1).alias("column"), "region_id")
+
+
+def occurrence_blocks(sequences: DataFrame, regions: DataFrame, consensus: DataFrame) -> DataFrame:
+    """(block, seq_idx, sequence_id, upto, gaps): the occurrence matrix as blocks of rows, for any number of consensus regions.
+
+    A block has ROWS sequences or fewer. ``upto`` tells how many entries its rows have up to and with each one; ``gaps`` has for each entry, row after row, how far its column is
+    beyond the row's entry before (from -1), so that most are small. Sequences without entries are rows of none. Columns are those of ``numbered``. Only overlaps are shuffled, no cell that is 0.
+    """
+    columns = written(numbered(consensus))
+    found = overlaps(regions.select("seq_idx", "Signal_Start", "Signal_End"), consensus).select("seq_idx", F.col("consensus_id").alias("region_id")).distinct()
+    columns_ = F.broadcast(columns) if columns.count() <= COLUMNS else columns
+    entries = found.join(columns_, "region_id").groupBy("seq_idx").agg(F.array_sort(F.collect_list("column")).alias("held"))
+    gaps = F.transform("held", lambda x, k: x - F.coalesce(F.get("held", k - 1), F.lit(-1)))
+    rows = sequences.select("seq_idx", "sequence_id").join(entries.select("seq_idx", gaps.alias("gaps")), "seq_idx", "left")
+    blocks = -(-sequences.count() // ROWS)
+    row = F.struct("seq_idx", "sequence_id", F.coalesce("gaps", F.array().cast("array<int>")).alias("gaps"))
+    packed = rows.groupBy(F.pmod(F.xxhash64("seq_idx"), F.lit(max(blocks, 1))).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("r")), lambda k: F.aggregate(F.slice("r", 1, k), F.lit(0), lambda a, x: a + F.size(x["gaps"])))
+    return packed.select("block", F.col("r.seq_idx").alias("seq_idx"), F.col("r.sequence_id").alias("sequence_id"), ends.alias("upto"), F.flatten("r.gaps").alias("gaps"))
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """(seq_idx, sequence_id, held): the columns of each row's entries."""
+    kind = dict(blocks.dtypes)["seq_idx"].removeprefix("array<").removesuffix(">")
+    names = ["seq_idx", "sequence_id", "held"]
+
+    def rows(batches):
+        for batch in batches:
+            of = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                upto, gaps = (np.array(of[c][k].values, np.int64) for c in ("upto", "gaps"))
+                starts = np.concatenate([[0], upto[:-1]])
+                sums = np.concatenate([[0], np.cumsum(gaps)])
+                columns = sums[1:] - np.repeat(sums[starts], upto - starts) - 1
+                yield pa.RecordBatch.from_arrays([of["seq_idx"][k].values, of["sequence_id"][k].values, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(columns, pa.int32()))], names)
+
+    return blocks.mapInArrow(rows, f"seq_idx {kind}, sequence_id string, held array<int>")
+
+
+def cells(blocks: DataFrame, columns: DataFrame) -> DataFrame:
+    """(seq_idx, sequence_id, region_id, present): all cells of the matrix, those that are 0 too, without a join of sequences and regions: a row becomes its cells where it is."""
+    n = columns.count()
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.struct(c.alias("column"), F.array_contains("held", c).cast("tinyint").alias("present"))) if n else F.array().cast("array<struct<column:int,present:tinyint>>")
+    rows = unpacked(blocks).select("seq_idx", "sequence_id", F.explode(each).alias("c")).select("seq_idx", "sequence_id", "c.*")
+    columns = F.broadcast(columns) if n <= COLUMNS else columns
+    return rows.join(columns, "column").select("seq_idx", "sequence_id", "region_id", "present")
+
+
 def occurrence(sequences: DataFrame, regions: DataFrame, consensus: DataFrame) -> DataFrame:
     """(seq_idx, sequence_id, region_id, present): 1 where a region of the sequence overlaps the consensus region."""
-    ids = consensus.select(F.col("region_id")).agg(F.sort_array(F.collect_list("region_id")).alias("ids"))
-    scaffold = sequences.select("seq_idx", "sequence_id").join(F.broadcast(ids)).select("seq_idx", "sequence_id", F.explode("ids").alias("region_id"))
-    found = overlaps(regions, consensus).select("seq_idx", F.col("consensus_id").alias("region_id")).distinct().withColumn("hit", F.lit(1))
-    return scaffold.join(found, ["seq_idx", "region_id"], "left").select("seq_idx", "sequence_id", "region_id", F.coalesce("hit", F.lit(0)).cast("tinyint").alias("present"))
+    held = written(consensus)
+    return cells(occurrence_blocks(sequences, regions, held), written(numbered(held)))
 
 
 def occurrence_matrix(occurrence: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """A row for each sequence, a column for each consensus region: at most COLUMNS of them, else the long form is the one to use."""
+    """A row for each sequence, a column for each consensus region: at most COLUMNS of them, as Spark's tables are wide; ``occurrence_blocks`` has any number."""
     if ids is None:
         ids = sorted(r[0] for r in occurrence.select("region_id").distinct().limit(COLUMNS + 1).collect())
         if len(ids) > COLUMNS:
-            raise ValueError(f"more than {COLUMNS} consensus regions: use occurrence")
+            raise ValueError(f"more than {COLUMNS} consensus regions: use occurrence_blocks")
     return occurrence.groupBy("seq_idx", "sequence_id").pivot("region_id", ids).agg(F.max("present"))
 
 
+def occurrence_lines(blocks: DataFrame, n_columns: int, sep: str = ",") -> DataFrame:
+    """(value): a line of the matrix for each sequence, its identifier first, for any number of columns."""
+
+    def lines(batches):
+        for batch in batches:
+            out = []
+            for name, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                row = ["0"] * n_columns
+                for c in held:
+                    row[c] = "1"
+                quoted = name or ""
+                if any(x in quoted for x in (sep, '"', "\n", "\r")):
+                    quoted = '"' + quoted.replace('"', '""') + '"'
+                out.append(sep.join([quoted, *row]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    return unpacked(blocks).mapInArrow(lines, "value string")
+
+
 def motif_frequencies(regions: DataFrame, consensus: DataFrame, motifs: list[Motif], n_sequences: int, distinct_sequences: bool = False) -> DataFrame:
     """(region_id, motif, frequency): regions with the motif that overlap a consensus region, over the number of sequences.
 

@@ -521,6 +521,22 @@ def length_hist(spark, sf_dir):
     return told(V.length_histogram(_regions(spark, sf_dir)))
 
 
+def _round_hist(value: str, bins: int) -> str:
+    sizes = "[" + ", ".join(repr(float(f"{m}e{k}")) for k in range(-6, 16) for m in (1, 2, 5)) + "]"
+    return f"""SELECT CAST(k - floor(lo / w) AS INTEGER) AS bin, {O.r('k * w')} AS low, {O.r('(k + 1) * w')} AS high, count(*) AS n FROM (SELECT floor(v / w) AS k, lo, w FROM (SELECT CAST({value} AS DOUBLE) AS v FROM regions),
+    (SELECT lo, CASE WHEN hi > lo THEN list_min([x FOR x IN CAST({sizes} AS DOUBLE[]) IF x >= (hi - lo) / {float(bins)}]) ELSE 1.0 END AS w FROM (SELECT CAST(min({value}) AS DOUBLE) AS lo, CAST(max({value}) AS DOUBLE) AS hi FROM regions))) GROUP BY k, lo, w"""
+
+
+@query(f"WITH {_REGIONS} {_round_hist('e - s + 1', V.LENGTH_BINS)}")
+def length_round_hist(spark, sf_dir):
+    return told(V.round_histogram(_regions(spark, sf_dir), F.col("Signal_End") - F.col("Signal_Start") + 1, V.LENGTH_BINS))
+
+
+@query(f"WITH {_REGIONS} {_round_hist('floor(Region_Score * 10000.0 + 0.5) / 10000.0', V.SCORE_BINS)}")
+def score_round_hist(spark, sf_dir):
+    return told(V.round_histogram(_regions(spark, sf_dir), rounded(F.col("Region_Score"), 4), V.SCORE_BINS))
+
+
 @query(f"WITH {_REGIONS} {_hist('floor(Region_Score * 10000.0 + 0.5) / 10000.0', V.SCORE_BINS)}")
 def score_hist(spark, sf_dir):
     return told(V.score_histogram(_regions(spark, sf_dir).withColumn("Region_Score", rounded(F.col("Region_Score"), 4))))
@@ -619,18 +635,33 @@ def occurrence_long(spark, sf_dir):
     return P.occurrence(x.sequences, x.regions, x.consensus)
 
 
-@query(f"{_OCC} SELECT seq_idx, sequence_id, max(present) FILTER (WHERE region_id = 'CLPR_0001') AS \"CLPR_0001\", max(present) FILTER (WHERE region_id = 'CLPR_0002') AS \"CLPR_0002\" FROM occ GROUP BY seq_idx, sequence_id")
+_PIVOT = f"{_OCC} SELECT {{}} FROM (PIVOT occ ON region_id USING max(present) GROUP BY seq_idx, sequence_id)"
+
+
+@query(_PIVOT.format("*"))
 def occurrence_pivot(spark, sf_dir):
     x = _Population(spark, sf_dir)
-    return P.occurrence_matrix(P.occurrence(x.sequences, x.regions, x.consensus), ["CLPR_0001", "CLPR_0002"])
+    return P.occurrence_matrix(P.occurrence(x.sequences, x.regions, x.consensus))
+
+
+@query(f"{_OCC} SELECT seq_idx, sequence_id, coalesce(string_agg(region_id, ',' ORDER BY region_id) FILTER (WHERE present = 1), '') AS present FROM occ GROUP BY seq_idx, sequence_id")
+def occurrence_blocks(spark, sf_dir):
+    """The sparse matrix in blocks, written, read and unpacked: the consensus regions of each sequence."""
+    x = _Population(spark, sf_dir)
+    ids = written(P.numbered(x.consensus)).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "region_id"))), lambda c: c["region_id"]).alias("ids"))
+    rows = P.unpacked(written(P.occurrence_blocks(x.sequences, x.regions, x.consensus)))
+    return rows.join(F.broadcast(ids)).select("seq_idx", "sequence_id", F.array_join(F.transform("held", lambda c: F.get("ids", c)), ",").alias("present"))
 
 
-@query(f"{_OCC} SELECT sequence_id, max(present) FILTER (WHERE region_id = 'CLPR_0001') AS \"CLPR_0001\" FROM occ GROUP BY seq_idx, sequence_id")
+@query(_PIVOT.format("* EXCLUDE (seq_idx)"))
 def occurrence_file(spark, sf_dir):
-    """The matrix of the first consensus region, written tab-separated and read back."""
+    """The matrix of all consensus regions, written tab-separated from its blocks and read back."""
     x, at = _Population(spark, sf_dir), folder(spark)
-    sinks.write_occurrence(P.occurrence_matrix(P.occurrence(x.sequences, x.regions, x.consensus), ["CLPR_0001"]), at, "tsv")
-    return spark.read.schema("sequence_id string, CLPR_0001 tinyint").option("header", True).option("sep", "\t").csv(at)
+    sinks.write_occurrence_blocks(P.occurrence_blocks(x.sequences, x.regions, x.consensus), P.numbered(x.consensus), at, "tsv")
+    lines = spark.read.format("lines").load(at)
+    names = lines.where("value like 'sequence_id%'").first()[0].split("\t")
+    fields = F.split("value", "\t")
+    return lines.where("value not like 'sequence_id%'").select(fields[0].alias("sequence_id"), *(fields[k].cast("tinyint").alias(n) for k, n in enumerate(names) if k))
 
 
 @query(f'WITH {_POP} SELECT region_id AS "Region_ID", consensus_start AS "Consensus_Start", consensus_end AS "Consensus_End", consensus_length AS "Length", support AS "Support", mean_pds AS "Mean_PDS", mean_region_score AS "Mean_RegionScore", mean_perplexity AS "Mean_Perplexity", mean_gc AS "GC%" FROM consensus')

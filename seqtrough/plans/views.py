@@ -22,6 +22,27 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     return placed.groupBy(k.alias("bin"), "lo", "w").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "n")
 
 
+def round_size(spread: Column, bins: int) -> Column:
+    """The least of 1, 2 and 5 times a power of ten (for whole numbers at least 1) of which ``bins`` hold ``spread``; 1 if there is none."""
+    rough = spread / float(bins)
+    powers = F.array(*(F.lit(float(f"{m}e{k}")) for k in range(-6, 16) for m in (1, 2, 5)))
+    return F.when(spread > 0, F.coalesce(F.get(F.filter(powers, lambda x: x >= rough), F.lit(0)), spread)).otherwise(1.0)
+
+
+def round_histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
+    """(bin, low, high, n): bins of a round size that begin at its multiples, as many as there need be but ``bins`` + 1 at most; empty bins are absent.
+
+    Least and greatest value, which merge from any parts, choose the size.
+    """
+    v = df.select(value.cast("double").alias("v")).where("v is not null")
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select("lo", round_size(F.col("hi") - F.col("lo"), bins).alias("w"))
+    placed = v.join(F.broadcast(ends))  # one row
+    at = F.floor(F.col("v") / F.col("w"))
+    first = F.floor(F.col("lo") / F.col("w"))
+    counted = placed.groupBy((at - first).cast("int").alias("bin"), at.alias("at"), "w").agg(F.count("*").alias("n"))
+    return counted.select("bin", (F.col("at") * F.col("w")).alias("low"), ((F.col("at") + 1) * F.col("w")).alias("high"), "n")
+
+
 def length_histogram(regions: DataFrame) -> DataFrame:
     return histogram(regions, F.col("Signal_End") - F.col("Signal_Start") + 1, LENGTH_BINS)
 

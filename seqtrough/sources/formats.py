@@ -403,12 +403,37 @@ class BedSource(FileSource):
         return lines_body(bed_line)
 
 
+def line_rows(split: Split, wanted: set[str] | None) -> Iterator[tuple]:
+    return ((line,) for line in _own(split))
+
+
+def line_of(row) -> str:
+    return f"{row[0] or ''}\n"
+
+
+class LinesSource(FileSource):
+    """value, a line each. Options: splitBytes, header (a first part of its own)."""
+
+    columns, name_column, suffix, rows = "value string", "value", ".txt", staticmethod(line_rows)
+
+    @classmethod
+    def name(cls) -> str:
+        return "lines"
+
+    def frame(self) -> tuple[str, str, str]:
+        header = self.options.get("header", "")
+        return f"{header}\n" if header else "", "", ""
+
+    def body(self, schema: StructType):
+        return lines_body(line_of)
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats known to the session, those of ``documents`` with them; filters reach them."""
     from .documents import JsonArraySource, XlsxSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (FastaSource, GffSource, BedSource, JsonArraySource, XlsxSource):
+    for source in (FastaSource, GffSource, BedSource, LinesSource, JsonArraySource, XlsxSource):
         spark.dataSource.register(source)
 
 

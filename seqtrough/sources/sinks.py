@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.population import occurrence_lines
 from ..operators.regions import exported_columns
 
 
@@ -78,3 +79,18 @@ def write_occurrence(matrix: DataFrame, path: str, fmt: str = "csv", single: boo
     if fmt.lower() == "xlsx":
         return write_table(df, path, fmt, single=single, every_column=True)
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("sep", "\t" if fmt.lower() == "tsv" else ",").csv(path)
+
+
+def write_occurrence_blocks(blocks: DataFrame, columns: DataFrame, path: str, fmt: str = "csv") -> None:
+    """The matrix of ``occurrence_blocks`` with a column for each row of ``columns`` (column, region_id), however many: a header part, and lines of a task each."""
+    sep = "\t" if fmt.lower() == "tsv" else ","
+    ids = [r[0] for r in columns.orderBy("column").select("region_id").toLocalIterator()]  # the header is one line
+    write_framed(occurrence_lines(blocks, len(ids), sep), path, sep.join(["sequence_id", *ids]))
+
+
+def write_framed(lines: DataFrame, path: str, header: str) -> None:
+    """Lines (value) in parts, ``header`` in the first one."""
+    from .formats import register
+
+    register(lines.sparkSession)
+    lines.write.format("lines").option("header", header).mode("overwrite").save(path)

@@ -441,3 +441,90 @@ def test_validation_is_the_running_engines(spark):
         M.parse("TATA\n(?P<x>TA)")
     odd = spark.createDataFrame([(None,), (" ",), (" tata ",), ("T**A(",)], "motif string")
     assert [r.status for r in M.validated(odd).collect()] == [None, None, "valid", "invalid"]
+
+
+def test_one_pass_and_rows_of_positions_give_the_same_regions(spark):
+    rng = np.random.default_rng(31)
+    some = sequences(spark, *(random_sequence(rng, int(n), int(g)) for n, g in zip(rng.integers(300, 1500, 6), rng.integers(0, 4, 6))), "ACG", "N" * 300)
+    one, rows = (sorted(map(tuple, df.collect())) for df in (R.regions(some, SMALL), R.regions(some, SMALL, signals=S.signals(some, SMALL))))
+    assert len(one) > 5 and one == rows
+
+
+def test_long_sequences_go_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(R, "LONG", 1000)
+    rng = np.random.default_rng(32)
+    some = sequences(spark, *(random_sequence(rng, n, 2) for n in (700, 1400, 900, 2200)))
+    mixed = sorted(map(tuple, R.regions(some, SMALL).collect()))
+    monkeypatch.setattr(R, "LONG", 1 << 20)
+    assert mixed == sorted(map(tuple, R.regions(some, SMALL).collect())) and len({r[0] for r in mixed}) > 2
+
+
+@pytest.mark.parametrize("squares", [3, 10_000])
+def test_sums_by_position_like_signals(spark, monkeypatch, squares):
+    monkeypatch.setattr(P, "SQUARES", squares)
+    monkeypatch.setattr(P, "LONG", 500)
+    rng = np.random.default_rng(33)
+    some = sequences(spark, *(random_sequence(rng, n, g) for n, g in ((400, 0), (400, 3), (650, 1), (400, 0), (30, 0), (700, 0))), "AC")
+    want = {r.pos: r for r in P.signal_profile(S.signals(some, SMALL)).collect()}
+    got = {r.pos: r for r in P.sequence_profile(some, SMALL).collect()}
+    assert got.keys() == want.keys() and any(r.mean_pds for r in got.values())
+    for pos, r in got.items():
+        assert tuple(r) == tuple(want[pos]), pos
+
+
+def test_sparse_matrix_of_any_width(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 7)
+    monkeypatch.setattr(P, "COLUMNS", 2)  # joins instead of broadcasts
+    rng = np.random.default_rng(34)
+    seqs = spark.createDataFrame([(k, f"s,{k}") for k in range(40)], "seq_idx long, sequence_id string")
+    cons = spark.createDataFrame([(f"CLPR_{k + 1:04d}", 100 * k, 100 * k + 40) for k in range(30)], "region_id string, consensus_start int, consensus_end int")
+    spans = [(int(s), int(a), int(a + n)) for s, a, n in zip(rng.integers(0, 30, 90), rng.integers(0, 3000, 90), rng.integers(0, 150, 90))]
+    regions = spark.createDataFrame(spans, "seq_idx long, Signal_Start int, Signal_End int")
+    has = {(s, f"CLPR_{k + 1:04d}") for s, a, b in spans for k in range(30) if a <= 100 * k + 40 and b >= 100 * k}
+    blocks = P.occurrence_blocks(seqs, regions, cons)
+    assert 1 < blocks.count() <= 6 and sum(len(r.gaps) for r in blocks.collect()) == len(has)
+    held = {r.seq_idx: r.held for r in P.unpacked(blocks).collect()}
+    assert {(s, f"CLPR_{c + 1:04d}") for s, cs in held.items() for c in cs} == has and len(held) == 40
+    cells = P.occurrence(seqs, regions, cons).collect()
+    assert len(cells) == 1200 and {(r.seq_idx, r.region_id) for r in cells if r.present} == has
+    lines = sorted(r.value for r in P.occurrence_lines(blocks, 30).collect())
+    assert lines == sorted(",".join([f'"s,{s}"', *("1" if (s, f"CLPR_{k + 1:04d}") in has else "0" for k in range(30))]) for s in range(40))
+    with pytest.raises(ValueError, match="blocks"):
+        P.occurrence_matrix(P.occurrence(seqs, regions, cons))
+    none = P.occurrence_blocks(seqs, regions, cons.limit(0))
+    assert P.unpacked(none).count() == 40 and P.occurrence(seqs, regions, cons.limit(0)).count() == 0 and P.occurrence_blocks(seqs.limit(0), regions, cons).count() == 0
+
+
+def test_round_bins(spark):
+    df = spark.createDataFrame([(float(v),) for v in (3, 7, 12, 99, 99)] + [(None,)], "v double")
+    assert sorted(map(tuple, V.round_histogram(df, F.col("v"), 10).collect())) == [(0, 0.0, 10.0, 2), (1, 10.0, 20.0, 1), (9, 90.0, 100.0, 2)]
+    assert [tuple(r) for r in V.round_histogram(df.where("v = 7"), F.col("v"), 10).collect()] == [(0, 7.0, 8.0, 1)]
+    rng = np.random.default_rng(35)
+    for scale, bins in ((0.01, 7), (1.0, 40), (3e6, 60)):
+        v = rng.normal(size=200) * scale
+        rows = V.round_histogram(spark.createDataFrame([(float(x),) for x in v], "v double"), F.col("v"), bins).collect()
+        width = rows[0].high - rows[0].low
+        assert sum(r.n for r in rows) == 200 and all(0 <= r.bin <= bins for r in rows) and f"{width:.3e}"[:5] in ("1.000", "2.000", "5.000")
+        assert all(r.n == ((v >= r.low) & (v < r.high)).sum() for r in rows)
+    assert V.round_histogram(df.limit(0), F.col("v"), 5).count() == 0
+
+
+def test_sql_functions(spark):
+    from seqtrough.functions import sql
+
+    sql.register(spark)
+    some = [FRAGMENT, FRAGMENT.lower().replace("t", "u") + "xyz", "ACGT", None, ""]
+    spark.createDataFrame(list(enumerate(some)), "k int, seq string").createOrReplaceTempView("some_sequences")
+    rows = spark.sql("SELECT k, r.* FROM some_sequences, LATERAL regions(seq) r ORDER BY k").collect()
+    (want,) = R.regions(sequences(spark, FRAGMENT)).collect()
+    assert [r.k for r in rows] == [0, 1]
+    for r in rows:
+        assert all(r[c] == pytest.approx(want[c], rel=1e-12) if isinstance(want[c], float) else r[c] == want[c] for c in rows[0].__fields__ if c != "k")
+    assert spark.sql("SELECT count(*) FROM some_sequences, LATERAL regions(seq, min_region => 900) r").first()[0] == 0
+    (di, pds, gc) = spark.sql("SELECT di_profile(seq), pds_profile(seq), gc_profile(seq) FROM some_sequences WHERE k = 0").first()
+    plain = plain_signals(FRAGMENT)
+    for got, x, tol in ((di, plain[0], 1e-9), (pds, plain[2], 2e-6)):
+        assert np.array_equal([v is None for v in got], np.isnan(x)) and np.nanmax(np.abs(np.array(got, float) - x)) < tol
+    flags = np.pad([c in "GC" for c in FRAGMENT], 10, "edge").astype(float)
+    assert np.allclose(gc, [flags[k : k + 21].mean() for k in range(len(FRAGMENT))])
+    assert [tuple(r) for r in spark.sql("SELECT di_profile(seq), gc_profile(seq) FROM some_sequences WHERE k > 2").collect()] == [([], [])] * 2
