@@ -102,6 +102,32 @@ SELECT page_id, CAST(coalesce(sum(n_bytes) OVER (ORDER BY page_id ROWS BETWEEN U
 FROM r
 """
 
+#: Measures of the threshold table: what is divided by what.
+RATIOS = {
+    "symbols_per_word": ("n_symbols", "n_words"), "marks_per_word": ("n_marks", "n_words"), "mean_word_length": ("word_chars", "n_words"), "upper_share": ("n_upper", "word_chars"),
+    "digit_share": ("n_digits", "word_chars"), "stop_word_share": ("n_stop_words", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_word_share": ("n_repeat_words", "n_words"),
+}
+
+
+def _op8_sql() -> str:
+    holds = []
+    for r in quality_rules.RULES:
+        value = "CAST({} AS DOUBLE) / nullif({}, 0)".format(*RATIOS[r.value])
+        holds += [f"coalesce({value} {sign} {bound}, true)" for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    count = lambda chars: f"CAST(length(regexp_replace(t, '[^{chars}]', '', 'g')) AS BIGINT)"
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w,
+  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM documents),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS k FROM d)),
+p AS (SELECT r, count(DISTINCT i + j) AS n FROM g, (SELECT unnest(range(3)) AS j) WHERE n > 1 GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, {count("#*$%&|<>")} AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+  {count("!?")} AS n_marks, {count("0-9")} AS n_digits, CAST(length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper, len(lines) AS n_lines, len([x FOR x IN w IF lower(rtrim(x, '.,;:!?')) IN ({stops})]) AS n_stop_words FROM d LEFT JOIN p USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(holds)} AS kept FROM b
+"""
+
+
 #: Nodes are lists of turns; a subtree is the nodes that begin with a node's list. The first part makes crc32 from its polynomial.
 OP12_SQL = """
 WITH RECURSIVE crcs(i, c, k) AS (SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crcs WHERE k < 8),
@@ -140,4 +166,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_merkle_audit": OP1_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_warc_merkle_audit": OP1_SQL, "op8_quality_rules": _op8_sql(), "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

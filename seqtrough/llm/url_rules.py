@@ -1,6 +1,6 @@
 """URL filtering by a rule list, then by association rules that FP-growth mines from labelled URLs.
 
-All in DataFrame operations. A listed rule (host, path) fits its host and every subdomain of it where
+All in DataFrame operations. Tokens that always come together are mined as one and told apart again afterwards. A listed rule (host, path) fits its host and every subdomain of it where
 the path begins as the rule's does; the longest wins. URLs that no listed rule fits are judged by mined
 rules: token combinations that go with a block label, pruned by support, confidence and lift, and by
 dropping every rule that a shorter one of no less confidence covers, before any rule leaves Spark. None of those left is cut.
@@ -15,7 +15,7 @@ extra columns pass through, and the five columns that are added replace input co
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, unlike
@@ -59,19 +59,45 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(letters(host, "host:"), letters(F.lower(path), "path:")))
 
 
+def twins(labelled: DataFrame) -> DataFrame:
+    """(token, twin, all): tokens that the same rows have, under the first of them; ``all`` lists them. Those that stand alone are their own twins.
+
+    Rows are told by their place, and a token's rows by their number and two sums of hashes of the places.
+    """
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens"))
+    told = rows.select("row", F.explode("tokens").alias("token")).distinct()
+    print_ = [F.count("*").alias("n"), *(F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2))]
+    same = Window.partitionBy("n", "h1", "h2")
+    return told.groupBy("token").agg(*print_).select("token", F.min("token").over(same).alias("twin"), F.array_sort(F.collect_list("token").over(same)).alias("all"))
+
+
+def spelled(tokens: Column, members: Column) -> Column:
+    """Every choice of one member for each of ``tokens``: the rules that a rule over twins stands for."""
+    return F.aggregate(F.transform(tokens, lambda t: F.try_element_at(members, t)), F.array(F.array().cast("array<string>")), lambda made, some: F.flatten(F.transform(made, lambda a: F.transform(some, lambda x: F.concat(a, F.array(x))))))
+
+
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, confidence): the least token combinations that mean block, from ``labelled`` (tokens, label)."""
     spark = labelled.sparkSession
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    if baskets.isEmpty():
+    if labelled.isEmpty():
         return spark.createDataFrame([], "tokens array<string>, confidence double")
+    # Tokens that always come together are one item while rules are mined: n of them would be 2^n itemsets.
+    held = stored(twins(labelled))
+    merged = held.where("token <> twin").select("token", "twin")
+    at = F.monotonically_increasing_id()
+    rows = stored(labelled.select(at.alias("row"), "tokens", "label"))
+    first = rows.select("row", F.explode("tokens").alias("token")).join(merged, "token", "left").groupBy("row").agg(F.collect_set(F.coalesce("twin", "token")).alias("tokens"))
+    baskets = rows.select("row", "label").join(first, "row", "left").select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     blocking = stored(rules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= LIFT)).select(F.array_sort("antecedent").alias("tokens"), "confidence"))
     # A rule that covers another has fewer tokens, its first one among the other's.
     shorter = blocking.select(F.col("tokens").alias("few"), F.col("confidence").alias("of"), F.col("tokens")[0].alias("token"))
     covered = blocking.withColumn("token", F.explode("tokens")).join(shorter, "token")
     covered = covered.where((F.size("few") < F.size("tokens")) & (F.col("of") >= F.col("confidence")) & (F.size(F.array_except("few", "tokens")) == 0))
-    return stored(blocking.join(covered.select("tokens").distinct(), "tokens", "left_anti"))
+    left = stored(blocking.join(covered.select("tokens").distinct(), "tokens", "left_anti"))
+    members = left.select("tokens", "confidence", F.explode("tokens").alias("twin")).join(held.where("token = twin"), "twin")
+    members = members.groupBy("tokens", "confidence").agg(F.map_from_entries(F.collect_list(F.struct("twin", "all"))).alias("members"))
+    return stored(members.select(F.explode(spelled(F.col("tokens"), F.col("members"))).alias("tokens"), "confidence").select(F.array_sort("tokens").alias("tokens"), "confidence"))
 
 
 def fitting(words: Column, rules: list[tuple[list[str], float]]) -> Column:

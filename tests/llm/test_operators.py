@@ -821,3 +821,13 @@ def test_names_inside_an_article():
     page = f"<article><h1>T</h1><p>{LONG[0]}</p><div class='related-work'><p>see others</p></div><div id='search-results'><p>found it</p></div><div class='sidebar-left'><p>{LONG[1]}</p></div><p>{LONG[2]}</p></article>"
     assert html_extract.main_text(page) == "\n".join(["T", LONG[0].strip(), "see others", "found it", LONG[2].strip()])
     assert [x for x in ("comment", "comment-list", "ad_slot2", "site-footer", "Cookie-Banner", "no-ads", "ad:x", "adjust", "search-results") if html_extract.tells(x.lower())] == ["comment", "comment-list", "ad_slot2", "site-footer", "Cookie-Banner"]
+
+
+def test_tokens_that_always_come_together_are_mined_as_one(spark):
+    segments = [f"seg{chr(97 + k)}" for k in range(18)]  # by themselves 2^18 itemsets
+    rows = [([f"path:{s}" for s in segments] + [f"host:{k % 3}"], "block") for k in range(100)] + [([f"host:{k % 3}", "path:x"], "allow") for k in range(100)] + [([], "allow")]
+    got = url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert sorted((tuple(r.tokens), r.confidence) for r in got.collect()) == sorted(((f"path:{s}",), 1.0) for s in segments)
+    pairs = [(["a", "b", "c"], "block")] * 30 + [(["a", "b"], "allow")] * 30 + [(["c"], "allow")] * 30 + [(["d", "e", "c"], "block")] * 5
+    told = {(tuple(r.tokens), round(r.confidence, 3)) for r in url_rules.mined(spark.createDataFrame(pairs, "tokens array<string>, label string")).collect()}
+    assert told == {(("a", "c"), 1.0), (("b", "c"), 1.0), (("d",), 1.0), (("e",), 1.0)}
