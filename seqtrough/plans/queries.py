@@ -24,6 +24,7 @@ from ..operators import segments as G
 from ..operators import signals as S
 from ..sources import fasta, formats, sinks
 from ..sources.scratch import folder, written
+from ..streaming import population as streamed
 from . import oracle as O
 from . import views as V
 
@@ -587,6 +588,17 @@ def pop_profile(spark, sf_dir):
     return _pos(_Population(spark, sf_dir).profile.select("pos", "mean_perplexity", "std_perplexity", "mean_pds", "std_pds"))
 
 
+@query(f"WITH {_POP} SELECT pos, {r6('mean_perplexity', 'std_perplexity', 'mean_pds', 'std_pds', 'lpr_frequency', 'mean_region_score', 'gc_map', mean_region_score=4)}, n_sequences, 0 AS n_aside FROM profile, population")
+def stream_profile(spark, sf_dir):
+    """The profile by a stream of the tiles, in two runs over one checkpoint."""
+    at = folder(spark)
+    rows = tiles(acgt(spark, sf_dir)).select("seq_idx", "seq")
+    for part in range(2):
+        rows.where(F.pmod(F.xxhash64("seq_idx"), F.lit(2)) == part).select("seq").write.mode("append").parquet(f"{at}/in")
+        streamed.stream_profile(spark.readStream.schema("seq string").parquet(f"{at}/in"), f"{at}/out", f"{at}/check", O.TILE - DEFAULT.window + 1).awaitTermination()
+    return _pos(streamed.read_profile(spark, f"{at}/out"), mean_region_score=4)
+
+
 @query(f"WITH {_POP} SELECT pos, {r6('lpr_frequency')} FROM profile")
 def pop_lpr_frequency(spark, sf_dir):
     return _pos(_Population(spark, sf_dir).profile.select("pos", "lpr_frequency"))

@@ -528,3 +528,32 @@ def test_sql_functions(spark):
     flags = np.pad([c in "GC" for c in FRAGMENT], 10, "edge").astype(float)
     assert np.allclose(gc, [flags[k : k + 21].mean() for k in range(len(FRAGMENT))])
     assert [tuple(r) for r in spark.sql("SELECT di_profile(seq), gc_profile(seq) FROM some_sequences WHERE k > 2").collect()] == [([], [])] * 2
+
+
+def test_population_stream_goes_on_after_a_restart(spark, tmp_path):
+    from seqtrough.streaming import population as stream
+
+    rng = np.random.default_rng(41)
+    same = [random_sequence(rng, 400, k % 3) for k in range(9)]
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def put(*seqs):
+        spark.createDataFrame([(x,) for x in seqs], "seq string").repartition(2).write.mode("append").parquet(source)
+
+    def run():
+        stream.stream_profile(spark.readStream.schema("seq string").parquet(source), out, check, 384, SMALL).awaitTermination(120)
+        return {r.pos: r for r in stream.read_profile(spark, out).collect()}
+
+    def batch(seqs):
+        some = sequences(spark, *seqs)
+        return {r.pos: r for r in P.profile(P.sequence_profile(some, SMALL), R.regions(some, SMALL), len(seqs), 384).collect()}
+
+    put(*same[:4], "ACGT" * 50, None)
+    first = run()
+    assert first[0].n_sequences == 4 and first[0].n_aside == 2
+    put(*same[4:], same[0] + "A")
+    for got, want in ((first, batch(same[:4])), (run(), batch(same))):  # the same as in one batch
+        assert got.keys() == want.keys() == set(range(384))
+        for pos, r in want.items():
+            assert all(got[pos][c] == pytest.approx(r[c], abs=1e-9) if r[c] is not None else got[pos][c] is None for c in r.__fields__), pos
+    assert run()[0].n_sequences == 9  # nothing new, nothing twice
