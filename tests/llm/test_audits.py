@@ -260,3 +260,102 @@ def test_joint_counts_are_flag_products_and_invert(spark):
     assert list(r.n) == [sum(b + 1 for b in range(32) if b & s == s) for s in range(32)] and list(r.toxic) == [0] * 32
     (x,) = filter_audit.joint(cells).select(filter_audit.survivors("n").alias("left")).collect()
     assert list(x.left) == [sum(b + 1 for b in range(32) if not b & t) for t in range(32)]
+
+
+# --- 3 and 10: exact answers on small cases -----------------------------------------------------
+
+
+def test_splits_lower_impurity_most():
+    from seqtrough.llm import rule_ensemble as rules
+
+    rng = np.random.default_rng(51)
+    gini = lambda y: 2 * y.sum() * (len(y) - y.sum()) / len(y) if len(y) else 0.0
+    for _ in range(40):
+        x, y = rng.integers(0, 9, (int(rng.integers(20, 50)), 3)).astype(float), None
+        y = (x[:, 1] + rng.normal(size=len(x)) > 4).astype(float)
+        best = 0.0
+        for f in range(3):
+            for t in np.unique(x[:, f])[:-1] + 0.5:
+                left = x[:, f] <= t
+                if rules.LEAST <= left.sum() <= len(y) - rules.LEAST:
+                    best = max(best, gini(y) - gini(y[left]) - gini(y[~left]))
+        found = rules._split(x, y, np.arange(3))
+        if best < 1e-9:
+            assert found is None
+        else:
+            f, t = found
+            left = x[:, f] <= t
+            assert abs(gini(y) - gini(y[left]) - gini(y[~left]) - best) < 1e-9
+
+
+def test_tree_rules_are_paths_of_growing_trees():
+    from seqtrough.llm import rule_ensemble as rules
+
+    rng = np.random.default_rng(52)
+    x = rng.normal(size=(200, len(rules.STATISTICS)))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    found = rules.tree_rules(x, y, np.random.default_rng(1))
+    assert found and all(1 <= len(r) <= rules.DEPTH for r in found)
+    a = rules.matrix(sorted(found), x)
+    for rule, column in zip(sorted(found), a.T):
+        holds = np.ones(len(x), bool)
+        for name, above, t in rule:
+            value = x[:, list(rules.STATISTICS).index(name)]
+            holds &= value > t if above else value <= t
+        assert np.array_equal(column, holds)
+
+
+def test_lasso_meets_its_conditions():
+    """At the optimum the gradient is within the penalty, and at it where a weight is not zero."""
+    from seqtrough.llm import rule_ensemble as rules
+
+    rng = np.random.default_rng(53)
+    a = (rng.random((300, 12)) < 0.4).astype(float)
+    y = (a[:, 0] + a[:, 1] - a[:, 2] + rng.normal(size=300) > 0.6).astype(float)
+    for penalty in (0.002, 0.02):
+        bias, w = rules.lasso(a, y, penalty, rounds=20_000)
+        weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        g = a.T @ (weight * (1 / (1 + np.exp(-(a @ w + bias))) - y))
+        assert abs((weight * (1 / (1 + np.exp(-(a @ w + bias))) - y)).sum()) < 1e-6
+        assert np.all(np.abs(g) <= penalty + 1e-6) and np.allclose(g[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-6)
+    assert (w == 0).any() and (w != 0).any()
+
+
+def least_bins(lengths, size):
+    """Fewest bins by trying every place of every piece."""
+    best = len(lengths)
+
+    def seat(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= lengths[k]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= lengths[k]
+                seat(k + 1, rest)
+        seat(k + 1, [*rooms, size - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    seat(0, [])
+    return best
+
+
+def test_plans_of_few_pieces_are_the_best_there_are():
+    from seqtrough.llm import packing
+
+    rng = np.random.default_rng(54)
+    for _ in range(150):
+        size = int(rng.integers(8, 40))
+        lengths = rng.integers(max(1, size // 6), size, int(rng.integers(1, 11))).tolist()
+        counts = dict(Counter(lengths))
+        total = sum(t for _, t in packing.plan(counts, size))
+        assert total == least_bins(lengths, size), (lengths, size)
+    search = packing._Search({6: 1, 5: 2, 4: 1, 3: 2, 2: 1}, 10, 2000)
+    search.best, search.most = [((n,), 1) for n in (6, 5, 5, 4, 3, 3, 2)], 7
+    for look, whole in search.PASSES:
+        search._pass(look, whole)
+    assert search.most == 3  # by branch and bound alone, from a plan of single pieces
