@@ -219,7 +219,7 @@ def fit(docs: DataFrame, most: int = SAMPLE, cells: int = CELLS) -> Model:
     weights, bias = follow([r for r, t in zip(x, test) if not t], y[~test], max(1, len(languages)))
     model = Model(languages, idf, weights, bias, 1.0)
     kept = [r for r, t in zip(x, test) if t]
-    return model._replace(temperature=calibrated(np.array([model.logits(*r) for r in kept]).reshape(len(kept), -1), y[test]))
+    return model._replace(temperature=calibrated(np.array([model.logits(*r) for r in kept]).reshape(len(kept), weights.shape[1]), y[test]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
