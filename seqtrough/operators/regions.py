@@ -75,7 +75,9 @@ def measured_whole(sequences: DataFrame, p: Params = Params()) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, *kinds])], names)
 
-    return sequences.where(F.length("seq") >= p.window).select("seq_idx", "sequence_id", "seq").mapInArrow(work, schema)
+    # A byte a letter is moved, so that few large splits of files are many tasks' work; a letter's computation costs far more. With a number of tasks it is not coalesced by bytes.
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sequences.where(F.length("seq") >= p.window).select("seq_idx", "sequence_id", "seq").repartition(tasks, "seq_idx").mapInArrow(work, schema)
 
 
 def measures(signals: DataFrame, bounds: DataFrame, p: Params = Params()) -> DataFrame:
