@@ -5,8 +5,8 @@ their lengths alone, and there are at most ``size`` lengths however many documen
 is made from that bounded histogram. Bin completion takes the longest remaining length, enumerates the
 undominated fillings of the rest of its sequence, prunes by the waste that the incumbent still allows,
 and applies each filling as often as the counts permit. The first incumbents are best-fit decreasing's plan and
-the plan of completing each sequence by its heaviest filling, the better of them improved by completing a few of its
-sequences anew at a time; where one meets the lower bound there is nothing to search.
+the plan of completing each sequence by its heaviest filling. Branch-and-bound then runs on a few sequences of the better one at a time,
+which are the incumbent of that search, and at last over the whole histogram; where a plan meets the lower bound there is nothing to search.
 
 A piece finds its place by its rank among the pieces of its length: a task numbers its own pieces, and
 the numbers before it come from counts by task and length. No text or id is shuffled.
@@ -35,6 +35,8 @@ from .common import encoder, slices, stored, strings
 Plan = list[tuple[tuple[int, ...], int]]
 #: Rows of the rank table that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Sequences that are searched together, at most, and fillings tried in each such search.
+FEW, FEW_NODES = 6, 300
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -151,9 +153,9 @@ def _heaviest(counts: dict[int, int], room: int) -> list[int]:
 
 
 def improved(plan: Plan, size: int, least: int, rounds: int) -> Plan:
-    """``plan`` after rounds in which a few sequences are taken apart and completed anew, longest pieces mostly first.
+    """``plan`` after rounds of branch-and-bound over the pieces of a few of its sequences, which are the incumbent of their own search.
 
-    A round's result stays if its waste lies in fewer or emptier sequences (by the sum of squares), so that in the end a sequence
+    What a round finds stays if its waste lies in fewer or emptier sequences (by the sum of squares), so that in the end a sequence
     can go. Ends as ``least`` sequences are left, after ``rounds`` without a better result, or five times as many in all. Alike at any
     number of pieces: it draws from the different fillings.
     """
@@ -187,39 +189,79 @@ def improved(plan: Plan, size: int, least: int, rounds: int) -> Plan:
         if total <= least or not kinds or idle >= rounds:
             break
         old = [take(True)]
-        number = draw.randint(2, 6)
+        number = draw.randint(2, FEW)
         while len(old) < number and kinds:
             old.append(take(draw.random() < 0.4))
-        new = _completed_anew([n for f in old for n in f], size, len(old), draw)
-        gain = sum((size - sum(f)) ** 2 for f in new) + (len(old) - len(new)) * size * size - sum((size - sum(f)) ** 2 for f in old)
-        idle = 0 if gain > 0 and len(new) <= len(old) else idle + 1
-        if gain < 0 or len(new) > len(old):
-            new = old
+        new, better = _few(old, size, FEW_NODES, draw)
+        idle = 0 if better else idle + 1
         total += len(new) - len(old)
         for f in new:
             put(tuple(sorted(f, reverse=True)))
     return [(f, times) for f, times in held.items() if times]
 
 
-def _completed_anew(pieces: list[int], size: int, most: int, draw: random.Random) -> list[tuple[int, ...]]:
-    """Sequences of ``pieces``, each completed to the greatest sum that a random order of the rest allows; gives up beyond ``most``."""
-    left, out = sorted(pieces, reverse=True), []
-    while left and len(out) <= most:
-        first = left.pop(0 if draw.random() < 0.8 else draw.randrange(len(left)))
-        rest, room = left[:], size - first
-        draw.shuffle(rest)
-        sums, full = [1], (1 << room + 1) - 1
-        for n in rest:
-            sums.append((sums[-1] | sums[-1] << n) & full)
-        total, chosen = sums[-1].bit_length() - 1, [first]
-        for k in range(len(rest) - 1, -1, -1):
-            if not sums[k] >> total & 1:
-                chosen.append(rest[k])
-                total -= rest[k]
-                rest[k] = 0
-        out.append(tuple(chosen))
-        left = sorted(filter(None, rest), reverse=True)
-    return out if not left else [*out, tuple(left)] + [()] * most
+def _few(old: list[tuple[int, ...]], size: int, nodes: int, draw: random.Random) -> tuple[list[tuple[int, ...]], bool]:
+    """Bin completion of the pieces of ``old``: as few sequences and as uneven waste as a search of ``nodes`` fillings finds.
+
+    A sequence that is not needed counts as one that wastes all its room, so the sum of squared waste covers both. A branch
+    ends where even all waste that is left over, put together in as few sequences as can hold it, makes no greater sum. Also says
+    whether the result is better; one that is as good as ``old`` may come in its place.
+    """
+    before = sum((size - sum(f)) ** 2 for f in old)
+    best, worth = old, before - 1
+
+    def branch(left: list[int], filled: list[tuple[int, ...]], squares: int, spare: int) -> None:
+        nonlocal best, worth, nodes
+        empty, over = divmod(spare, size)
+        if squares + empty * size * size + over * over <= worth:
+            return
+        if not left:
+            best, worth = filled, squares + (len(old) - len(filled)) * size * size
+            return
+        for f in _fillings_of(left[1:], size - left[0], spare, draw):
+            nodes -= 1
+            if nodes < 0:
+                return
+            rest, waste = left[1:], size - left[0] - sum(f)
+            for n in f:
+                rest.remove(n)
+            branch(rest, [*filled, (left[0], *f)], squares + waste * waste, spare - waste)
+
+    branch(sorted(chain(*old), reverse=True), [], 0, len(old) * size - sum(map(sum, old)))
+    return best, worth > before
+
+
+def _fillings_of(pieces: list[int], room: int, most: int, draw: random.Random) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from a few pieces, least waste first, up to ``most``; those of equal waste in a drawn order."""
+    have = [n for n in pieces if n <= room]
+    draw.shuffle(have)
+    sums, full = [1], (1 << room + 1) - 1
+    for n in have:
+        sums.append((sums[-1] | sums[-1] << n) & full)
+
+    def exact(k: int, left: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield ()
+            return
+        while k and sums[k - 1] >> left & 1:  # without this piece as well
+            yield from ((have[k - 1], *f) for f in exact(k - 1, left - have[k - 1])) if have[k - 1] <= left and sums[k - 1] >> left - have[k - 1] & 1 else ()
+            k -= 1
+        if k:
+            yield from ((have[k - 1], *f) for f in exact(k - 1, left - have[k - 1]))
+
+    for waste in range(min(room, most) + 1):
+        if sums[-1] >> room - waste & 1:
+            met = set()
+            for f in exact(len(have), room - waste):
+                f = tuple(sorted(f, reverse=True))
+                if f in met:
+                    continue
+                met.add(f)
+                others = list(have) if waste else []
+                for n in f if waste else ():
+                    others.remove(n)
+                if not any(x < n <= x + waste for n in others for x in (0, *f)):
+                    yield f
 
 
 class _Search:

@@ -359,3 +359,33 @@ def test_plans_of_few_pieces_are_the_best_there_are():
     for look, whole in search.PASSES:
         search._pass(look, whole)
     assert search.most == 3  # by branch and bound alone, from a plan of single pieces
+
+
+def test_few_sequences_are_searched_like_brute_force():
+    import random
+
+    from seqtrough.llm import packing
+
+    rng, better = np.random.default_rng(81), 0
+    for _ in range(120):
+        size = int(rng.integers(8, 40))
+        lengths = rng.integers(max(1, size // 6), size, int(rng.integers(2, 9))).tolist()
+        alone = [(n,) for n in lengths]
+        got, found = packing._few(alone, size, 100_000, random.Random(1))
+        assert len(got) == least_bins(lengths, size) and found == (len(got) < len(alone))
+        assert Counter(n for f in got for n in f) == Counter(lengths) and all(sum(f) <= size for f in got)
+        again, found = packing._few(got, size, 100_000, random.Random(2))
+        assert not found and len(again) == len(got)
+        assert sorted(map(sorted, packing._few(alone, size, 0, random.Random(1))[0])) == sorted(map(list, alone))  # no node, no change
+        room = int(rng.integers(1, 30))
+        subsets = {tuple(sorted((n for k, n in enumerate(lengths) if b >> k & 1), reverse=True)) for b in range(1 << len(lengths))}
+        expected = set()
+        for f in (f for f in subsets if sum(f) <= room):
+            rest, spare = list((Counter(lengths) - Counter(f)).elements()), room - sum(f)
+            if not any(x < n <= x + spare for n in rest for x in (0, *f)):
+                expected.add(f)
+        fillings = list(packing._fillings_of(lengths, room, room, random.Random(3)))
+        assert set(fillings) == expected and len(fillings) == len(expected)
+        assert [sum(f) for f in fillings] == sorted(map(sum, fillings), reverse=True)
+        better += len(got) < len(alone)
+    assert better > 60
