@@ -208,20 +208,17 @@ def _few(old: list[tuple[int, ...]], size: int, nodes: int, draw: random.Random)
     whether the result is better; one that is as good as ``old`` may come in its place.
     """
     before = sum((size - sum(f)) ** 2 for f in old)
-    best, worth = old, before - 1
+    best, worth, looks = old, before - 1, [nodes]
 
     def branch(left: list[int], filled: list[tuple[int, ...]], squares: int, spare: int) -> None:
-        nonlocal best, worth, nodes
+        nonlocal best, worth
         empty, over = divmod(spare, size)
         if squares + empty * size * size + over * over <= worth:
             return
         if not left:
             best, worth = filled, squares + (len(old) - len(filled)) * size * size
             return
-        for f in _fillings_of(left[1:], size - left[0], spare, draw):
-            nodes -= 1
-            if nodes < 0:
-                return
+        for f in _fillings_of(left[1:], size - left[0], spare, draw, looks):
             rest, waste = left[1:], size - left[0] - sum(f)
             for n in f:
                 rest.remove(n)
@@ -231,37 +228,43 @@ def _few(old: list[tuple[int, ...]], size: int, nodes: int, draw: random.Random)
     return best, worth > before
 
 
-def _fillings_of(pieces: list[int], room: int, most: int, draw: random.Random) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from a few pieces, least waste first, up to ``most``; those of equal waste in a drawn order."""
-    have = [n for n in pieces if n <= room]
+def _fillings_of(pieces: list[int], room: int, most: int, draw: random.Random, looks: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from a few pieces, least waste first, up to ``most``; those of equal waste in a drawn order.
+
+    Each filling is made once, and each that is made, dominated or not, is one of the ``looks`` left.
+    """
+    have = sorted(Counter(n for n in pieces if n <= room).items())
     draw.shuffle(have)
     sums, full = [1], (1 << room + 1) - 1
-    for n in have:
-        sums.append((sums[-1] | sums[-1] << n) & full)
+    for n, left in have:
+        bits, step = sums[-1], 1
+        while left:
+            step = min(step, left)
+            bits |= bits << n * step & full
+            left -= step
+            step *= 2
+        sums.append(bits)
 
     def exact(k: int, left: int) -> Iterator[tuple[int, ...]]:
         if not left:
             yield ()
             return
-        while k and sums[k - 1] >> left & 1:  # without this piece as well
-            yield from ((have[k - 1], *f) for f in exact(k - 1, left - have[k - 1])) if have[k - 1] <= left and sums[k - 1] >> left - have[k - 1] & 1 else ()
-            k -= 1
-        if k:
-            yield from ((have[k - 1], *f) for f in exact(k - 1, left - have[k - 1]))
+        for j in range(k - 1, -1, -1):
+            if not sums[j + 1] >> left & 1:
+                return
+            n, c = have[j]
+            for times in range(min(c, left // n), 0, -1):
+                if sums[j] >> left - times * n & 1:
+                    for rest in exact(j, left - times * n):
+                        yield (n,) * times + rest
 
     for waste in range(min(room, most) + 1):
-        if sums[-1] >> room - waste & 1:
-            met = set()
-            for f in exact(len(have), room - waste):
-                f = tuple(sorted(f, reverse=True))
-                if f in met:
-                    continue
-                met.add(f)
-                others = list(have) if waste else []
-                for n in f if waste else ():
-                    others.remove(n)
-                if not any(x < n <= x + waste for n in others for x in (0, *f)):
-                    yield f
+        for f in exact(len(have), room - waste) if sums[-1] >> room - waste & 1 else ():
+            looks[0] -= 1
+            if looks[0] < 0:
+                return
+            if not waste or not any(x < n <= x + waste for n, c in have if c > f.count(n) for x in {0, *f}):
+                yield f
 
 
 class _Search:

@@ -384,8 +384,11 @@ def test_few_sequences_are_searched_like_brute_force():
             rest, spare = list((Counter(lengths) - Counter(f)).elements()), room - sum(f)
             if not any(x < n <= x + spare for n in rest for x in (0, *f)):
                 expected.add(f)
-        fillings = list(packing._fillings_of(lengths, room, room, random.Random(3)))
+        fillings = list(packing._fillings_of(lengths, room, room, random.Random(3), [1000]))
+        fillings = [tuple(sorted(f, reverse=True)) for f in fillings]
         assert set(fillings) == expected and len(fillings) == len(expected)
         assert [sum(f) for f in fillings] == sorted(map(sum, fillings), reverse=True)
         better += len(got) < len(alone)
     assert better > 60
+    looks = [50]
+    assert len(list(packing._fillings_of([1] * 500 + [2] * 500 + [3] * 500, 600, 600, random.Random(1), looks))) == 50 and looks[0] < 0
