@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regions as R
 from ..operators.population import window_totals
-from ..operators.signals import PIECE, codes, perplexities, pieces, whole_signal
+from ..operators.signals import PIECE, Signal, codes, perplexities, pieces, whole_signal, whole_signals
 from .params import EPSILON, MICRO, Params
 
 _KEPT = bytes.maketrans(b"U", b"T")
@@ -36,9 +36,12 @@ def _rounded(x: float, digits: int) -> float:
 def region_rows(text: str | None, p: Params) -> list[tuple]:
     """RETURNS of each region of one sequence, as the region table has it."""
     seq = letters(text)
-    if len(seq) < p.window:
-        return []
-    x, names, rows = whole_signal(seq, p), [f.split()[0] for f in R.MEASURES.split(", ")], []
+    return rows_of(seq, whole_signal(seq, p), p) if len(seq) >= p.window else []
+
+
+def rows_of(seq: bytes, x: Signal, p: Params) -> list[tuple]:
+    """``region_rows`` of sanitised letters whose signal is known."""
+    names, rows = [f.split()[0] for f in R.MEASURES.split(", ")], []
     mean = lambda total, n: None if not n else (total or 0) / n / MICRO
     for s, e in R.bounds_of(x.v_ok, p):
         m = dict(zip(names, R.measured(x, s, e, p)))

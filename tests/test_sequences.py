@@ -557,3 +557,33 @@ def test_population_stream_goes_on_after_a_restart(spark, tmp_path):
         for pos, r in want.items():
             assert all(got[pos][c] == pytest.approx(r[c], abs=1e-9) if r[c] is not None else got[pos][c] is None for c in r.__fields__), pos
     assert run()[0].n_sequences == 9  # nothing new, nothing twice
+
+
+def test_texts_are_sanitised_once(spark):
+    """No filter on letters works a text out again, and the letters are those of the column expression."""
+    from seqtrough.functions.columns import sanitised
+
+    texts = spark.createDataFrame([(1, "acgu nNñŉ x"), (2, ""), (3, None), (4, "zz"), (5, "UuTt-ẗﬆ")], "id int, text string")
+    kept = fasta.from_table(texts, "id", "text").where("seq_len >= 2").where("length(seq) < 100")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "translate" not in plan
+    want = {r.id: r.seq for r in texts.select("id", sanitised(F.col("text")).alias("seq")).collect()}
+    assert {r.seq_idx: r.seq for r in fasta.from_table(texts, "id", "text").collect()} == want
+    assert {r.seq_idx: (r.seq, r.seq_len) for r in fasta.from_table(texts, "id", "text", masked=False).collect()} == {k: (v and v.replace("N", ""), None if v is None else len(v.replace("N", ""))) for k, v in want.items()}
+
+
+def test_pieces_side_by_side_like_each_alone():
+    rng = np.random.default_rng(21)
+    seqs = [random_sequence(rng, int(n), g).encode() for n, g in zip((*range(17, 45), 300, 900), [0, 1, 2] * 10)] + [b"N" * 60, b"ACGT" * 90]
+    for size in (40, 1 << 16):
+        xs = [x for seq in seqs for x in S.pieces(seq, SMALL, size)]
+        for x, y in zip(xs, S.piece_signals(xs, SMALL)):
+            assert all((a == b).all() for a, b in zip(y, S.piece_signals([x], SMALL)[0])) and len(y.d) == x.high - x.low
+
+
+def test_prefix_sums_write_no_row_for_a_position(spark, monkeypatch):
+    kept, sizes = S.written, []
+    monkeypatch.setattr(S, "written", lambda df: sizes.append((out := kept(df)).count()) or out)
+    some = sequences(spark, random_sequence(np.random.default_rng(22), 5_000, 3), "ACGT" * 300)
+    assert S.prefix_sums(some, SMALL, 500).count() == 5_000 + 1_200 - 32 and max(sizes) <= 13
+    assert S.prefix_sums(some, SMALL).count() == 5_000 + 1_200 - 32 and max(sizes) <= 13
