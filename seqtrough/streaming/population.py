@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.params import Params
-from ..functions.sql import letters, region_rows
+from ..functions.sql import letters, rows_of
 from ..operators.population import SCORE_UNIT, SQUARES, _moments_of
-from ..operators.signals import whole_signal
+from ..operators.signals import whole_signals
+from ..sources.scratch import written
 
 SUMS = ("d_n", "d_sum", "d_square", "v_n", "v_sum", "v_square", "regions", "score", "gc")
 #: The position under which sequences are counted: those of the population as d_n, others as v_n.
@@ -31,6 +32,7 @@ def sums(sequences: DataFrame, n_signal: int, p: Params = Params()) -> DataFrame
 
     def add(batches):
         total, kept, aside = np.zeros((len(SUMS), n_signal), np.int64), 0, 0
+        size = n_signal + p.window - 1
 
         def told():
             pos = np.concatenate([np.arange(n_signal), [COUNTS]]).astype(np.int32)
@@ -38,16 +40,13 @@ def sums(sequences: DataFrame, n_signal: int, p: Params = Params()) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(pos), *(pa.array(np.append(t, x)) for t, x in zip(total, last))], names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seq = letters(text)
-                if len(seq) - p.window + 1 != n_signal:
-                    aside += 1
-                    continue
-                x = whole_signal(seq, p)
+            seqs = [s for s in map(letters, batch.column(0).to_pylist()) if len(s) == size]
+            aside += batch.num_rows - len(seqs)
+            for seq, x in zip(seqs, whole_signals(seqs, p)):
                 kept += 1
                 for k, values in enumerate((x.d_ok, x.d, x.d * x.d, x.v_ok, x.v, x.v * x.v)):
                     total[k] += values
-                for _, s, e, *rest in region_rows(text, p):
+                for _, s, e, *rest in rows_of(seq, x, p):
                     score, gc = rest[-3], rest[-4]
                     for k, v in ((6, 1), (7, np.floor(score * SCORE_UNIT + 0.5)), (8, np.floor(gc * 100 + 0.5))):
                         total[k, s : e + 1] += int(v)
@@ -82,7 +81,8 @@ def stream_profile(sequences: DataFrame, path: str, checkpoint: str, n_signal: i
     """Keep the profile of a streaming table (seq) under ``path``; a batch that is run again replaces its folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        profile(df).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        # A batch's table is worked out anew each time that it is read, and in one task if its result is to be one part: so it is written by its own tasks once.
+        profile(written(df)).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
     writer = merged(sums(sequences, n_signal, p)).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

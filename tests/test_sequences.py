@@ -587,3 +587,43 @@ def test_prefix_sums_write_no_row_for_a_position(spark, monkeypatch):
     some = sequences(spark, random_sequence(np.random.default_rng(22), 5_000, 3), "ACGT" * 300)
     assert S.prefix_sums(some, SMALL, 500).count() == 5_000 + 1_200 - 32 and max(sizes) <= 13
     assert S.prefix_sums(some, SMALL).count() == 5_000 + 1_200 - 32 and max(sizes) <= 13
+
+
+def test_a_stream_works_a_batch_out_once(spark, tmp_path, monkeypatch):
+    """The profile is made of a table that a batch's own tasks have written, not of the stream's plan twice or in one task."""
+    from seqtrough.streaming import population as streamed
+
+    plans, kept = [], streamed.profile
+    monkeypatch.setattr(streamed, "profile", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    spark.createDataFrame([(random_sequence(np.random.default_rng(k), 400),) for k in range(3)], "seq string").write.parquet(str(tmp_path / "in"))
+    streamed.stream_profile(spark.readStream.schema("seq string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), 384, SMALL).awaitTermination(120)
+    assert len(plans) == 1 and plans[0].strip().endswith("parquet") and streamed.read_profile(spark, str(tmp_path / "out")).count() == 384
+
+
+def test_profile_functions_hold_no_numbers_of_python():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from seqtrough.functions import sql
+
+    texts = pa.array(["ACGTTGCA" * 250, None, "ac"] * 300)
+    of = sql._profile(sql._di).func
+    of(texts.slice(0, 3))
+    tracemalloc.start()
+    got = of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in got[:3]] == [1984, 0, 0] and len(got) == 900
+    assert peak < 24 * 1984 * 300  # a number of Python's own and its place are 32 bytes, without the array it is copied from
+
+
+def test_histograms_work_regions_out_once(spark, monkeypatch):
+    from seqtrough.plans import queries as Q
+
+    calls = []
+    monkeypatch.setattr(Q, "written", lambda df: calls.append(df) or df.limit(0))
+    monkeypatch.setattr(Q, "_regions", lambda spark, sf_dir: region_rows(spark, [(0, 0, 5, 1.0, 0.0, "")]))
+    for name in ("length_hist", "length_round_hist", "score_hist", "score_round_hist", "boundary_hist"):
+        Q.QUERIES[name](spark, "")
+    assert len(calls) == 5
