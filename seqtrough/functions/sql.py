@@ -8,6 +8,7 @@ A call works on the one sequence that it is given, where that is; nothing is shu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .params import EPSILON, MICRO, Params
 
 _KEPT = bytes.maketrans(b"U", b"T")
 _DELETED = bytes(c for c in range(256) if c not in b"ACGTNU")
+#: Texts that are letters at a time, and numbers that wait to be joined.
+TEXTS, VALUES = 128, 1 << 18
 NUMBERS = "Mean_Perplexity Min_Perplexity Max_Perplexity Upstream_Mean Region_Mean Downstream_Mean Perplexity_Depression_Score Prominence Persistence Variance Std_Dev CV AUC_PDS GC_Content Region_Score".split()
 RETURNS = "Region_ID string, Signal_Start int, Signal_End int, Start int, End int, Length int, " + ", ".join(f"{n} double" for n in NUMBERS) + ", Sequence string, Rank int"
 
@@ -72,26 +75,37 @@ def _profile(of):
 
     @F.arrow_udf("array<double>")
     def profile(texts: pa.Array) -> pa.Array:
-        return pa.array([pa.array(of(letters(t)), pa.float64(), from_pandas=True).to_pylist() for t in texts.to_pylist()], pa.list_(pa.float64()))
+        sizes, parts, held, waiting = [0], [], [], 0
+        for at in range(0, len(texts), TEXTS):
+            for values in of([letters(t) for t in texts.slice(at, TEXTS).to_pylist()]):
+                sizes.append(len(values))
+                held.append(values)
+                waiting += len(values)
+            if waiting >= VALUES or at + TEXTS >= len(texts):
+                parts.append(pa.array(np.concatenate([np.array([]), *held]), from_pandas=True))  # eight bytes a number, not one of Python's
+                held, waiting = [], 0
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.concat_arrays(parts or [pa.array([], pa.float64())]))
 
     return profile
 
 
-def _di(seq: bytes) -> np.ndarray:
+def _di(seqs: list[bytes]) -> Iterator[np.ndarray]:
     p = Params()
-    return np.concatenate([np.array([])] + [perplexities(codes(x.letters), p)[x.low - x.first : x.high - x.first] for x in pieces(seq, p, PIECE)])
+    for seq in seqs:
+        yield np.concatenate([np.array([])] + [perplexities(codes(x.letters), p)[x.low - x.first : x.high - x.first] for x in pieces(seq, p, PIECE)])
 
 
-def _pds(seq: bytes) -> np.ndarray:
+def _pds(seqs: list[bytes]) -> Iterator[np.ndarray]:
     p = Params()
-    if len(seq) < p.window:
-        return np.array([])
-    x = whole_signal(seq, p)
-    return np.where(x.v_ok, x.v / float(MICRO), np.nan)
+    found = whole_signals((seq for seq in seqs if len(seq) >= p.window), p)
+    for seq in seqs:
+        x = next(found) if len(seq) >= p.window else None
+        yield np.array([]) if x is None else np.where(x.v_ok, x.v / float(MICRO), np.nan)
 
 
-def _gc(seq: bytes) -> np.ndarray:
-    return window_totals(seq, 0, len(seq), 0, len(seq), 10) / 21.0 if seq else np.array([])
+def _gc(seqs: list[bytes]) -> Iterator[np.ndarray]:
+    for seq in seqs:
+        yield window_totals(seq, 0, len(seq), 0, len(seq), 10) / 21.0 if seq else np.array([])
 
 
 def register(spark: SparkSession) -> None:
