@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import json
 import re
 import tempfile
@@ -232,3 +233,11 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
     return Encoder(path)
+
+
+def unburdened() -> None:
+    """Let go of the encoders, with all that they remember, which tasks of another stage have left in this worker."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, shingle_hashes, slices, stored, strings, unlike, word_hashes
+from .common import lower_words, shingle_hashes, slices, stored, strings, unburdened, unlike, word_hashes
 from .graph import components
 
 #: N-grams whose hash is under 2**LOW are counted over the corpus.
@@ -73,6 +73,7 @@ def _summaries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """A row for each document: its set's size, hash, and the n-grams that may be in its prefix."""
 
     def summarise(batches):
+        unburdened()
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             sizes, hashes, kept = [], [], []
@@ -219,16 +220,18 @@ def links(ids: list[int], sets: list[np.ndarray], num: int, den: int, sides: lis
     sizes = [len(x) for x in sets]
     if not any(sizes):
         return
-    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, counts))] = np.arange(len(values))
     single = int((counts == 1).sum())
-    ranks = np.split(rank[place], np.cumsum(sizes)[:-1])
+    ranks = [rank[np.searchsorted(values, x)].astype(np.int32) for x in sets]
+    named = np.arange(len(values)).astype(object)  # one number for an n-gram, in whichever sets it is
+    del values, counts, rank
     rows = []
     for k, r in enumerate(ranks):
         alone = int((r < single).sum())
         if sizes[k] and alone <= sizes[k] - needed(sizes[k], num, den):  # else no other set can have enough of it
-            rows.append((np.sort(r[r >= single]).tolist(), k, alone))
+            rows.append((named[np.sort(r[r >= single])].tolist(), k, alone))
     rows.sort(key=lambda x: x[0])
     tree = rows if sides is None else [x for x in rows if sides[x[1]] == 1]
     probes = rows if sides is None else [x for x in rows if sides[x[1]] == 0]
@@ -285,11 +288,13 @@ def _joined(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> D
     """
 
     def sets(batches):
+        unburdened()
         for batch in slices(batches):
             grams = [ngram_set(text, n).tobytes() for text in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, grams), pa.binary()), pa.array([len(g) // 8 for g in grams], pa.int64()), pa.array(grams, pa.binary())], ["set", "n", "grams"])
 
     def join(batches):
+        unburdened()
         group, ids, held, sides = None, [], [], []
         for batch in batches:
             for key, node, side, grams in zip(*(x.to_pylist() for x in batch.columns)):
@@ -356,6 +361,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     held = unlike(docs, "set")
 
     def told(batches):
+        unburdened()
         for batch in slices(batches):
             grams = [ngram_set(text, n) for text in strings(batch.column(at))]
             own = pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary())

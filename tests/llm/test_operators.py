@@ -831,3 +831,28 @@ def test_tokens_that_always_come_together_are_mined_as_one(spark):
     pairs = [(["a", "b", "c"], "block")] * 30 + [(["a", "b"], "allow")] * 30 + [(["c"], "allow")] * 30 + [(["d", "e", "c"], "block")] * 5
     told = {(tuple(r.tokens), round(r.confidence, 3)) for r in url_rules.mined(spark.createDataFrame(pairs, "tokens array<string>, label string")).collect()}
     assert told == {(("a", "c"), 1.0), (("b", "c"), 1.0), (("d",), 1.0), (("e",), 1.0)}
+
+
+def test_near_copies_share_their_numbers():
+    """Sets that have most n-grams in common are held by places of n-grams, a number of Python for each n-gram and not for each set that has it."""
+    import tracemalloc
+
+    from seqtrough.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 3_000).astype(np.uint64)
+    sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, 3).astype(np.uint64))) for _ in range(150)]
+    tracemalloc.start()
+    found = list(ngram_join.links(list(range(150)), sets, 80, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 149 and peak < 40 * 450_000
+
+
+def test_a_task_lets_go_of_another_stages_encoder():
+    from seqtrough.llm import common
+    from seqtrough.llm.queries import tokenizer_path
+
+    common.encoder(tokenizer_path())
+    common.unburdened()
+    assert common.encoder.cache_info().currsize == 0
