@@ -627,3 +627,37 @@ def test_histograms_work_regions_out_once(spark, monkeypatch):
     for name in ("length_hist", "length_round_hist", "score_hist", "score_round_hist", "boundary_hist"):
         Q.QUERIES[name](spark, "")
     assert len(calls) == 5
+
+
+def seen_once(spark, sequences):
+    """``sequences`` and a count of how often tasks took its rows."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    return sequences.mapInArrow(count, sequences.schema), taken
+
+
+def test_windows_of_all_partitions_in_any_order_like_plain_sums():
+    rng = np.random.default_rng(51)
+    p, m = Params(), 16
+    assert len({sum(S.WEIGHTS[c] for c in x) for x in S._partitions(m, m)}) == 231
+    some = [b"".join([x * int(k) for x, k in zip((b"AC", b"G", b"TT", b"N"), rng.integers(0, 9, 4))]) for _ in range(4000)] + [b"ACGT" * 30, b"A" * 40]
+    code = S.codes(b"".join(some))
+    din, terms, n = S.dinucleotides_of(code), np.array(S.entropy_terms(m)), len(code) - m
+    total = np.zeros(n)
+    for d in range(16):
+        upto = np.concatenate([[0], np.cumsum(din == d)])
+        total += terms[upto[m : m + n] - upto[:n]]
+    masked = np.array([(code[k : k + p.window] < 0).any() for k in range(n)])
+    assert np.array_equal(S.perplexities(code, p), np.where(masked, np.nan, 2.0 ** (4.0 - total / 16.0)), equal_nan=True)
+
+
+def test_counts_of_values_like_signals_and_no_row_for_a_position(spark):
+    rng = np.random.default_rng(52)
+    some, taken = seen_once(spark, sequences(spark, *(random_sequence(rng, n, g) for n, g in ((400, 0), (650, 2), (900, 30), (30, 0))), "AC", "N" * 50))
+    want = S.signals(some, SMALL).groupBy("seq_idx").agg(F.count("*"), F.count("di"), F.count("smoothed"), F.count("pds"))
+    assert sorted(map(tuple, S.counts(some, SMALL).collect())) == sorted(map(tuple, want.collect())) and taken.value == 2 * 6
