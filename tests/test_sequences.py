@@ -661,3 +661,23 @@ def test_counts_of_values_like_signals_and_no_row_for_a_position(spark):
     some, taken = seen_once(spark, sequences(spark, *(random_sequence(rng, n, g) for n, g in ((400, 0), (650, 2), (900, 30), (30, 0))), "AC", "N" * 50))
     want = S.signals(some, SMALL).groupBy("seq_idx").agg(F.count("*"), F.count("di"), F.count("smoothed"), F.count("pds"))
     assert sorted(map(tuple, S.counts(some, SMALL).collect())) == sorted(map(tuple, want.collect())) and taken.value == 2 * 6
+
+
+def test_tracks_and_regions_take_a_sequence_once(spark):
+    rng = np.random.default_rng(53)
+    seqs = [random_sequence(rng, n, 1) for n in (700, 900, 1400)]
+    for work in (lambda x: S.tracks(x, SMALL, wanted=("pds",)), lambda x: R.regions(x, SMALL), lambda x: P.surveyed(x, SMALL)[0]):
+        some, taken = seen_once(spark, sequences(spark, *seqs))
+        assert work(some).count() and taken.value == len(seqs)
+
+
+@pytest.mark.parametrize("long", [500, 1 << 20])
+def test_regions_and_profile_of_one_pass_like_each_alone(spark, monkeypatch, long):
+    monkeypatch.setattr(R, "LONG", long)
+    monkeypatch.setattr(R, "SQUARES", 2)
+    rng = np.random.default_rng(54)
+    some = sequences(spark, *(random_sequence(rng, n, g) for n, g in ((700, 1), (400, 3), (650, 0), (1400, 2), (30, 0))), "AC")
+    found, told = P.surveyed(some, SMALL)
+    want = P.signal_profile(S.signals(some, SMALL))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.regions(some, SMALL).collect())) and found.count()
+    assert {r.pos: tuple(r) for r in told.collect()} == {r.pos: tuple(r) for r in want.collect()}
