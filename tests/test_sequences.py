@@ -681,3 +681,12 @@ def test_regions_and_profile_of_one_pass_like_each_alone(spark, monkeypatch, lon
     want = P.signal_profile(S.signals(some, SMALL))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.regions(some, SMALL).collect())) and found.count()
     assert {r.pos: tuple(r) for r in told.collect()} == {r.pos: tuple(r) for r in want.collect()}
+
+
+def test_folders_of_sequences_are_dealt_over_all_tasks(spark, tmp_path):
+    """Their bytes are few, so that tasks chosen by bytes would be one."""
+    rows = spark.range(60).select(F.concat(F.lit("s"), "id").alias("Sequence_ID"), F.lit("R").alias("Region_ID"), F.col("id").alias("Length"))
+    sinks.write_table(rows.repartition("Sequence_ID"), str(tmp_path / "out"), "json", by_sequence=True)
+    parts = [x.name[:10] for x in (tmp_path / "out").glob("*/part-*")]
+    assert len(parts) == 60 and len(set(parts)) == 4
+    assert spark.read.json(str(tmp_path / "out")).agg(F.sum("Length")).first()[0] == 60 * 59 // 2
